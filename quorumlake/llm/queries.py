@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .gif_media import op10_gif_media
+from .near_dedup import op4_lsh_forest
 from .packing import op7_best_fit_packing
 from .sharding import op3_balanced_shards
 from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_balanced_shards, op7_best_fit_packing, op9_byte_bpe, op10_gif_media)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_balanced_shards, op4_lsh_forest, op7_best_fit_packing, op9_byte_bpe, op10_gif_media)}
 ORACLE_SQL: dict[str, str] = {}
