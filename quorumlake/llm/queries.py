@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .gif_media import op10_gif_media
+from .language_id import op8_language_spans
+from .line_dedup import op6_fuzzy_lines
 from .near_dedup import op4_lsh_forest
 from .packing import op7_best_fit_packing
+from .pii import op1_weak_supervision_pii
 from .sharding import op3_balanced_shards
 from .token_counts import op2_token_counts
+from .vector_dedup import op5_sorted_projections
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_balanced_shards, op4_lsh_forest, op7_best_fit_packing, op9_byte_bpe, op10_gif_media)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_weak_supervision_pii,
+        op2_token_counts,
+        op3_balanced_shards,
+        op4_lsh_forest,
+        op5_sorted_projections,
+        op6_fuzzy_lines,
+        op7_best_fit_packing,
+        op8_language_spans,
+        op9_byte_bpe,
+        op10_gif_media,
+    )
+}
+#: None of the ten can be written in SQL (tokenizers, hashes, iteration); tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
