@@ -1,8 +1,75 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: language, lines, near-duplicates, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs. All but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quorumlake.llm import language_id, line_dedup, near_dedup, packing, pii
+from quorumlake.llm.common import cut_lineage
+
+#: No SQL form: tokenizers, signatures and trained models.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents of unknown language: null texts and texts without a letter."""
+    return _kept_by_id(docs, language_id.detect_languages(docs).select("doc_id", (F.col("lang_pred") != language_id.UNKNOWN).alias("_keep")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of equal or similar lines stays; a document that loses all its lines goes."""
+    return line_dedup.without_repeats(docs).filter("n_kept > 0 or n_lines = 0").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return _kept_by_id(docs, near_dedup.near_components(docs).select("doc_id", F.col("kept").alias("_keep")))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; n_chars follows."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+def _kept_by_id(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs that their doc_id's decision keeps; a row with a null doc_id follows the decisions on null ids.
+
+    What goes is the smaller side, and no text is compared: an anti join on ids.
+    """
+    gone = cut_lineage(decisions.filter(~F.col("_keep")).select("doc_id").distinct())
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("PII", personal_data_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; results between stages lie in the shared checkpoint folder, or the warehouse."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{folder.rstrip('/')}/corpus_pipeline/{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        out.write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
