@@ -60,7 +60,7 @@ def arrow_texts(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
         held_keys, held, size = [], [], 0
         for key, text in zip(keys, texts, strict=True):
             value = text.as_py() or ""
-            if held and size + len(value) > 2_000_000:
+            if held and size + len(value) > 1_000_000:
                 yield held_keys, held
                 held_keys, held, size = [], [], 0
             held_keys.append(key)

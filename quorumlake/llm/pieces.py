@@ -15,7 +15,7 @@ import regex
 LETTER, NUMBER, OTHER, QUOTE, SPACE, WHITE = range(6)
 #: The contractions that the splitting pattern takes whole, without their apostrophe (fixed values).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-SLICE = 4_000_000
+SLICE = 1_000_000
 _CUT = re.compile(r"(?<=\S)\s")
 
 
@@ -149,13 +149,13 @@ class PieceTable:
     It starts anew beyond `limit` pieces, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.length, self.ids, self.total = np.zeros(0, np.int64), [], 0
+        self.length = np.zeros(0, np.int64)
         self.offset = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
