@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
-SALTS = 16
+SALTS = 8
 
 
 def relabel(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -23,22 +23,55 @@ def relabel(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce("_to", column).alias(column) if c == column else F.col(c) for c in names])
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    return F.shiftright(x, 32).cast("int"), F.shiftright(F.shiftleft(x, 32), 32).cast("int")
+
+
+def _whole(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def scrambled(x: Column) -> Column:
+    """A pseudo-random one-to-one image of a long: three rounds of a Feistel network."""
+    high, low = _halves(x)
+    high = high.bitwiseXOR(F.hash(low, F.lit(1)))
+    low = low.bitwiseXOR(F.hash(high, F.lit(2)))
+    return _whole(high.bitwiseXOR(F.hash(low, F.lit(3))), low)
+
+
+def unscrambled(y: Column) -> Column:
+    high, low = _halves(y)
+    high = high.bitwiseXOR(F.hash(low, F.lit(3)))
+    low = low.bitwiseXOR(F.hash(high, F.lit(2)))
+    return _whole(high.bitwiseXOR(F.hash(low, F.lit(1))), low)
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of edges(a, b): the smallest node that it is joined with.
+    """(node, component) of every node of edges(a, b), both long: the smallest node that it is joined with.
 
-    In each round every node takes its smallest neighbour for a parent, parents are followed three times, and edges
-    are contracted to the parents; loops and repeats go. At least half of the nodes that are left go in each round. Nodes only ever take
-    smaller parents, so the last one left of a component is its smallest. Both the edges and the labels are written to
-    the shared checkpoint folder each round.
+    Nodes are put in a pseudo-random order, so that a long chain of rising ids breaks into short ones. In each round
+    every node takes its smallest neighbour for a parent, each parent gives way to its own, and the edges are contracted
+    to the parents; loops and repeats go. Nodes only take smaller parents, so one is left of each component. Plans stay
+    small: edges and parents are written to the shared checkpoint folder in each round, labels in every third.
     """
-    edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    nodes = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    edges = cut_lineage(_ordered(edges.select(scrambled(F.col("a")).alias("a"), scrambled(F.col("b")).alias("b"))))
+    labels = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).limit(0)
+    rounds = 0
     while not edges.isEmpty():
-        parents = edges.select(F.col("b").alias("_node"), F.col("a").alias("_parent")).groupBy("_node").agg(F.min("_parent").alias("_parent"))
-        for _ in range(3):
-            parents = relabel(parents, "_parent", parents)
-        parents = cut_lineage(parents)
-        nodes = cut_lineage(relabel(nodes, "component", parents))
-        moved = relabel(relabel(edges, "a", parents), "b", parents)
-        edges = cut_lineage(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    return nodes
+        smallest = edges.groupBy(F.col("b").alias("_node")).agg(F.min("a").alias("_parent"))
+        parents = cut_lineage(relabel(smallest, "_parent", smallest))
+        labels = relabel(labels, "component", parents).unionByName(parents.select(F.col("_node").alias("node"), F.col("_parent").alias("component")))
+        rounds += 1
+        if rounds % 3 == 0:
+            labels = cut_lineage(labels)
+        edges = cut_lineage(_ordered(relabel(relabel(edges, "a", parents), "b", parents)))
+    # a node whose parent was not a root yet may come back in a later round; both its rows end at the same root
+    labels = cut_lineage(labels.groupBy("node").agg(F.min("component").alias("component")))
+    labels = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+    plain = labels.select(unscrambled(F.col("node")).alias("node"), "component")
+    smallest = plain.groupBy(F.col("component").alias("_node")).agg(F.min("node").alias("_parent"))
+    return cut_lineage(relabel(plain, "component", smallest))
