@@ -7,7 +7,7 @@ whose rows (one for each left token) are displaced so that they don't overlap, a
 array reads. A last pass maps the words of each document to their ids, and decodes the ids by concatenating the
 tokens' bytes. All three run in one stage without a shuffle, and a batch bounds the memory.
 
-Words of more than MAX_FOLD bytes, on which a quadratic fold would be slow, take the same merges in the last pass from
+Words of more than MAX_FOLD bytes, on which a fold quadratic in their length is slow, take the same merges in the last pass from
 the library's heap. Null text: empty, no tokens. Rows that repeat stay; other columns are ignored; an empty table gives
 an empty result.
 """
@@ -27,8 +27,10 @@ from .common import read_table, tokenizer_path
 from .pieces import Joined, slices, span_hashes
 from .token_counts import boundaries
 
-MAX_FOLD = 48
-BATCH = 8_000_000
+MAX_FOLD = 10
+BATCH = 3_000_000
+#: Words that a partition remembers; then it begins anew.
+REMEMBER = 400_000
 NONE = 1 << 16
 
 
@@ -103,7 +105,7 @@ def fold_merges(words: Column, table: Column) -> Column:
 
     def fold(word: Column) -> Column:
         first = F.transform(word, lambda b: F.get(table["bytes"], b))
-        return F.aggregate(F.sequence(F.lit(1), F.size(word)), first, step)
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), first, step)
 
     return F.transform(words, fold)
 
@@ -123,40 +125,63 @@ def _batches(batches: Iterator, limit: int) -> Iterator[tuple[list, list[str]]]:
         yield keys, texts
 
 
-def _spans(texts: list[str]) -> tuple[Joined, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Joined texts; begin, end and text of each word; which words stand for the distinct ones; each word's distinct one."""
-    parts, owner = [], []
+def _spans(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[Joined, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """In parts of bounded size: joined texts; begin, end, hash and text of each word."""
+
+    def spans() -> tuple:
+        joined = Joined(parts)
+        begins = boundaries(joined)
+        ends = np.concatenate([begins[1:], [len(joined.points)]]) if len(begins) else begins
+        whose = np.asarray(owner, np.int64)[np.searchsorted(joined.ends, begins, "right")]
+        return joined, begins, ends, span_hashes(joined.points, begins, ends), whose
+
+    parts, owner, size = [], [], 0
     for i, text in enumerate(texts):
         for part in slices(text):
+            if parts and size + len(part) > limit:
+                yield spans()
+                parts, owner, size = [], [], 0
             if part:
                 parts.append(part)
                 owner.append(i)
-    joined = Joined(parts)
-    begins = boundaries(joined)
-    ends = np.concatenate([begins[1:], [len(joined.points)]]) if len(begins) else begins
-    whose = np.asarray(owner, np.int64)[np.searchsorted(joined.ends, begins, "right")]
-    _, at, back = np.unique(span_hashes(joined.points, begins, ends), return_index=True, return_inverse=True)
-    return joined, begins, ends, whose, at, back
+                size += len(part)
+    if parts:
+        yield spans()
 
 
 def distinct_words(docs: DataFrame, limit: int = BATCH) -> DataFrame:
-    """Batches: docs array<struct<doc_id, text>> and the byte arrays of their distinct words of at most MAX_FOLD bytes."""
+    """Batches: docs array<struct<doc_id, text>>, the hashes of their distinct words that the partition's earlier batches
+    don't have, these words as byte arrays (one of more than MAX_FOLD bytes: empty), and whether the partition has
+    forgotten its earlier words."""
     import pyarrow as pa
 
     kind = pa.struct([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator) -> Iterator:
+        known = np.zeros(0, np.uint64)
         for keys, texts in _batches(batches, limit):
-            joined, begins, ends, _, at, _ = _spans(texts)
-            raw = [joined.text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
-            raw = [w if len(w) <= MAX_FOLD else b"" for w in raw]
+            hashes, raw, anew = np.zeros(0, np.uint64), [], len(known) > REMEMBER
+            known = known[:0] if anew else known
+            for joined, begins, ends, h, _ in _spans(texts):
+                found, at = np.unique(h, return_index=True)
+                place = np.searchsorted(known, found)
+                new = known[np.minimum(place, len(known) - 1)] != found if len(known) else np.ones(len(found), bool)
+                words = [joined.text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begins[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+                raw += [w if len(w) <= MAX_FOLD else b"" for w in words]
+                hashes = np.concatenate([hashes, found[new]])
+                known = np.sort(np.concatenate([known, found[new]]), kind="stable")
+            order = np.argsort(hashes)
+            raw = [raw[i] for i in order.tolist()]
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16))
-            words = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat))
+            one = pa.array([0, len(raw)], pa.int32())
+            words = pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(pa.array(offsets), flat))
             rows = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(texts)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), rows), words], ["docs", "words"])
+            held = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([held, pa.ListArray.from_arrays(one, pa.array(hashes[order].view(np.int64))), words, pa.array([anew])], ["docs", "hashes", "words", "anew"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "docs array<struct<doc_id: long, text: string>>, words array<array<smallint>>")
+    schema = "docs array<struct<doc_id: long, text: string>>, hashes array<long>, words array<array<smallint>>, anew boolean"
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -167,7 +192,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = Fals
     byte_ids, displacement, cells = rank_table(path)
     table = F.struct(_literal(byte_ids, "int").alias("bytes"), _literal(displacement, "int").alias("displacement"), _literal(cells, "long").alias("cells"))
     folded = _let(table, lambda held: fold_merges(F.col("words"), held))
-    coded = distinct_words(docs).select("docs", folded.alias("ids"))
+    coded = distinct_words(docs).select("docs", "hashes", folded.alias("ids"), "anew")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator) -> Iterator:
@@ -177,26 +202,42 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = Fals
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
+        hashes, flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        lengths = starts = np.zeros(0, np.int64)
         heap = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             for i in range(batch.num_rows):
                 held = batch.column(0)[i].values
                 keys = held.field("doc_id")
                 texts = [t.as_py() for t in held.field("text")]
-                ids = batch.column(1)[i].values
-                joined, begins, ends, whose, at, back = _spans(texts)
-                lengths = np.diff(ids.offsets.to_numpy()).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-                flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4") if len(at) else np.zeros(0, "<u4")
-                starts = np.cumsum(lengths) - lengths
-                for k in np.flatnonzero(lengths == 0).tolist():  # words too long to fold
-                    long_ids = np.array(heap._encode_single_piece(joined.text[begins[at[k]] : ends[at[k]]].encode("utf-8", "surrogatepass")), "<u4")
-                    starts[k], lengths[k] = len(flat), len(long_ids)
-                    flat = np.concatenate([flat, long_ids])
-                n = lengths[back]
-                stops = np.cumsum(n)
-                total = int(stops[-1]) if len(stops) else 0
-                own = flat[np.arange(total) + np.repeat(starts[back] - (stops - n), n)] if total else flat[:0]
-                counts = np.bincount(whose, n, len(texts)).astype(np.int64) if total else np.zeros(len(texts), np.int64)
+                new = batch.column(1)[i].values.to_numpy().view(np.uint64)
+                ids = batch.column(2)[i].values
+                more = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+                if batch.column(3)[i].as_py():
+                    hashes, lengths, starts, flat = hashes[:0], lengths[:0], starts[:0], flat[:0]
+                starts = np.concatenate([starts, np.cumsum(more) - more + len(flat)])
+                hashes, lengths = np.concatenate([hashes, new]), np.concatenate([lengths, more])
+                flat = np.concatenate([flat, ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")])
+                order = np.argsort(hashes, kind="stable")
+                hashes, lengths, starts = hashes[order], lengths[order], starts[order]
+                counts, parts = np.zeros(len(texts), np.int64), []
+                for joined, begins, ends, h, whose in _spans(texts):
+                    word = np.searchsorted(hashes, h)
+                    unfolded = np.flatnonzero(lengths[word] == 0)  # words too long to fold
+                    if len(unfolded):
+                        k, first = np.unique(word[unfolded], return_index=True)
+                        places = unfolded[first]
+                        raw = [joined.text[i:j].encode("utf-8", "surrogatepass") for i, j in zip(begins[places].tolist(), ends[places].tolist(), strict=True)]
+                        coded = [heap._encode_single_piece(w) for w in raw]
+                        lengths[k] = [len(x) for x in coded]
+                        starts[k] = len(flat) + np.cumsum(lengths[k]) - lengths[k]
+                        flat = np.concatenate([flat, np.fromiter((t for x in coded for t in x), "<u4")])
+                    n = lengths[word]
+                    stops = np.cumsum(n)
+                    total = int(stops[-1]) if len(stops) else 0
+                    parts.append(flat[np.arange(total) + np.repeat(starts[word] - (stops - n), n)])
+                    counts += np.bincount(whose, n, len(texts)).astype(np.int64)
+                own = np.concatenate([*parts, flat[:0]])
                 rows, place = [], 0
                 for count in counts.tolist():
                     part = own[place : place + count]
