@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
 from quorumlake.functions import queries  # noqa: F401
-from quorumlake.operators import aggregates  # noqa: F401
+from quorumlake.operators import aggregates, sequences  # noqa: F401
