@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
 from quorumlake.functions import queries  # noqa: F401
-from quorumlake.operators import aggregates, search, sequences  # noqa: F401
+from quorumlake.operators import aggregates, readers, search, sequences  # noqa: F401
 from quorumlake.sources import pages  # noqa: F401
 from quorumlake.streaming import web  # noqa: F401
