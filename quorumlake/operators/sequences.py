@@ -214,7 +214,12 @@ def prior_contracts(c: Civic, least: float = 0.6) -> DataFrame:
         return names.select("city_id", F.col("name").alias(role), F.explode(prefix).alias("gram"))
 
     pairs = prefixed(amended, "a").join(prefixed(awards, "b"), ["city_id", "gram"]).select("city_id", "a", "b").distinct()
-    similar = pairs.filter(T.trigram_similarity(F.col("a"), F.col("b")) >= least)
+    # each pair of names is verified once, whatever the number of its cities, on trigrams made once a name
+    grams = awards.select("name").union(amended.select("name")).distinct().select("name", T.trigrams(F.col("name")).alias("g"))
+    sets = pairs.select("a", "b").distinct().join(grams.select(F.col("name").alias("a"), F.col("g").alias("x")), "a").join(grams.select(F.col("name").alias("b"), F.col("g").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    verified = sets.filter(shared.cast("double") / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
+    similar = pairs.join(verified, ["a", "b"])
     earliest = similar.join(awards.withColumnRenamed("name", "b"), ["city_id", "b"]).groupBy("city_id", F.col("a").alias("name")).agg(F.min("first").alias("first"))
     return rows.filter("action_type = 'contract_amendment'").join(earliest, ["city_id", "name"]).filter("first < meeting_date").select("item_id").distinct()
 
