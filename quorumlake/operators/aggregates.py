@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quorumlake.model import AS_OF, Civic
 from quorumlake.plans.registry import query
 
-DAY = F.lit(AS_OF).cast("date")
+def day() -> Column:
+    """The as-of date as a column."""
+    return F.lit(AS_OF).cast("date")
+
 
 
 def as_double(total: Column) -> Column:
@@ -31,7 +34,7 @@ def src_tables(c: Civic) -> DataFrame:
 
 @query("src_meetings_incremental", f"SELECT meeting_id, external_id, title FROM meeting WHERE meeting_date >= DATE '{AS_OF}'")
 def src_meetings_incremental(c: Civic) -> DataFrame:
-    return c.meeting.filter(F.col("meeting_date") >= DAY).select("meeting_id", "external_id", "title")
+    return c.meeting.filter(F.col("meeting_date") >= day()).select("meeting_id", "external_id", "title")
 
 
 @query("prj_item_card", "SELECT item_id, item_number, title, description, is_consent, sponsor, CAST(dollars AS DOUBLE) AS dollars, topic, significance, consent_score, status, data_quality, priority, city_name, slug FROM ctx")
@@ -58,7 +61,7 @@ def flt_exclude_withdrawn(c: Civic) -> DataFrame:
 def flt_upcoming(c: Civic) -> DataFrame:
     """A meeting is upcoming until three hours after its start (noon if unknown); as-of is a parameter, never the clock."""
     ends = F.col("meeting_date").cast("timestamp") + F.make_dt_interval(secs=F.coalesce("start_sec", F.lit(43200)) + 10800)
-    near = c.meeting.filter(F.col("meeting_date").between(F.date_sub(DAY, 30), F.date_add(DAY, 365)))
+    near = c.meeting.filter(F.col("meeting_date").between(F.date_sub(day(), 30), F.date_add(day(), 365)))
     return near.select("meeting_id", F.when(ends >= F.lit(f"{AS_OF} 10:00:00").cast("timestamp"), "upcoming").otherwise("recent").alias("phase"))
 
 
@@ -135,7 +138,7 @@ def flt_claimable_meetings(c: Civic) -> DataFrame:
 @query("flt_ocr_eligible", f"SELECT meeting_id FROM meeting WHERE regexp_full_match(external_id, '[0-9]+') AND meeting_date BETWEEN DATE '{AS_OF}' - 60 AND DATE '{AS_OF}' AND NOT is_hidden AND meeting_id % 4 < 3")
 def flt_ocr_eligible(c: Civic) -> DataFrame:
     """Numeric ids of the last 60 days with fewer than three attempts (attempts: the id modulo 4)."""
-    return c.meeting.filter(F.col("external_id").rlike("^[0-9]+$") & F.col("meeting_date").between(F.date_sub(DAY, 60), DAY) & ~F.col("is_hidden") & (F.col("meeting_id") % 4 < 3)).select("meeting_id")
+    return c.meeting.filter(F.col("external_id").rlike("^[0-9]+$") & F.col("meeting_date").between(F.date_sub(day(), 60), day()) & ~F.col("is_hidden") & (F.col("meeting_id") % 4 < 3)).select("meeting_id")
 
 
 @query("flt_url_allowlist", "SELECT page_id FROM pages WHERE regexp_matches(url, '^https?://([^/?#:]+[.])?example[.]com([/?#:]|$)')")
@@ -154,7 +157,7 @@ def flt_audit_window(c: Civic) -> DataFrame:
 
 @query("flt_repairable_agendas", f"SELECT meeting_id FROM meeting m WHERE meeting_date BETWEEN DATE '{AS_OF}' - INTERVAL 18 MONTH AND DATE '{AS_OF}' AND NOT regexp_matches(title, '(?i)cancel') AND NOT EXISTS (SELECT 1 FROM item i WHERE i.meeting_id = m.meeting_id)")
 def flt_repairable_agendas(c: Civic) -> DataFrame:
-    m = c.meeting.filter(F.col("meeting_date").between(F.add_months(DAY, -18), DAY) & ~F.col("title").rlike("(?i)cancel"))
+    m = c.meeting.filter(F.col("meeting_date").between(F.add_months(day(), -18), day()) & ~F.col("title").rlike("(?i)cancel"))
     return m.join(c.item.select("meeting_id"), "meeting_id", "left_anti").select("meeting_id")
 
 
@@ -310,7 +313,7 @@ YTD = f"meeting_date >= DATE '{AS_OF[:4]}-01-01' AND meeting_date <= DATE '{AS_O
     LEFT JOIN (SELECT m.city_id, count(*) AS n, count(*) FILTER (WHERE v.nays > 0) AS contested FROM vote v JOIN meeting m ON m.meeting_id = v.meeting_id WHERE NOT m.is_hidden AND m.{YTD.replace('AND meeting', 'AND m.meeting')} GROUP BY 1) v ON v.city_id = c.city_id WHERE c.active""")
 def agg_ytd_kpis(c: Civic) -> DataFrame:
     """One grouped pass at each grain, joined on the city."""
-    year = F.col("meeting_date").between(F.trunc(DAY, "year"), DAY)
+    year = F.col("meeting_date").between(F.trunc(day(), "year"), day())
     m = c.meeting.filter(~F.col("is_hidden") & year)
     meetings = m.groupBy("city_id").agg(F.count(F.lit(1)).alias("meetings"))
     items = c.item_context().filter(year).groupBy("city_id").agg(F.count(F.lit(1)).alias("items"), as_double(F.sum("dollars")).alias("dollars"))
@@ -334,7 +337,7 @@ def agg_badge_tally(c: Civic) -> DataFrame:
 
 @query("agg_badge_volume_year", f"SELECT city_id, slug AS badge, count(*) FILTER (WHERE year(detected_on) = 1998) AS in_year, count(*) FILTER (WHERE detected_on > DATE '{AS_OF}' - 30 AND detected_on <= DATE '{AS_OF}') AS recent FROM badge GROUP BY ALL")
 def agg_badge_volume_year(c: Civic) -> DataFrame:
-    recent = (F.col("detected_on") > F.date_sub(DAY, 30)) & (F.col("detected_on") <= DAY)
+    recent = (F.col("detected_on") > F.date_sub(day(), 30)) & (F.col("detected_on") <= day())
     return c.badge.groupBy("city_id", F.col("slug").alias("badge")).agg(F.count_if(F.year("detected_on") == 1998).alias("in_year"), F.count_if(recent).alias("recent"))
 
 

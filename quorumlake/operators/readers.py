@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import text as T
 from quorumlake.model import AS_OF, Civic
-from quorumlake.operators.aggregates import DAY, GATE_SQL, as_double, count_by, gated
+from quorumlake.operators.aggregates import GATE_SQL, as_double, count_by, day, gated
 from quorumlake.operators.sequences import DENSE, asof_backward, dense_months, prior_contracts, top_per_key
 from quorumlake.plans.registry import query
 
@@ -277,7 +277,7 @@ def q_category_page(c: Civic) -> DataFrame:
 
 @query("q_upcoming_meetings", f"SELECT city_id, min(meeting_date)::VARCHAR AS next, count(*) AS n FROM meeting WHERE NOT is_hidden AND meeting_date >= DATE '{AS_OF}' GROUP BY 1")
 def q_upcoming_meetings(c: Civic) -> DataFrame:
-    return c.meeting.filter(~F.col("is_hidden") & (F.col("meeting_date") >= DAY)).groupBy("city_id").agg(F.min("meeting_date").cast("string").alias("next"), F.count(F.lit(1)).alias("n"))
+    return c.meeting.filter(~F.col("is_hidden") & (F.col("meeting_date") >= day())).groupBy("city_id").agg(F.min("meeting_date").cast("string").alias("next"), F.count(F.lit(1)).alias("n"))
 
 
 @query("txt_item_number_in_text", r"SELECT meeting_id, regexp_extract(title, 'Item ([0-9]+)', 1) AS number, min(video_sec) AS video_sec FROM item WHERE regexp_matches(title, 'Item [0-9]+') GROUP BY ALL")
