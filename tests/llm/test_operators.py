@@ -157,6 +157,20 @@ def test_lines(spark, empty):
     assert line_dedup.without_repeats(empty).count() == 0
 
 
+def test_lines_differ_anywhere(spark):
+    """Lines that share only their word starts stay; lines that differ in little go, in any script."""
+    pairs = [
+        ("https://www.example.com/a/b/page1", "https://www.example.com/zzz/other"),
+        ("Order reference 0123456789AB-one", "Order reference 0123456789AB-two and"),
+        ("市議会は来年度の予算案について審議を行い道路整備を", "市議会は来年度の予算案に反対する市民の声を聞き公園"),
+    ]
+    rows = [(2 * i + j, line, "en", "q", "r") for i, p in enumerate(pairs) for j, line in enumerate(p)]
+    long = "".join(chr(0x4E00 + 7 * k) for k in range(150))
+    rows += [(100, long + "終", "ja", "q", "r"), (101, long + "了", "ja", "q", "r")]
+    got = {r.doc_id: r.n_kept for r in line_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{i: 1 for i in range(6)}, 100: 1, 101: 0}
+
+
 def test_personal_data(spark, docs, empty):
     weights = pii.train(docs)
     rows = [(1, "mail a@b.com now 1.2.3.4 or 4111 1111 1111 1111 é +1 (555) 123-4567", "en", "q", "r"), (2, None, "en", "q", "r"), (3, "999.1.1.1 4111111111111112 +12", "en", "q", "r"), (4, "a@b" + ".c" * 9000, "en", "q", "r")]
