@@ -53,6 +53,19 @@ def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     return both.select(*[ranked[c] for c in df.columns], (F.col("_inside") + F.col("_before")).alias(name))
 
 
+def block_pairs(rows: DataFrame, keys: Sequence[str], item: str, block: int) -> DataFrame:
+    """rows of the groups (by keys) that hold more than one `component`, once for each pair of blocks that they are in.
+
+    A group's rows are dealt over blocks of about `block` rows by a hash of item; _hi and _lo name the pair, _own the
+    row's block. Any two rows of a group meet in exactly one pair, and no task has to hold a whole group.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_least"), F.max("component").alias("_most"))
+    mixed = sizes.filter("_least <> _most").select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    dealt = rows.join(mixed, list(keys)).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+    each = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return each.select(*rows.columns, "_own", F.greatest("_own", "_other").alias("_hi"), F.least("_own", "_other").alias("_lo"))
+
+
 def arrow_texts(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
     """From Arrow batches (key, text): bounded lists of keys and texts, a null text as an empty one."""
     for batch in batches:

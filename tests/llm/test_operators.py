@@ -171,6 +171,48 @@ def test_lines_differ_anywhere(spark):
     assert got == {**{i: 1 for i in range(6)}, 100: 1, 101: 0}
 
 
+def test_lines_of_a_large_bucket(spark):
+    """Every pair that shares a bucket is tested, also in several blocks and if the first line and the predecessor fail."""
+    rows = [(b, 1000 * b + i, 1000 * b, (1000 * b + i - 1) if i else None) for b, n in ((1, 40), (2, 3)) for i in range(n)]
+    shared = spark.createDataFrame(rows, "bucket long, h long, _low long, _last long")
+    labels = spark.createDataFrame([(1000 + i, 1000) for i in range(30)] + [(2000 + i, 2000) for i in range(3)], "node long, component long")
+    old, line_dedup.BLOCK = line_dedup.BLOCK, 7
+    try:
+        got = [(r.a, r.b) for r in line_dedup.open_pairs(shared, labels).collect()]
+    finally:
+        line_dedup.BLOCK = old
+    assert sorted(got) == [(1000 + i, 1000 + j) for i in range(40) for j in range(max(i + 1, 30), 40)]
+
+
+def test_lines_of_a_template(spark):
+    """A family around the threshold: the components are those of all pairs that share a bucket."""
+    rng = random.Random(5)
+    common = "".join(rng.choice("abcdefghijklmnop") for _ in range(90))
+    made = {common[:k] + "".join(rng.choice("qrstuvw") for _ in range(n)) + common[k:] for k, n in ((rng.randint(0, 90), rng.randint(1, 12)) for _ in range(150))}
+    made = sorted(made)
+    docs = spark.createDataFrame([(i, t, "en", "q", "r") for i, t in enumerate(made)], SCHEMA)
+    names = {r.h: r.doc_id for r in line_dedup.lines(docs).collect()}
+    together = {}
+    for r in line_dedup.buckets(line_dedup.signatures(line_dedup.lines(docs))).collect():
+        together.setdefault(r.bucket, []).append(names[r.h])
+    sets = [{t[k : k + 12] for k in range(len(t) - 11)} for t in made]
+    parent = list(range(len(made)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for held in together.values():
+        for x in held:
+            for y in held:
+                if x < y and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                    a, b = find(x), find(y)
+                    parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.n_kept for r in line_dedup.without_repeats(docs).collect()}
+    assert got == {i: int(find(i) == i) for i in range(len(made))}
+
+
 def test_personal_data(spark, docs, empty):
     weights = pii.train(docs)
     rows = [(1, "mail a@b.com now 1.2.3.4 or 4111 1111 1111 1111 é +1 (555) 123-4567", "en", "q", "r"), (2, None, "en", "q", "r"), (3, "999.1.1.1 4111111111111112 +12", "en", "q", "r"), (4, "a@b" + ".c" * 9000, "en", "q", "r")]
