@@ -1,9 +1,10 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Vectors with equal label and equal components are one class. In each pass the classes of a label are ordered by their
-concatenated random hashes (the signs of BITS random projections), by range partitioning, so that a dense region spreads
-over several tasks. Each row is compared with its WINDOW predecessors, and beyond that with all earlier rows of its
-partition that share its first REGION hashes: a dense region has no cap on partners. The cosine of a near pair is
+concatenated random hashes (the signs of BITS random projections), by range partitioning, and their places in that order
+dealt into blocks of BLOCK. Each row is compared with its WINDOW predecessors, also those of the block before, and beyond
+that with all rows that share its first REGION hashes: each pair of blocks of such a region is a task's group of its own,
+so a dense region has no cap on partners and spreads over many tasks. The cosine of a near pair is
 computed in double precision; verified pairs are united across the passes, links are counted with the classes'
 sizes, and components come from the distributed union-find.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, read_table
@@ -31,7 +32,8 @@ PASSES = 12
 BITS = 32
 REGION = 20
 WINDOW = 64
-BLOCK = 512
+BLOCK = 2048
+TILE = 512
 SEED = 11
 
 
@@ -82,57 +84,70 @@ def _linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
     return dots / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))) >= cosine
 
 
-def window_pairs(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def placed(classes: DataFrame) -> DataFrame:
+    """pass, label, region, key and place (from 0 in the order of the pass and label) of classes(key, label, codes)."""
+    order = ["pass", "label", "code", "key"]
+    rows = classes.select("label", F.posexplode("codes").alias("pass", "code"), "key").select(*order)
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the order is written first, so that a row's partition and place in it stay as they are
+    ordered = cut_lineage(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    ordered = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    counts = ordered.groupBy("pass", "label", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = Window.partitionBy("pass", "label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("pass", "label", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
+    both = ordered.join(offsets, ["pass", "label", "_part"])
+    return both.select("pass", "label", F.shiftright("code", BITS - REGION).alias("region"), "key", (F.col("_at") + F.col("_shift")).alias("place"))
+
+
+def block_rows(classes: DataFrame, block: int) -> DataFrame:
+    """The placed rows once for each pair of blocks (hi, lo) in which they are compared."""
+    rows = cut_lineage(placed(classes))
+    of = F.floor(F.col("place") / block).cast("long")
+    group = ["pass", "label", "region"]
+    wide = rows.groupBy(*group).agg(F.floor(F.min("place") / block).cast("long").alias("_first"), F.floor(F.max("place") / block).cast("long").alias("_last")).filter("_first < _last")
+    own = rows.withColumn("hi", of).withColumn("lo", of)
+    guests = rows.filter(F.col("place") % block >= block - WINDOW).withColumn("hi", of + 1).withColumn("lo", of + 1)
+    across = rows.join(wide, group).withColumn("_own", of).withColumn("_other", F.explode(F.sequence("_first", "_last"))).filter("_own <> _other")
+    across = across.select(*rows.columns, F.greatest("_own", "_other").alias("hi"), F.least("_own", "_other").alias("lo"))
+    return own.unionByName(guests).unionByName(across)
+
+
+def window_pairs(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Distinct pairs a < b of classes(rep, label, vector, codes) that are linked."""
     import pyarrow as pa
 
-    rows = classes.select("label", F.posexplode("codes").alias("pass", "code"), "rep", "vector")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["pass", "label", "code", "rep"]
-    ordered = rows.select(*keys, "vector").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-
-    def compare(region: list, ids: list, vectors: list) -> Iterator:
-        """The rows of one label and pass in order; those before the block were compared among themselves already."""
-        region_of, rep = np.concatenate(region), np.concatenate(ids)
-        x = np.concatenate(vectors)
-        unit = (x / np.abs(x).max(1, keepdims=True)).astype(np.float64)
+    block = max(block, WINDOW)
+    keyed = classes.withColumn("key", F.xxhash64("label", "vector"))
+    vectors = keyed.select("key", "label", "rep", "vector")
+    rows = block_rows(keyed.select("key", "label", "codes"), block).join(vectors, ["key", "label"]).select("pass", "label", "hi", "lo", "place", "region", "rep", "vector")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table):
+        """All pairs of a block, or of two blocks of a region, that are within a window or a region."""
+        table = table.sort_by("place")
+        place, region, rep = (table.column(c).to_numpy() for c in ("place", "region", "rep"))
+        x = np.frombuffer(b"".join(table.column("vector").to_pylist())).reshape(len(rep), -1)
+        unit = x / np.abs(x).max(1, keepdims=True)
         unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
-        n = len(rep)
-        run_start = np.searchsorted(region_of, region_of, "left")
-        for begin in range(0, n, BLOCK):
-            end = min(begin + BLOCK, n)
-            low = int(min(max(0, begin - WINDOW), run_start[begin]))
-            for base in range(low, end, 4 * BLOCK):
-                top = min(base + 4 * BLOCK, end)
+        hi, lo = table.column("hi")[0].as_py(), table.column("lo")[0].as_py()
+        split = int(np.searchsorted(place, hi * block)) if hi != lo else 0  # of two blocks, only pairs across
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for begin in range(split, len(rep), TILE):
+            end = min(begin + TILE, len(rep))
+            for base in range(0, split or end, TILE):
+                top = min(base + TILE, split or end)
                 a, b = np.nonzero(unit[begin:end] @ unit[base:top].T >= cosine - 1e-9)
                 a, b = a + begin, b + base
-                near = (b < a) & ((a - b <= WINDOW) | (region_of[a] == region_of[b])) & (rep[a] != rep[b])
+                near = (b < a) & ((place[a] - place[b] <= WINDOW) | (region[a] == region[b])) & (rep[a] != rep[b])
                 a, b = a[near], b[near]
                 if len(a):
                     good = _linked(x[a], x[b], cosine)
                     left, right = rep[a[good]], rep[b[good]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+                    found.append((np.minimum(left, right), np.maximum(left, right)))
+        a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
-    def run(batches: Iterator) -> Iterator:
-        key, held = None, ([], [], [])
-        for batch in batches:
-            passes, labels = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            if not len(passes):
-                continue
-            codes, reps, raw = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            change = [0, *[i for i in range(1, len(labels)) if labels[i] != labels[i - 1] or passes[i] != passes[i - 1]], len(labels)]
-            for i, j in zip(change, change[1:], strict=False):
-                if (passes[i], labels[i]) != key:
-                    if held[1]:
-                        yield from compare(*held)
-                    key, held = (passes[i], labels[i]), ([], [], [])
-                held[0].append(codes[i:j] >> (BITS - REGION))
-                held[1].append(reps[i:j])
-                held[2].append(np.frombuffer(b"".join(raw[i:j])).reshape(j - i, -1))
-        if held[1]:
-            yield from compare(*held)
-
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("pass", "label", "hi", "lo").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES) -> DataFrame:

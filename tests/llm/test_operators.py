@@ -146,6 +146,22 @@ def test_near_vectors(spark):
     assert vector_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_large_group(spark):
+    """One tight group over many partitions and blocks: every pair is found."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + 1e-6 * rng.standard_normal(16)).tolist(), 1) for i in range(600)]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        classes = vector_dedup.projected(frame, 2).select("label", "vector", "vec_id", "codes").withColumnRenamed("vec_id", "rep")
+        assert vector_dedup.window_pairs(classes).count() == 600 * 599 // 2
+        assert vector_dedup.window_pairs(classes, block=100).count() == 600 * 599 // 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_lines(spark, empty):
     long = "the quick brown fox jumps over the lazy dog while the council debates the annual budget for roads and parks again"
     rows = [(1, f"{long}\nalone one", "en", "q", "r"), (2, f"{long}\n\nalone two", "en", "q", "r"), (3, long.replace("again", "today"), "en", "q", "r"), (4, None, "en", "q", "r"), (5, "", "en", "q", "r"), (6, "alone one", "en", "q", "r"), (6, "alone one", "en", "q", "r")]
