@@ -7,7 +7,9 @@ region spreads over many tasks. A row is compared with its neighbours to an adap
 clearly similar the region is dense, and one link suffices to keep it together; elsewhere up to WINDOW neighbours that
 share MIN_PREFIX values are taken. Candidates whose signatures agree in at least FLOOR of their places are confirmed on
 the full sets: first the best candidate of each class, then, after a union-find, those that would still join two
-components; a candidate within one component can't change anything.
+components; a candidate within one component can't change anything. At last all pairs of a region (a tree's rows with
+the same first MIN_PREFIX values) that still lie in different components are compared in blocks, without a window, and
+confirmed in the same way: none that shares a region and could join two components is left untested.
 
 Words: runs of characters other than the space and U+0009 to U+000D, after lower-casing A-Z. A text with fewer words
 than five is one shingle; without words, or null, the set is empty and linked with nothing. A null doc_id is linked with
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_texts, cut_lineage, read_table
+from .common import arrow_texts, block_pairs, cut_lineage, read_table
 from .components import SALTS, connected_components
 from .pieces import span_hashes
 
@@ -35,6 +37,9 @@ WINDOW = 8
 DENSE = 0.9
 #: More than four standard deviations below the threshold for PLACES values.
 FLOOR = 0.5
+#: Rows of a region that meet each other in one task, and in one step of it.
+BLOCK = 2048
+TILE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,27 +180,70 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text)."""
-    rows = cut_lineage(sketches(docs))
-    useful = rows.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = useful.groupBy("set_hash", "n_shingles").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("rep"))
-    classes = cut_lineage(classes)
-    pairs = cut_lineage(candidates(classes.select("rep", "signature")))
+def region_pairs(classes: DataFrame, labels: DataFrame, trees: int = TREES, block: int = BLOCK) -> DataFrame:
+    """Pairs a < b of classes(rep, signature) in different components that share a region, with the share that agrees."""
+    import pyarrow as pa
+
+    step = PLACES // trees
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"), "signature")
+    turned = named.select("rep", "component", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.concat("signature", "signature").alias("_twice"))
+    rows = turned.select("tree", F.expr(f"substring(_twice, tree * {step} + 1, {MIN_PREFIX})").alias("prefix"), "rep", "component")
+    keys = ["tree", "prefix"]
+    dealt = block_pairs(cut_lineage(rows), keys, "rep", block).join(classes.select("rep", "signature"), "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
+
+    def compare(table):
+        own, rep, component = (table.column(c).to_numpy() for c in ("_own", "rep", "component"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, PLACES)
+        hi, lo = table.column("_hi")[0].as_py(), table.column("_lo")[0].as_py()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(0, len(left), TILE):
+            for j in range(0, len(right), TILE):
+                x, y = left[i : i + TILE], right[j : j + TILE]
+                share = (signature[x][:, None, :] == signature[y][None, :, :]).mean(2)
+                good = (share >= FLOOR) & (component[x][:, None] != component[y][None, :])
+                if hi == lo:
+                    good &= x[:, None] < y[None, :]
+                a, b = np.nonzero(good)
+                found.append((np.minimum(rep[x[a]], rep[y[b]]), np.maximum(rep[x[a]], rep[y[b]]), share[a, b]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], schema=schema)
+
+    each = dealt.groupBy(*keys, "_hi", "_lo").applyInArrow(compare, "a long, b long, share double")
+    return each.groupBy("a", "b").agg(F.max("share").alias("share"))
+
+
+def settled(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, percent: int) -> DataFrame:
+    """links and the confirmed ones of pairs(a, b, share): the best of each class, then those that still join components."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).join(ends, "rep", "left_semi")
     texts = cut_lineage(texts.dropDuplicates(["rep"]))
     best = F.max_by(F.struct("a", "b"), F.struct("share", -F.col("a"), -F.col("b")))
     sides = pairs.select(F.explode(F.array("a", "b")).alias("_end"), "a", "b", "share")
     first = sides.groupBy("_end").agg(best.alias("_p")).select("_p.a", "_p.b").distinct()
-    links = cut_lineage(confirm(first, texts, percent))
+    sure = confirm(first, texts, percent)
+    links = cut_lineage(sure if links is None else links.unionByName(sure))
     labels = connected_components(links)
     left = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
     right = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
     open_pairs = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
     open_pairs = open_pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
-    more = confirm(open_pairs, texts, percent)
-    labels = connected_components(links.unionByName(more))
+    return cut_lineage(links.unionByName(confirm(open_pairs, texts, percent)))
+
+
+def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text)."""
+    rows = cut_lineage(sketches(docs))
+    useful = rows.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
+    classes = useful.groupBy("set_hash", "n_shingles").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("rep"))
+    classes = cut_lineage(classes)
+    signed = classes.select("rep", "signature")
+    pairs = cut_lineage(candidates(signed))
+    links = settled(pairs, None, docs, percent)
+    labels = connected_components(links)
+    rest = cut_lineage(region_pairs(signed, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        labels = connected_components(settled(rest, links, docs, percent))
     whole = classes.join(labels, classes["rep"] == labels["node"], "left")
     whole = whole.select("set_hash", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     spread = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("n_shingles", "_n")

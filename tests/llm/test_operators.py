@@ -128,6 +128,19 @@ def test_near_duplicates(spark, empty):
     assert near_dedup.near_components(empty).count() == 0
 
 
+def test_regions_have_no_window(spark):
+    """Rows of a region meet all others of other components, however far apart and in whichever block."""
+    rng = np.random.default_rng(8)
+    head = rng.integers(0, 256, 40).astype(np.uint8).tobytes()
+    rows = [(i, bytearray(head + rng.integers(0, 256, 24).astype(np.uint8).tobytes())) for i in range(60)]
+    classes = spark.createDataFrame(rows, "rep long, signature binary")
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "node long, component long")
+    want = {(i, j) for i in range(60) for j in range(max(i + 1, 20), 60)}
+    for block in (2048, 9):
+        assert {(r.a, r.b) for r in near_dedup.region_pairs(classes, labels, block=block).collect()} == want
+    assert len({(r.a, r.b) for r in near_dedup.candidates(classes).collect()} & want) < len(want)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((20, 16))
