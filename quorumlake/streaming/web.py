@@ -20,13 +20,22 @@ def event_stream(c: Civic) -> DataFrame:
 
 
 def drain(frame: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its result as a table; state and checkpoint go to the shared folder."""
+    """Run a stream over what is there and return its result as a table.
+
+    State, checkpoint and result go to the shared folder; no row passes through the driver. Appended rows are written by
+    the file sink; a complete result overwrites the one of the batch before.
+    """
     spark = frame.sparkSession
-    name = f"st_{uuid.uuid4().hex}"
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    q = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder.rstrip('/')}/streams/{name}").trigger(availableNow=True).start()
+    name = f"{folder.rstrip('/')}/streams/st_{uuid.uuid4().hex}"
+    result, schema = f"{name}/result", frame.schema
+    writer = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{name}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", result).start()
+    else:
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(result)).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(result)
 
 
 def upsert_batches(frame: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):

@@ -50,3 +50,17 @@ def test_upsert_is_idempotent(spark):
     once = upsert(old, new, "k", ["y"])
     twice = upsert(once, new, "k", ["y"])
     assert sorted(once.collect()) == sorted(twice.collect()) == [(1, "a", None), (2, "c", 5), (3, "d", 1)]
+
+
+def test_streams_keep_rows_off_the_driver(spark, tmp_path):
+    """A drained stream is read from files, in append and in complete mode."""
+    from pyspark.sql import functions as F
+
+    from quorumlake.streaming.web import drain
+
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    rows, sums = drain(stream(), "append"), drain(stream().groupBy((F.col("id") % 2).alias("odd")).agg(F.count(F.lit(1)).alias("n")))
+    assert rows.inputFiles() and sums.inputFiles()
+    assert sorted(r.id for r in rows.collect()) == list(range(100))
+    assert sorted(tuple(r) for r in sums.collect()) == [(0, 50), (1, 50)]
