@@ -1,15 +1,19 @@
 """Byte-level BPE by Spark's higher-order functions, and decoding by concatenated binary pieces.
 
-A first pass groups documents into bounded batches and lists each batch's distinct words as byte arrays. Spark then
-folds the ranked merges over every word: `aggregate` repeats a step in which `zip_with` ranks all neighbouring pairs,
-`array_min` picks the lowest rank and `concat` of two slices merges it. The rank map is a literal: the pairs' table,
-whose rows (one for each left token) are displaced so that they don't overlap, as two literal arrays; a look-up is two
-array reads. A last pass maps the words of each document to their ids, and decodes the ids by concatenating the
-tokens' bytes. All three run in one stage without a shuffle, and a batch bounds the memory.
-
-Words of more than MAX_FOLD bytes, on which a fold quadratic in their length is slow, take the same merges in the last pass from
-the library's heap. Null text: empty, no tokens. Rows that repeat stay; other columns are ignored; an empty table gives
-an empty result.
+A first pass groups documents into bounded batches, numbers the words that a partition meets and lists each batch's new
+ones as byte arrays. Spark then folds the ranked merges over every distinct word, of whatever length: `aggregate` repeats
+a step in which `array_min` picks the lowest rank among the neighbouring pairs, `concat` of slices merges that pair, and
+only the two pairs beside it are ranked anew. The rank map is a literal: the pairs' table, whose rows (one for each left
+token) are displaced so that they don't overlap, as two literal arrays; a look-up is two array reads. A last pass puts
+the folded ids in the places of the word numbers, and decodes the ids by concatenating the tokens' bytes. Texts stay out
+of the fold and of the last pass. All three run in one stage without a shuffle, and a batch bounds the memory.
+
+A word longer than STRIDE + OVERLAP bytes is folded in windows of that size that begin STRIDE bytes apart. Two
+neighbouring windows are joined at a token that both hold at the same place: every pair of neighbouring tokens then
+stands in some window's fold, and a sequence all of whose neighbouring pairs are stable is the word's encoding. Windows
+without a common token (none is known) make the word be folded whole. So the fold is linear in a word's length.
+
+Null text: empty, no tokens. Rows that repeat stay; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from .common import read_table, tokenizer_path
 from .pieces import Joined, slices, span_hashes
 from .token_counts import boundaries
 
-MAX_FOLD = 10
-BATCH = 3_000_000
+STRIDE, OVERLAP = 240, 120
+BATCH = 1_000_000
 #: Words that a partition remembers; then it begins anew.
 REMEMBER = 400_000
 NONE = 1 << 16
@@ -42,10 +46,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 @functools.cache
 def rank_table(path: str) -> tuple[list[int], list[int], list[int]]:
-    """(token of each byte, displacement of each left token, cells): the pair a, b merges into m where
-    cells[displacement[a] + b] = a * NONE + m; other cells are negative."""
+    """(first states, displacements, cells).
+
+    A state is pair rank << 16 | token, the rank being that of the pair which the token makes with its right neighbour,
+    and itself the id of the merged token. First states: of byte a before byte b at a * 257 + b, b = 256 at the end of a
+    word. The pair a, b merges into m where cells[displacement[a] + b] = a << 32 | m << 16; other cells are negative.
+    """
     ranks = load_ranks(path)
-    assert len(ranks) < NONE
+    assert len(ranks) < 1 << 16
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -54,7 +62,7 @@ def rank_table(path: str) -> tuple[list[int], list[int], list[int]]:
                 rows.setdefault(a, []).append((b, rank))
     size, reach = len(ranks), 1024
     used = np.zeros(size * 16, bool)
-    cells = np.full(len(used), -1, np.int64)
+    cells = np.full(len(used), -(1 << 16), np.int64)
     displacement = np.zeros(size, np.int64)
     shifts = np.arange(reach)
     at = 0
@@ -68,9 +76,13 @@ def rank_table(path: str) -> tuple[list[int], list[int], list[int]]:
         displacement[a] = place = at + int(fits[0])
         at = place if len(row) < 64 else at
         used[place + rights] = True
-        cells[place + rights] = np.array([m for _, m in row]) + a * NONE
+        cells[place + rights] = (np.array([m for _, m in row]) << 16) + (a << 32)
     end = int(np.flatnonzero(used)[-1]) + 1
-    return [ranks[bytes([i])] for i in range(256)], displacement.tolist(), cells[: max(end, int(displacement.max()) + size)].tolist()
+    first = []
+    for a in range(256):
+        token = ranks[bytes([a])]
+        first += [ranks.get(bytes([a, b]), NONE) << 16 | token for b in range(256)] + [NONE << 16 | token]
+    return first, displacement.tolist(), cells[: max(end, int(displacement.max()) + size)].tolist()
 
 
 def _literal(values: list[int], kind: str) -> Column:
@@ -83,29 +95,72 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def fold_merges(words: Column, table: Column) -> Column:
-    """The token ids of each byte array of `words`; table: struct(bytes, displacement, cells)."""
+def _fold(table: Column, word: Column) -> Column:
+    """The states of the tokens of one byte array that ends with 256."""
+    token = lambda state: state.bitwiseAND(F.lit(0xFFFF))
+
+    def paired(a: Column, b: Column) -> Column:
+        """The state of token a before token b: a rank of NONE or more where the pair doesn't merge."""
+        cell = F.get(table["cells"], F.get(table["displacement"], a.cast("int")) + b.cast("int"))
+        return (cell - F.shiftleft(a, 32)).bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(a)
+
+    def merge(states: Column, p: Column) -> Column:
+        """The states with number p (from 1) and its right neighbour merged."""
+        merged = F.shiftright(F.get(states, p - 1), 16)
+        own = F.coalesce(paired(merged, token(F.get(states, p + 1))), merged.bitwiseOR(F.lit(NONE << 16)))
+        rest = F.slice(states, p + 2, F.size(states))
+        before = paired(token(F.get(states, p - 2)), merged)
+        return F.when(p == 1, F.concat(F.array(own), rest)).otherwise(F.concat(F.slice(states, F.lit(1), p - 2), F.array(before, own), rest))
+
+    def step(states: Column, _: Column) -> Column:
+        def at(p: Column) -> Column:
+            return F.when(F.get(states, p - 1) >= NONE << 16, states).otherwise(merge(states, p))
+
+        return _let(F.array_position(states, F.array_min(states)).cast("int"), at)
+
+    first = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word)), lambda a, b: F.get(table["first"], a * 257 + b))
+    return F.aggregate(F.slice(word, F.lit(3), F.size(word)), first, step)
+
+
+def _windows(table: Column, word: Column) -> Column:
+    """The token ids of a long byte array that ends with 256, joined from its windows; null if two windows have no token in common."""
+
+    def placed(begin: Column) -> Column:  # (token, its place in the word) of each token of the window
+        def add(held: Column, token: Column) -> Column:
+            own = token.bitwiseAND(F.lit(0xFFFF))
+            row = F.struct(held["at"].alias("at"), own.alias("id"))
+            return F.struct((held["at"] + F.get(table["lengths"], own.cast("int"))).alias("at"), F.concat(held["rows"], F.array(row)).alias("rows"))
+
+        none = F.expr("cast(array() as array<struct<at: int, id: bigint>>)")
+        part = F.slice(F.slice(word, F.lit(1), F.size(word) - 1), begin + 1, F.lit(STRIDE + OVERLAP))
+        tokens = _fold(table, F.concat(part, F.array(F.lit(256).cast("smallint"))))
+        return F.aggregate(tokens, F.struct(begin.alias("at"), none.alias("rows")), add, lambda held: held["rows"])
+
+    def joined(windows: Column) -> Column:
+        # the place of the first token that a window shares with the one before
+        later = F.slice(windows, F.lit(2), F.size(windows))
+        meets = F.zip_with(F.slice(windows, F.lit(1), F.size(windows) - 1), later, lambda a, b: F.get(F.array_intersect(a, b), 0)["at"])
 
-    def rank(a: Column, b: Column) -> Column:  # NONE or more where the pair doesn't merge
-        cell = F.get(table["cells"], F.get(table["displacement"], a) + b)
-        return (cell - a.cast("long") * NONE).bitwiseAND(F.lit((1 << 63) - 1))
+        def spliced(cuts: Column) -> Column:
+            begins, ends = F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.lit(2147483647)))
 
-    def step(tokens: Column, _: Column) -> Column:
-        ranks = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), rank)
+            def own(held: Column) -> Column:
+                return F.transform(F.filter(held["w"], lambda x: (x["at"] >= held["b"]) & (x["at"] < held["e"])), lambda x: x["id"])
 
-        def merge(ranks: Column) -> Column:
-            def at(low: Column) -> Column:
-                p = F.array_position(ranks, low).cast("int")
-                joined = F.concat(F.slice(tokens, F.lit(1), p - 1), F.array(low.cast("int")), F.slice(tokens, p + 2, F.size(tokens)))
-                return F.when(low < NONE, joined).otherwise(tokens)
+            return F.flatten(F.transform(F.arrays_zip(windows.alias("w"), begins.alias("b"), ends.alias("e")), own))
 
-            return _let(F.array_min(ranks), at)
+        return _let(meets, lambda cuts: F.when(~F.exists(cuts, lambda x: x.isNull()), spliced(cuts)))
 
-        return F.when(F.size(tokens) < 2, tokens).otherwise(_let(ranks, merge))
+    begins = F.sequence(F.lit(0), F.size(word) - OVERLAP - 2, F.lit(STRIDE))
+    return _let(F.transform(begins, placed), joined)
+
+
+def fold_merges(words: Column, table: Column) -> Column:
+    """In the low 16 bits the token ids of each byte array of `words`, which ends with 256; table: struct(first,
+    displacement, cells, lengths)."""
 
     def fold(word: Column) -> Column:
-        first = F.transform(word, lambda b: F.get(table["bytes"], b))
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), first, step)
+        return F.when(F.size(word) <= STRIDE + OVERLAP + 1, _fold(table, word)).otherwise(F.coalesce(_windows(table, word), _fold(table, word)))
 
     return F.transform(words, fold)
 
@@ -149,103 +204,114 @@ def _spans(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[Joined, n
         yield spans()
 
 
+class WordNumbers:
+    """Numbers from 0 of the words met so far, found by a 64-bit hash."""
+
+    def __init__(self):
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each word, the places of the words that are new, in the order of their numbers)."""
+        found, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, found)
+        new = self.known[np.minimum(place, len(self.known) - 1)] != found if len(self.known) else np.ones(len(found), bool)
+        numbers = np.empty(len(found), np.int32)
+        numbers[~new] = self.number[place[~new]]
+        numbers[new] = len(self.known) + np.arange(int(new.sum()), dtype=np.int32)
+        merged = np.concatenate([self.known, found[new]])
+        order = np.argsort(merged, kind="stable")
+        self.number = np.concatenate([self.number, numbers[new]])[order]
+        self.known = merged[order]
+        return numbers[back], at[new]
+
+
 def distinct_words(docs: DataFrame, limit: int = BATCH) -> DataFrame:
-    """Batches: docs array<struct<doc_id, text>>, the hashes of their distinct words that the partition's earlier batches
-    don't have, these words as byte arrays (one of more than MAX_FOLD bytes: empty), and whether the partition has
-    forgotten its earlier words."""
+    """Batches of documents: their ids; how many words each has; the words' numbers, four bytes each; as byte arrays
+    that end with 256 the words that are new to the partition, in the order of their numbers; and whether numbering began anew before them."""
     import pyarrow as pa
 
-    kind = pa.struct([("doc_id", pa.int64()), ("text", pa.string())])
+    names = ["keys", "counts", "numbers", "words", "anew"]
 
     def run(batches: Iterator) -> Iterator:
-        known = np.zeros(0, np.uint64)
+        table = WordNumbers()
         for keys, texts in _batches(batches, limit):
-            hashes, raw, anew = np.zeros(0, np.uint64), [], len(known) > REMEMBER
-            known = known[:0] if anew else known
-            for joined, begins, ends, h, _ in _spans(texts):
-                found, at = np.unique(h, return_index=True)
-                place = np.searchsorted(known, found)
-                new = known[np.minimum(place, len(known) - 1)] != found if len(known) else np.ones(len(found), bool)
-                words = [joined.text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begins[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-                raw += [w if len(w) <= MAX_FOLD else b"" for w in words]
-                hashes = np.concatenate([hashes, found[new]])
-                known = np.sort(np.concatenate([known, found[new]]), kind="stable")
-            order = np.argsort(hashes)
-            raw = [raw[i] for i in order.tolist()]
-            offsets = np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16))
-            one = pa.array([0, len(raw)], pa.int32())
-            words = pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(pa.array(offsets), flat))
-            rows = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(texts)], fields=list(kind))
-            held = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([held, pa.ListArray.from_arrays(one, pa.array(hashes[order].view(np.int64))), words, pa.array([anew])], ["docs", "hashes", "words", "anew"])
-
-    schema = "docs array<struct<doc_id: long, text: string>>, hashes array<long>, words array<array<smallint>>, anew boolean"
+            anew = len(table.known) > REMEMBER
+            if anew:
+                table = WordNumbers()
+            counts, numbers, raw = np.zeros(len(texts), np.int64), [], []
+            for joined, begins, ends, h, whose in _spans(texts):
+                own, fresh = table.of(h)
+                numbers.append(own)
+                counts += np.bincount(whose, minlength=len(texts))
+                raw += [joined.text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begins[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+            ends = np.cumsum([len(w) for w in raw]).astype(np.int64)
+            flat = np.insert(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16), ends, 256)
+            offsets, flat = np.concatenate([[0], ends + np.arange(1, len(raw) + 1)]).astype(np.int32), pa.array(flat)
+            words = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat))
+            laid = np.concatenate([*numbers, np.zeros(0, np.int32)]).astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([laid], pa.binary()), words, pa.array([anew])], names)
+
+    schema = "keys array<long>, counts array<long>, numbers binary, words array<array<smallint>>, anew boolean"
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
 
 
+class Growing:
+    """Arrays laid end to end that grow by doubling."""
+
+    def __init__(self, kind: str):
+        self.held, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        while self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of each row of docs(doc_id, text)."""
     import pyarrow as pa
 
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
-    byte_ids, displacement, cells = rank_table(path)
-    table = F.struct(_literal(byte_ids, "int").alias("bytes"), _literal(displacement, "int").alias("displacement"), _literal(cells, "long").alias("cells"))
-    folded = _let(table, lambda held: fold_merges(F.col("words"), held))
-    coded = distinct_words(docs).select("docs", "hashes", folded.alias("ids"), "anew")
+    first, displacement, cells = rank_table(path)
+    sizes = [0] * len(displacement)
+    for token, rank in load_ranks(path).items():
+        sizes[rank] = len(token)
+    literals = [("first", first, "long"), ("displacement", displacement, "int"), ("cells", cells, "long"), ("lengths", sizes, "int")]
+    arrays = [_literal(values, kind).alias(name) for name, values, kind in literals]
+    folded = _let(F.struct(*arrays), lambda held: fold_merges(F.col("words"), held))
+    coded = distinct_words(docs).select("keys", "counts", "numbers", folded.alias("ids"), "anew")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator) -> Iterator:
-        import tiktoken
-
         ranks = load_ranks(path)
         pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token
-        hashes, flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
-        lengths = starts = np.zeros(0, np.int64)
-        heap = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        lengths, starts, flat = Growing("int64"), Growing("int64"), Growing("<u4")
         for batch in batches:
             for i in range(batch.num_rows):
-                held = batch.column(0)[i].values
-                keys = held.field("doc_id")
-                texts = [t.as_py() for t in held.field("text")]
-                new = batch.column(1)[i].values.to_numpy().view(np.uint64)
-                ids = batch.column(2)[i].values
+                if batch.column(4)[i].as_py():
+                    lengths.n = starts.n = flat.n = 0
+                ids = batch.column(3)[i].values
                 more = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-                if batch.column(3)[i].as_py():
-                    hashes, lengths, starts, flat = hashes[:0], lengths[:0], starts[:0], flat[:0]
-                starts = np.concatenate([starts, np.cumsum(more) - more + len(flat)])
-                hashes, lengths = np.concatenate([hashes, new]), np.concatenate([lengths, more])
-                flat = np.concatenate([flat, ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")])
-                order = np.argsort(hashes, kind="stable")
-                hashes, lengths, starts = hashes[order], lengths[order], starts[order]
-                counts, parts = np.zeros(len(texts), np.int64), []
-                for joined, begins, ends, h, whose in _spans(texts):
-                    word = np.searchsorted(hashes, h)
-                    unfolded = np.flatnonzero(lengths[word] == 0)  # words too long to fold
-                    if len(unfolded):
-                        k, first = np.unique(word[unfolded], return_index=True)
-                        places = unfolded[first]
-                        raw = [joined.text[i:j].encode("utf-8", "surrogatepass") for i, j in zip(begins[places].tolist(), ends[places].tolist(), strict=True)]
-                        coded = [heap._encode_single_piece(w) for w in raw]
-                        lengths[k] = [len(x) for x in coded]
-                        starts[k] = len(flat) + np.cumsum(lengths[k]) - lengths[k]
-                        flat = np.concatenate([flat, np.fromiter((t for x in coded for t in x), "<u4")])
-                    n = lengths[word]
-                    stops = np.cumsum(n)
-                    total = int(stops[-1]) if len(stops) else 0
-                    parts.append(flat[np.arange(total) + np.repeat(starts[word] - (stops - n), n)])
-                    counts += np.bincount(whose, n, len(texts)).astype(np.int64)
-                own = np.concatenate([*parts, flat[:0]])
-                rows, place = [], 0
-                for count in counts.tolist():
-                    part = own[place : place + count]
-                    place += count
+                starts.add(np.cumsum(more) - more + flat.n)
+                lengths.add(more)
+                flat.add((ids.flatten().to_numpy(zero_copy_only=False) & 0xFFFF).astype("<u4"))
+                word = np.frombuffer(batch.column(2)[i].as_py(), "<i4")
+                words = batch.column(1)[i].values.to_numpy()
+                n = lengths.held[word]
+                stops = np.concatenate([[0], np.cumsum(n)])
+                own = flat.held[np.arange(int(stops[-1])) + np.repeat(starts.held[word] - stops[:-1], n)]
+                ends = stops[np.cumsum(words)].tolist()
+                rows, begin = [], 0
+                for end in ends:
+                    part = own[begin:end]
                     decoded = b"".join(map(pieces.__getitem__, part.tolist()))
-                    rows.append((count, hashlib.sha256(part.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()) + ((part.tolist(),) if keep_ids else ()))
+                    rows.append((end - begin, hashlib.sha256(part.data).hexdigest(), hashlib.sha256(decoded).hexdigest()) + ((part.tolist(),) if keep_ids else ()))
+                    begin = end
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])] + ([pa.array(columns[3], pa.list_(pa.int64()))] if keep_ids else []), names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])] + ([pa.array(columns[3], pa.list_(pa.int64()))] if keep_ids else []), names)
 
     return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids)
 
