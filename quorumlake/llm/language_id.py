@@ -1,12 +1,14 @@
 """Language of whole texts: script ranges narrow the candidates, Viterbi with a switching penalty labels spans.
 
-Model. Words are runs of letters, lower-cased. From labelled documents a Spark job counts, by language, the words'
+Model. Words are runs of letters of one script, lower-cased; a run of more than LONGEST letters counts as several words.
+From labelled documents a Spark job counts, by language, the words'
 features (whole word and marked character trigrams, hashed into BUCKETS) and letters by script. The sample is bounded:
 documents are drawn by a hash of the id so that about SAMPLE of them are used; every drawn text is used whole. A word's
 score for a language is the mean log-probability of its features.
 
 Prediction. A word's script leaves as candidates the languages that use this script in at least one letter of a
 thousand (all, if none does). Viterbi finds the best path over the words' scores; a change of language costs PENALTY.
+Texts step together in chunks of CHUNK words; the chunks of a long text are joined by the maps from start to end state.
 The prediction is the language with the most letters on the path (ties: the first in alphabetical order), the score its
 share of the letters times the mean posterior of its words, 0 to 1.
 
@@ -16,7 +18,9 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,10 @@ BUCKETS = 1 << 15
 SAMPLE = 8000
 PENALTY = 6.0
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a run that make one word.
+LONGEST = 64
+#: Words that step through Viterbi one after the other.
+CHUNK = 128
 #: Script ranges: first and last code point (fixed values).
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -53,6 +60,35 @@ def script_of(word: str) -> int:
     return next((i for i, ranges in enumerate(SCRIPTS.values()) if any(a <= c <= b for a, b in ranges)), len(SCRIPTS))
 
 
+def _class(points: list[int]) -> str:
+    """The pattern of a set of code points in rising order."""
+    out, first, last = [], None, None
+    for c in [*points, None]:
+        if last is not None and c == last + 1:
+            last = c
+            continue
+        if first is not None:
+            out.append(f"\\U{first:08x}-\\U{last:08x}")
+        first = last = c
+    return f"[{''.join(out)}]"
+
+
+@functools.cache
+def word_pattern() -> re.Pattern:
+    """Letters (general category L) of one script, at most LONGEST of them."""
+    letters = [c for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+    by_script: dict[int, list[int]] = {}
+    for c in letters:
+        by_script.setdefault(script_of(chr(c)), []).append(c)
+    return re.compile("|".join(f"{_class(by_script[k])}{{1,{LONGEST}}}" for k in sorted(by_script)))
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased."""
+    found = word_pattern().findall(text)
+    return "\n".join(found).lower().split("\n") if found else found
+
+
 def features(word: str) -> list[int]:
     from zlib import crc32
 
@@ -87,7 +123,7 @@ class Model:
             self._clear()
         new = list(set(words).difference(self.words))
         if new:
-            held = [features(w[:64]) for w in new]
+            held = [features(w) for w in new]
             sizes = np.fromiter(map(len, held), np.int64, len(held))
             flat = np.fromiter((f for own in held for f in own), np.int64, int(sizes.sum()))
             scores = np.add.reduceat(self.logs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
@@ -101,36 +137,71 @@ class Model:
         return self.rows, np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best language of each word, for texts laid end to end with `counts` words each; all texts step together."""
-    order = np.argsort(-counts, kind="stable")
-    starts = (np.cumsum(counts) - counts)[order]
-    sizes = counts[order]
+class _Steps:
+    """Runs of words, the longest first, that step together."""
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        self.starts, self.sizes = starts[self.order], sizes[self.order]
+        steps = int(self.sizes[0]) if len(sizes) else 0
+        self.active = (len(sizes) - np.searchsorted(self.sizes[::-1], np.arange(1, steps + 1), "left")).tolist()
+
+    def forward(self, scores: np.ndarray, entry: np.ndarray, penalty: float, came: np.ndarray | None = None) -> np.ndarray:
+        """The best sum of each state at each run's end, from those before its first word; came: whence, by word."""
+        best = entry[self.order].astype(np.float64)
+        own = np.arange(scores.shape[1])
+        for t, m in enumerate(self.active):
+            at = self.starts[:m] + t
+            now = best[:m]
+            change = now.max(1) - penalty
+            if came is not None:
+                came[at] = np.where(now >= change[:, None], own, now.argmax(1)[:, None])
+            best[:m] = np.maximum(now, change[:, None]) + scores[at]
+        out = np.empty_like(best)
+        out[self.order] = best
+        return out
+
+    def backward(self, came: np.ndarray, state: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:
+        """The state before each run's first word, from the state at its end; several ends of a run as columns."""
+        state = state[self.order].copy()
+        for t in range(len(self.active) - 1, -1, -1):
+            m = self.active[t]
+            at = self.starts[:m] + t
+            if path is not None:
+                path[at] = state[:m, 0]
+            state[:m] = np.take_along_axis(came[at], state[:m], 1)
+        out = np.empty_like(state)
+        out[self.order] = state
+        return out
+
+
+def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY, chunk: int = CHUNK) -> np.ndarray:
+    """The best language of each word, for texts laid end to end with `counts` words each."""
     n, k = scores.shape
-    came = np.zeros((n, k), np.int8)
-    best = np.zeros((len(order), k), np.float32)
-    final = np.zeros(len(order), np.int64)
-    steps = int(sizes[0]) if len(sizes) else 0
-    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, steps + 1), "left")
-    for t in range(steps):
-        m = active[t]
-        at = starts[:m] + t
-        if t:
-            top = best[:m].argmax(1)
-            change = best[np.arange(m), top] - penalty
-            stay = best[:m] >= change[:, None]
-            came[at] = np.where(stay, np.arange(k), top[:, None])
-            best[:m] = np.where(stay, best[:m], change[:, None])
-        best[:m] += scores[at]
-    path = np.zeros(n, np.int8)
-    for t in range(steps - 1, -1, -1):
-        m = active[t]
-        ending = sizes[:m] == t + 1
-        final[:m] = np.where(ending, best[:m].argmax(1), final[:m])
-        at = starts[:m] + t
-        path[at] = final[:m]
-        if t:
-            final[:m] = came[at, final[:m]]
+    per_text = -(-counts // chunk)
+    last = np.cumsum(per_text) - 1  # a text's last chunk, where it has any
+    owner = np.repeat(np.arange(len(counts)), per_text)
+    number = np.arange(len(owner)) - (last + 1 - per_text)[owner]
+    begins = (np.cumsum(counts) - counts)[owner] + number * chunk
+    sizes = np.minimum(chunk, counts[owner] - number * chunk)
+    entry = np.zeros((len(owner), k))
+    more = np.flatnonzero(number + 1 < per_text[owner])  # chunks with a successor
+    if len(more):
+        one = np.where(np.eye(k, dtype=bool), 0.0, -1e30)
+        maps = _Steps(np.repeat(begins[more], k), np.repeat(sizes[more], k)).forward(scores, np.tile(one, (len(more), 1)), penalty).reshape(-1, k, k)
+        by_number = np.argsort(number[more], kind="stable")
+        for part in np.split(by_number, np.flatnonzero(np.diff(number[more][by_number])) + 1):
+            at = more[part]
+            ends = (entry[at][:, :, None] + maps[part]).max(1)
+            entry[at + 1] = ends - ends.max(1, keepdims=True)
+    steps, came, path = _Steps(begins, sizes), np.zeros((n, k), np.int8), np.zeros(n, np.int8)
+    final = steps.forward(scores, entry, penalty, came).argmax(1)
+    if len(more):
+        whence = steps.backward(came, np.tile(np.arange(k), (len(owner), 1)))
+        for part in np.split(by_number, np.flatnonzero(np.diff(number[more][by_number])) + 1)[::-1]:
+            at = more[part]
+            final[at] = whence[at + 1, final[at + 1]]
+    steps.backward(came, final[:, None], path)
     return path
 
 
@@ -151,10 +222,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 row = counts.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
                 if len(cache) > 200_000:
                     cache.clear()
-                for word in _WORD.findall(text.as_py().lower()):
+                for word in words_of(text.as_py()):
                     own = cache.get(word)
                     if own is None:
-                        own = cache[word] = [*features(word[:64]), BUCKETS + script_of(word)]
+                        own = cache[word] = [*features(word), BUCKETS + script_of(word)]
                     for f in own:
                         row[f] += 1
         for lang, row in counts.items():
@@ -177,7 +248,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def label_texts(model: Model, texts: list[str], keep_spans: bool = False) -> list[tuple]:
     """(language, score) of each text, and its spans (language, begin, end) if asked for."""
-    found = [_WORD.findall(t.lower()) for t in texts]
+    found = [words_of(t) for t in texts]
     counts = np.fromiter(map(len, found), np.int64, len(found))
     words = [w for own in found for w in own]
     if not words or not model.languages:
@@ -203,7 +274,7 @@ def label_texts(model: Model, texts: list[str], keep_spans: bool = False) -> lis
         if keep_spans:
             spans: list[list] = []
             own = path[stops[i] - counts[i] : stops[i]]
-            for m, lang in zip(_WORD.finditer(texts[i]), own.tolist(), strict=False):
+            for m, lang in zip(word_pattern().finditer(texts[i]), own.tolist(), strict=True):
                 if spans and spans[-1][0] == model.languages[lang]:
                     spans[-1][2] = m.end()
                 else:

@@ -158,16 +158,17 @@ class Plan:
 
     def _best_pair(self, sizes: list[int], room: int, length: int) -> int:
         """The greatest sum within room of two items beside one of this length; 0 if none."""
-        best, low, high = 0, 0, bisect.bisect_right(sizes, room) - 1
-        free = lambda i: self.left[sizes[i]] - (sizes[i] == length)
+        free = lambda size: self.left[size] - (size == length)
+        usable = [size for size in sizes[: bisect.bisect_right(sizes, room)] if free(size) > 0]
+        best, low, high = 0, 0, len(usable) - 1
         while low <= high:
-            total = sizes[low] + sizes[high]
+            total = usable[low] + usable[high]
             if total > room:
                 high -= 1
-            else:
-                if (low != high and free(low) > 0 and free(high) > 0) or (low == high and free(low) > 1):
-                    best = max(best, total)
-                low += 1
+                continue
+            if low < high or free(usable[low]) > 1:
+                best = max(best, total)
+            low += 1
         return best
 
     def reduce(self) -> None:

@@ -6,7 +6,6 @@ All functions here work inside one task on a bounded batch of texts.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,8 @@ LETTER, NUMBER, OTHER, QUOTE, SPACE, WHITE = range(6)
 #: The contractions that the splitting pattern takes whole, without their apostrophe (fixed values).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SLICE = 1_000_000
-_CUT = re.compile(r"(?<=\S)\s")
+#: A character of the class WHITE or SPACE after one of another class.
+_CUT = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
 
 
 @functools.cache
