@@ -12,30 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import language_id, line_dedup, near_dedup, packing, pii
-from quorumlake.llm.common import cut_lineage
+from quorumlake.llm.common import cut_lineage, unused
 
 #: No SQL form: tokenizers, signatures and trained models.
 ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents of unknown language: null texts and texts without a letter."""
-    return _kept_by_id(docs, language_id.detect_languages(docs).select("doc_id", (F.col("lang_pred") != language_id.UNKNOWN).alias("_keep")))
+    """Reject documents of unknown language: null texts and texts without a letter. Each row stands for itself."""
+    return language_id.with_language(docs, language_id.learnt(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each group of equal or similar lines stays; a document that loses all its lines goes."""
-    return line_dedup.without_repeats(docs).filter("n_kept > 0 or n_lines = 0").select(*docs.columns)
+    n_lines, n_kept = (unused(c, docs.columns) for c in ("n_lines", "n_kept"))
+    done = line_dedup.without_repeats(docs, n_lines, n_kept)
+    return done.filter((F.col(n_kept) > 0) | (F.col(n_lines) == 0)).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return _kept_by_id(docs, near_dedup.near_components(docs).select("doc_id", F.col("kept").alias("_keep")))
+    """One row of each group of near-duplicates stays, whatever the doc_ids: rows are numbered, and the table written with
+    its numbers, so that a lost executor can't change them."""
+    row, kept = (unused(c, docs.columns) for c in ("_row", "_kept"))
+    numbered = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    judged = near_dedup.near_components(numbered.select(F.col(row).alias("doc_id"), "text"))
+    gone = cut_lineage(judged.filter(~F.col("kept")).select(F.col("doc_id").alias(kept)))
+    # what goes is the smaller side, and no text is compared: an anti join on numbers
+    return numbered.join(gone, numbered[row] == gone[kept], "left_anti").select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    done = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +54,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs)
 
 
-def _kept_by_id(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs that their doc_id's decision keeps; a row with a null doc_id follows the decisions on null ids.
-
-    What goes is the smaller side, and no text is compared: an anti join on ids.
-    """
-    gone = cut_lineage(decisions.filter(~F.col("_keep")).select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
-
-
 STAGES = [
     ("language ID", language_stage),
     ("line dedup", line_stage),

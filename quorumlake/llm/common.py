@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
-def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    """Where a vocabulary file lies; the folder must be the same on every machine."""
-    return os.path.join(os.environ.get("TOKENIZER_DIR", folder), name)
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """Where a vocabulary file lies: in `folder`, which must be the same on every machine, or where the installed package
+    public_tokenizers has it."""
+    if folder is None:
+        try:
+            import public_tokenizers
+        except ModuleNotFoundError:
+            folder = TOKENIZER_DIR
+        else:
+            return public_tokenizers.path(name)
+    return os.path.join(folder, name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +32,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there.
 
-    The folder is the cluster's spark.checkpoint.dir; a folder of our own is used only where none is set (tests).
+    The folder is the cluster's spark.checkpoint.dir; one of our own is used only in local mode (tests), where none is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -66,6 +77,14 @@ def block_pairs(rows: DataFrame, keys: Sequence[str], item: str, block: int) ->
     return each.select(*rows.columns, "_own", F.greatest("_own", "_other").alias("_hi"), F.least("_own", "_other").alias("_lo"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or name after as many underscores as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def arrow_texts(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
     """From Arrow batches (key, text): bounded lists of keys and texts, a null text as an empty one."""
     for batch in batches:

@@ -302,10 +302,32 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, keep_
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
 
 
+def learnt(docs: DataFrame) -> Model:
+    """The model from the folds but 2 of docs(doc_id, text, lang)."""
+    return train(docs.filter(F.coalesce(split_of(docs["doc_id"]) != 2, F.lit(True))))
+
+
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text is of some language of the model, unchanged; each row is judged by its own text."""
+    import pyarrow as pa
+
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS rows
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        own = held.value
+        for batch in batches:
+            keep: list[bool] = []
+            for _, texts in arrow_texts([pa.RecordBatch.from_arrays([batch.column(place), batch.column(place)], ["key", "text"])]):
+                keep += [lang != UNKNOWN for lang, *_ in label_texts(own, texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def detect_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learnt from the folds but 2 of docs(doc_id, text, lang)."""
-    model = train(docs.filter(F.coalesce(split_of(docs["doc_id"]) != 2, F.lit(True))))
-    out = identify(docs, model)
+    out = identify(docs, learnt(docs))
     return out.select("doc_id", F.coalesce(split_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
