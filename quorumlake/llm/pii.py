@@ -3,10 +3,11 @@
 Base spans (email, ip, card, phone) are the leftmost non-overlapping matches of each kind's pattern that pass its
 check; they always stay. Candidates are these matches, valid or not, and two looser kinds: `local` phone numbers without
 a plus and `secret` keys. Regex, check, gazetteer, context and edge labelers vote on each candidate. Expectation-
-maximisation over the counts of vote patterns (a table of at most 2^5 rows a kind, whatever the corpus) estimates each
-labeler's reliability and each pattern's posterior; a logistic span classifier is then trained on these posteriors, and
-its weights go back into a column expression. A looser candidate that it accepts and that overlaps no base span is
-added.
+maximisation over the counts of vote patterns (a table of at most 2^8 rows a kind, whatever the corpus) estimates each
+labeler's reliability and each pattern's posterior; a logistic span classifier is then trained on these posteriors. It
+sees the votes, the kind and the span itself (FEATURES: its length, its digits, the letters beside it), so spans of one
+vote pattern can differ; its weights go back into a column expression. It alone decides on looser candidates: one that
+it accepts and that overlaps no base span or accepted one before it is added, whatever the check said.
 
 Positions are code points, end exclusive. Null text: empty, no spans. Rows that repeat stay; other columns are ignored;
 an empty table gives an empty result. No shuffle but the summing of the vote patterns.
@@ -31,7 +32,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[a-z0-9+/_=-]{12,200}[\"']?",
+    "secret": r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[a-z0-9+/_=-]{12,}+[\"']?",
 }
 #: What a text must hold before its pattern is tried.
 NEEDS = {"email": "@", "phone": "+"}
@@ -44,7 +45,7 @@ GAZETTEER = {
     "card": r"^[3-6]",
     "phone": rf"^\+(?:{CALLING})",
     "local": r"^\(?[2-9]",
-    "secret": r"(?i)^(?:token|api|access|secret)",
+    "secret": r"(?i)^(?:token|api|access|secret|pass)",
 }
 #: Words near a span that speak for its kind (fixed values).
 CONTEXT = {
@@ -56,7 +57,12 @@ CONTEXT = {
     "secret": r"(?i)token|key|secret|pass",
 }
 LABELERS = ("shape", "check", "gazetteer", "context", "edge")
+#: What the classifier sees of a span itself; bits that follow the votes.
+FEATURES = ("long", "digits", "mixed")
 ROUNDS = 30
+#: Matches that are placed by one running sum.
+BLOCK = 256
+#: Kind, votes and feature bits of a candidate.
 Cell = tuple[str, tuple[int, ...]]
 
 
@@ -73,8 +79,29 @@ def _spans(text: Column, kind: str) -> Column:
         more = F.concat(held["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))))
         return F.when(pair["match"].isNull(), held).otherwise(F.struct(end.alias("at"), more.alias("found")))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda held: held["found"])
-    return F.when(some & text.rlike(pattern), found).otherwise(none)
+    def placed(some: Column) -> Column:
+        return F.aggregate(some, F.struct(F.lit(0).alias("at"), none.alias("found")), add)
+
+    def in_blocks(all_pairs: Column) -> Column:
+        """Blocks are placed each from 0, then moved by the sums of the blocks before: no sum over all matches at once."""
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(all_pairs) / BLOCK).cast("int") - 1)
+        blocks = F.transform(numbers, lambda k: placed(F.slice(all_pairs, k * BLOCK + 1, F.lit(BLOCK))))
+
+        def moved(held: Column) -> Column:
+            offsets = F.transform(held, lambda block: block["at"])
+            starts = F.aggregate(offsets, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+            def move(block: Column, by: Column) -> Column:
+                return F.transform(block["found"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match")))
+
+            return F.flatten(F.zip_with(held, F.slice(starts, F.lit(1), F.size(held)), move))
+
+        return F.element_at(F.transform(F.array(blocks), moved), 1)
+
+    def found(all_pairs: Column) -> Column:
+        return F.when(F.size(all_pairs) <= BLOCK, placed(all_pairs)["found"]).otherwise(in_blocks(all_pairs))
+
+    return F.when(some & text.rlike(pattern), F.element_at(F.transform(F.array(pairs), found), 1)).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -102,12 +129,12 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "local":
         return F.length(digits) == 10
     if kind == "secret":
-        return match.rlike(r"[0-9]") & match.rlike(r"(?i)[=:][ \t]*[\"']?[a-z0-9+/_=-]{20,}")
+        return match.rlike(r"(?i)[=:][ \t]*[\"']?(?=[a-z0-9+/_=-]{16})(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])")
     return F.lit(True)
 
 
 def _votes(text: Column, kind: str, span: Column) -> Column:
-    """The labelers' votes on a span, 1 or 0 each."""
+    """The labelers' votes on a span and its feature bits, 1 or 0 each."""
     match = span["match"]
     before = F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))
     around = F.concat(F.substring(text, span["start"], F.when(span["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(1)))
@@ -115,7 +142,8 @@ def _votes(text: Column, kind: str, span: Column) -> Column:
     length = F.length(match) <= 254 if kind == "email" else F.lit(True)
     context = (match if kind == "secret" else before).rlike(CONTEXT[kind])
     votes = (shape, _valid(kind, match) & length, match.rlike(GAZETTEER[kind]), context, ~around.rlike(r"[\p{L}\p{N}]"))
-    return F.array(*[v.cast("int") for v in votes])
+    features = (F.length(match) >= 20, F.length(_digits(match)) >= 8, match.rlike(r"[a-z]") & match.rlike(r"[A-Z]"))
+    return F.array(*[v.cast("int") for v in (*votes, *features)])
 
 
 def candidates(text: Column) -> Column:
@@ -135,9 +163,10 @@ def candidates(text: Column) -> Column:
 
 
 def estimate(cells: dict[Cell, int], rounds: int = ROUNDS) -> tuple[dict[str, float], list[tuple[float, float]], dict[Cell, float]]:
-    """Expectation-maximisation over counts of (kind, votes): priors by kind, (true, false) positive rates by labeler,
+    """Expectation-maximisation over counts of (kind, votes and features): priors by kind, (true, false) positive rates by labeler,
     posteriors by cell."""
-    posterior = {c: (0.05, 0.1, 0.25, 0.5, 0.9, 0.97)[sum(c[1])] for c in cells}
+    n_votes = len(LABELERS)
+    posterior = {c: (0.05, 0.1, 0.25, 0.5, 0.9, 0.97)[sum(c[1][:n_votes])] for c in cells}
     prior: dict[str, float] = {}
     rates: list[tuple[float, float]] = []
     for _ in range(rounds):
@@ -153,7 +182,7 @@ def estimate(cells: dict[Cell, int], rounds: int = ROUNDS) -> tuple[dict[str, fl
             rates.append(((hit + 1) / (good + 2), (miss + 0.5) / (bad + 2)))
         for c in cells:
             odds = math.log(prior[c[0]] / (1 - prior[c[0]]))
-            for vote, (t, f) in zip(c[1], rates, strict=True):
+            for vote, (t, f) in zip(c[1][:n_votes], rates, strict=True):
                 odds += math.log(t / f) if vote else math.log((1 - t) / (1 - f))
             posterior[c] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return prior, rates, posterior
@@ -161,13 +190,13 @@ def estimate(cells: dict[Cell, int], rounds: int = ROUNDS) -> tuple[dict[str, fl
 
 def fit(cells: dict[Cell, int], posterior: dict[Cell, float], steps: int = 400) -> dict[str, float]:
     """Weights of the logistic span classifier, from the cells' posteriors and counts."""
-    names = ["bias", *LABELERS, *KINDS]
+    names = ["bias", *LABELERS, *FEATURES, *KINDS]
     weights = dict.fromkeys(names, 0.0)
     total = sum(cells.values()) or 1
     for _ in range(steps):
         slope = {name: 0.01 * w for name, w in weights.items()}
         for (kind, votes), n in cells.items():
-            on = ["bias", kind, *[name for name, v in zip(LABELERS, votes, strict=True) if v]]
+            on = ["bias", kind, *[name for name, v in zip(LABELERS + FEATURES, votes, strict=True) if v]]
             p = 1 / (1 + math.exp(-sum(weights[x] for x in on)))
             for name in on:
                 slope[name] += (p - posterior[(kind, votes)]) * n / total
@@ -179,7 +208,7 @@ def fit(cells: dict[Cell, int], posterior: dict[Cell, float], steps: int = 400)
 def train(docs: DataFrame) -> dict[str, float]:
     """The classifier's weights, from the votes on all candidates of docs(text)."""
     found = docs.select(F.explode(candidates(docs["text"])).alias("c")).groupBy("c.kind", "c.votes").agg(F.count(F.lit(1)).alias("n"))
-    cells = {(r["kind"], tuple(r["votes"])): r["n"] for r in found.collect()}  # at most 2^5 rows a kind
+    cells = {(r["kind"], tuple(r["votes"])): r["n"] for r in found.collect()}  # at most 2^8 rows a kind
     return fit(cells, estimate(cells)[2])
 
 
@@ -189,14 +218,14 @@ def accepted(found: Column, weights: dict[str, float]) -> Column:
 
     def score(s: Column) -> Column:
         total = F.lit(weights["bias"])
-        for j, name in enumerate(LABELERS):
+        for j, name in enumerate(LABELERS + FEATURES):
             total = total + F.lit(weights[name]) * F.element_at(s["votes"], j + 1)
         for kind in KINDS[len(BASE) :]:
             total = total + F.when(s["kind"] == kind, weights[kind]).otherwise(0.0)
         return total
 
     def with_base(kept: Column) -> Column:
-        more = F.filter(found, lambda s: (s["order"] >= len(BASE)) & s["valid"] & (score(s) > 0) & ~F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        more = F.filter(found, lambda s: (s["order"] >= len(BASE)) & (score(s) > 0) & ~F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         return F.concat(kept, more)
 
     return F.array_sort(F.element_at(F.transform(F.array(base), with_base), 1))
@@ -207,13 +236,13 @@ def _joined(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, counts by base kind, base_sha256 and spans of each row of docs(doc_id, text)."""
+    """doc_id, counts by base kind, base_sha256, spans and the number of added spans of each row of docs(doc_id, text)."""
     weights = weights or train(docs)
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), accepted(candidates(docs["text"]), weights).alias("all"))
     base = F.filter("all", lambda s: s["order"] < len(BASE))
     kinds = F.transform("all", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), (F.size("all") - F.size(base)).cast("long").alias("n_extra"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
