@@ -122,49 +122,62 @@ def _fold(table: Column, word: Column) -> Column:
     return F.aggregate(F.slice(word, F.lit(3), F.size(word)), first, step)
 
 
-def _windows(table: Column, word: Column) -> Column:
-    """The token ids of a long byte array that ends with 256, joined from its windows; null if two windows have no token in common."""
+def _windows(table: Column, windows: Column) -> Column:
+    """The token ids of a long byte array, joined from its windows; null if two windows have no token in common."""
 
-    def placed(begin: Column) -> Column:  # (token, its place in the word) of each token of the window
+    def placed(window: Column, number: Column) -> Column:  # (token, its place in the word) of each token of the window
         def add(held: Column, token: Column) -> Column:
             own = token.bitwiseAND(F.lit(0xFFFF))
             row = F.struct(held["at"].alias("at"), own.alias("id"))
             return F.struct((held["at"] + F.get(table["lengths"], own.cast("int"))).alias("at"), F.concat(held["rows"], F.array(row)).alias("rows"))
 
         none = F.expr("cast(array() as array<struct<at: int, id: bigint>>)")
-        part = F.slice(F.slice(word, F.lit(1), F.size(word) - 1), begin + 1, F.lit(STRIDE + OVERLAP))
-        tokens = _fold(table, F.concat(part, F.array(F.lit(256).cast("smallint"))))
-        return F.aggregate(tokens, F.struct(begin.alias("at"), none.alias("rows")), add, lambda held: held["rows"])
+        start = F.struct((number * STRIDE).alias("at"), none.alias("rows"))
+        return F.aggregate(_fold(table, window), start, add, lambda held: held["rows"])
 
-    def joined(windows: Column) -> Column:
+    def joined(held: Column) -> Column:
         # the place of the first token that a window shares with the one before
-        later = F.slice(windows, F.lit(2), F.size(windows))
-        meets = F.zip_with(F.slice(windows, F.lit(1), F.size(windows) - 1), later, lambda a, b: F.get(F.array_intersect(a, b), 0)["at"])
+        later = F.slice(held, F.lit(2), F.size(held))
+        meets = F.zip_with(F.slice(held, F.lit(1), F.size(held) - 1), later, lambda a, b: F.get(F.array_intersect(a, b), 0)["at"])
 
         def spliced(cuts: Column) -> Column:
             begins, ends = F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.lit(2147483647)))
 
-            def own(held: Column) -> Column:
-                return F.transform(F.filter(held["w"], lambda x: (x["at"] >= held["b"]) & (x["at"] < held["e"])), lambda x: x["id"])
+            def own(part: Column) -> Column:
+                return F.transform(F.filter(part["w"], lambda x: (x["at"] >= part["b"]) & (x["at"] < part["e"])), lambda x: x["id"])
 
-            return F.flatten(F.transform(F.arrays_zip(windows.alias("w"), begins.alias("b"), ends.alias("e")), own))
+            return F.flatten(F.transform(F.arrays_zip(held.alias("w"), begins.alias("b"), ends.alias("e")), own))
 
         return _let(meets, lambda cuts: F.when(~F.exists(cuts, lambda x: x.isNull()), spliced(cuts)))
 
-    begins = F.sequence(F.lit(0), F.size(word) - OVERLAP - 2, F.lit(STRIDE))
-    return _let(F.transform(begins, placed), joined)
+    return _let(F.transform(windows, placed), joined)
 
 
 def fold_merges(words: Column, table: Column) -> Column:
-    """In the low 16 bits the token ids of each byte array of `words`, which ends with 256; table: struct(first,
-    displacement, cells, lengths)."""
+    """In the low 16 bits the token ids of each of `words`, an array of byte arrays that end with 256: the word, or its
+    windows; table: struct(first, displacement, cells, lengths)."""
 
-    def fold(word: Column) -> Column:
-        return F.when(F.size(word) <= STRIDE + OVERLAP + 1, _fold(table, word)).otherwise(F.coalesce(_windows(table, word), _fold(table, word)))
+    def whole(windows: Column) -> Column:
+        """The word without windows: what each has before the next, and all of the last."""
+        last = F.size(windows) - 1
+        return F.flatten(F.transform(windows, lambda w, k: F.when(k < last, F.slice(w, F.lit(1), F.lit(STRIDE))).otherwise(w)))
+
+    def fold(windows: Column) -> Column:
+        return F.when(F.size(windows) == 1, _fold(table, F.get(windows, 0))).otherwise(F.coalesce(_windows(table, windows), _fold(table, whole(windows))))
 
     return F.transform(words, fold)
 
 
+def windows_of(words: list[bytes]) -> tuple[list[int], list[bytes]]:
+    """(the number of windows of each word, the windows)."""
+    counts, parts = [], []
+    for word in words:
+        begins = range(0, max(1, len(word) - OVERLAP), STRIDE) if len(word) > STRIDE + OVERLAP else (0,)
+        parts += [word[i : i + STRIDE + OVERLAP] for i in begins] if len(begins) > 1 else [word]
+        counts.append(len(begins))
+    return counts, parts
+
+
 def _batches(batches: Iterator, limit: int) -> Iterator[tuple[list, list[str]]]:
     keys, texts, size = [], [], 0
     for batch in batches:
@@ -226,8 +239,9 @@ class WordNumbers:
 
 
 def distinct_words(docs: DataFrame, limit: int = BATCH) -> DataFrame:
-    """Batches of documents: their ids; how many words each has; the words' numbers, four bytes each; as byte arrays
-    that end with 256 the words that are new to the partition, in the order of their numbers; and whether numbering began anew before them."""
+    """Batches of documents: their ids; how many words each has; the words' numbers, four bytes each; the
+    words that are new to the partition, in the order of their numbers, each as its windows, byte arrays that end with
+    256; and whether numbering began anew before them."""
     import pyarrow as pa
 
     names = ["keys", "counts", "numbers", "words", "anew"]
@@ -244,14 +258,17 @@ def distinct_words(docs: DataFrame, limit: int = BATCH) -> DataFrame:
                 numbers.append(own)
                 counts += np.bincount(whose, minlength=len(texts))
                 raw += [joined.text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begins[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+            parts_of, raw = windows_of(raw)
             ends = np.cumsum([len(w) for w in raw]).astype(np.int64)
             flat = np.insert(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16), ends, 256)
-            offsets, flat = np.concatenate([[0], ends + np.arange(1, len(raw) + 1)]).astype(np.int32), pa.array(flat)
-            words = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat))
+            offsets = np.concatenate([[0], ends + np.arange(1, len(raw) + 1)]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(parts_of)]).astype(np.int32)), parts)
+            words = pa.ListArray.from_arrays(pa.array([0, len(parts_of)], pa.int32()), windows)
             laid = np.concatenate([*numbers, np.zeros(0, np.int32)]).astype("<i4").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([laid], pa.binary()), words, pa.array([anew])], names)
 
-    schema = "keys array<long>, counts array<long>, numbers binary, words array<array<smallint>>, anew boolean"
+    schema = "keys array<long>, counts array<long>, numbers binary, words array<array<array<smallint>>>, anew boolean"
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)
 
 

@@ -19,7 +19,8 @@ def relabel(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     spread = parents.select(F.col("_node").alias("_from"), F.col("_parent").alias("_to"), salts)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int")).withColumn("_from", F.col(column))
-    joined = salted.join(spread, ["_from", "_salt"], "left")
+    # parents grow with the data, so they are shuffled and never pass through the driver as a broadcast
+    joined = salted.join(spread.hint("merge"), ["_from", "_salt"], "left")
     return joined.select(*[F.coalesce("_to", column).alias(column) if c == column else F.col(c) for c in names])
 
 
@@ -75,3 +76,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     plain = labels.select(unscrambled(F.col("node")).alias("node"), "component")
     smallest = plain.groupBy(F.col("component").alias("_node")).agg(F.min("node").alias("_parent"))
     return cut_lineage(relabel(plain, "component", smallest))
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components when edges(a, b) are added to those of labels(node, component): only components are united."""
+    between = relabel(relabel(edges.select("a", "b"), "a", _parents(labels)), "b", _parents(labels))
+    merged = connected_components(between)
+    new = merged.select("node").join(labels.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return cut_lineage(relabel(labels.unionByName(new), "component", _parents(merged)))
+
+
+def _parents(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("_node"), F.col("component").alias("_parent"))

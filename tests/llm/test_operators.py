@@ -11,7 +11,7 @@ import pytest
 
 from quorumlake.llm import byte_bpe, gif_media, language_id, line_dedup, near_dedup, packing, pii, sharding, token_counts, vector_dedup
 from quorumlake.llm.common import tokenizer_path
-from quorumlake.llm.components import connected_components, scrambled, unscrambled
+from quorumlake.llm.components import connected_components, joined_components, scrambled, unscrambled
 
 SCHEMA = "doc_id long, text string, lang string, slot string, rep string"
 ODD = ["", " ", None, "it's 's ''s 're", "\n\n a\t b", "é漢字 ½", "x" * 700, "a b c d e f", "a b c d e f", "A b c d e g"]
@@ -224,7 +224,7 @@ def test_lines_of_a_template(spark):
     together = {}
     for r in line_dedup.buckets(line_dedup.signatures(line_dedup.lines(docs))).collect():
         together.setdefault(r.bucket, []).append(names[r.h])
-    sets = [{t[k : k + 12] for k in range(len(t) - 11)} for t in made]
+    sets = [{t[k : k + 12] for k in range(len(t) - 10)} for t in made]  # one long word: every place of it
     parent = list(range(len(made)))
 
     def find(x):
@@ -314,3 +314,221 @@ def test_components(spark):
 
     ids = spark.createDataFrame([(x,) for x in (0, -1, 5, 2**62, -(2**63))], "x long")
     assert all(r[0] == r[1] for r in ids.select("x", unscrambled(scrambled(F.col("x")))).collect())
+
+
+def test_joined_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    edges = spark.createDataFrame([(2, 6), (9, 20), (30, 31)], "a long, b long")
+    got = {r.node: r.component for r in joined_components(labels, edges).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+    assert joined_components(labels, edges.limit(0)).count() == 6
+
+
+def bpe_library():
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_words_of_any_length_are_folded(spark):
+    """Byte-level BPE of long words, in windows, against the library."""
+    rng = random.Random(5)
+    made = ["a" * 1500, "ab" * 900, "abc" * 500, "".join(rng.choice("etaoinshr") for _ in range(3000)), "!?" * 400, "-" * 1001, "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(400)), "x" * 361, "y" * 360]
+    got = {r.doc_id: r.ids for r in byte_bpe.encode_texts(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), keep_ids=True).collect()}
+    assert all(got[i] == bpe_library().encode_ordinary(t) for i, t in enumerate(made))
+
+
+def test_texts_past_the_slices(spark):
+    """Token counts, packing ids and BPE of texts of more than a million characters, cut at white space that only some classes hold."""
+    from tokenizers import Tokenizer
+
+    made = ["ab c" * 250_003 + "!!!!\x1c!!!! it's\u2003é", "xyz" * 9000 + " y" + " a b" * 250_000, "!\x1c" * 9000 + " 's"]
+    counts = token_counts.count_tokens(made, tokenizer_path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in made]
+    words = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    for t, ids in zip(made, packing.token_ids(made, tokenizer_path("word_bpe_49k.json")), strict=True):
+        assert ids.tolist() == words.encode(t, add_special_tokens=False).ids
+    frame = spark.createDataFrame([(0, made[0]), (2, made[2])], "doc_id long, text string")
+    for r in byte_bpe.encode_texts(frame).collect():
+        own = np.array(bpe_library().encode_ordinary(made[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(own), hashlib.sha256(own.tobytes()).hexdigest())
+
+
+def fewest(items, capacity):
+    """The optimum of a small packing instance, by trying every set for the longest item."""
+    held = {}
+
+    def solve(left):
+        if not left:
+            return 0
+        if left not in held:
+            sets = {()}
+            for size in left[1:]:
+                sets |= {(*s, size) for s in sets if sum(s) + size + left[0] <= capacity}
+            best = len(left)
+            for chosen in sets:
+                rest = list(left[1:])
+                for size in chosen:
+                    rest.remove(size)
+                best = min(best, 1 + solve(tuple(rest)))
+            held[left] = best
+        return held[left]
+
+    return solve(tuple(sorted(items, reverse=True)))
+
+
+def test_reduction_keeps_the_optimum():
+    """What the reduction fixes never costs a sequence, by an exhaustive optimum; the whole is no worse than best-fit decreasing."""
+    rng = random.Random(1)
+    assert packing.Plan({4: 1, 3: 1, 2: 1}, 10).solve().sequences == 1
+    for _ in range(150):
+        capacity = rng.choice([10, 12, 20])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 7))]
+        counts = Counter(items)
+        reduced = packing.Plan(counts, capacity)
+        reduced.reduce()
+        left = [size for size, n in reduced.left.items() for _ in range(n)]
+        assert reduced.sequences + fewest(left, capacity) == fewest(items, capacity)
+        plain = packing.Plan(counts, capacity)
+        plain.best_fit()
+        assert packing.Plan(counts, capacity).solve().sequences <= plain.sequences
+
+
+def test_viterbi_in_chunks():
+    rng = np.random.default_rng(9)
+    scores, counts = rng.standard_normal((60, 3)).astype(np.float32), np.array([25, 0, 7, 28])
+    whole = language_id.viterbi(scores, counts, 0.7, 1000).tolist()
+    assert all(language_id.viterbi(scores, counts, 0.7, chunk).tolist() == whole for chunk in (1, 2, 5, 7))
+
+
+def test_words_are_letters_of_one_script():
+    assert language_id.words_of("Hello ½ ² Ⅳ ① wörld漢字かな") == ["hello", "wörld", "漢字", "かな"]
+    assert [len(w) for w in language_id.words_of("a" * 200)] == [64, 64, 64, 8]
+
+
+def test_odd_numbers_are_no_letters(spark):
+    rows = [(i, "der hund und die katze", "de", "q", "r") for i in range(8)] + [(9, "½ ² Ⅳ ①", "de", "q", "r")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.detect_languages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[9] == ("und", 0.0)
+
+
+def test_gif_streams():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 63, 5000, 40000):
+        for high in (1, 3, 256):
+            samples = rng.integers(0, high, n).astype(np.uint8).tobytes()
+            assert gif_media.lzw_decode(gif_media.lzw_encode(samples), 8, n).tobytes() == samples
+            if high <= 3:
+                assert gif_media.lzw_decode(gif_media.lzw_encode(samples, 2), 2, n).tobytes() == samples
+
+
+def test_gif_disposal_transparency_palettes_and_interlace(spark):
+    """Four frames of 2 x 2 and one interlaced of 1 x 4, drawn by hand."""
+    import struct
+
+    def frame(disposal, transparent, samples, palette=b"", left=0, top=0, width=2, height=2, interlace=0):
+        flags = (0x80 if palette else 0) | interlace
+        control = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | (transparent is not None), 5, transparent or 0, 0)
+        body = gif_media.lzw_encode(bytes(samples), 2)
+        return control + struct.pack("<BHHHHB", 0x2C, left, top, width, height, flags) + palette + b"\x02" + bytes([len(body)]) + body + b"\0"
+
+    shared = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    own = bytes([9, 9, 9, 255, 255, 255])
+    head = b"GIF89a" + struct.pack("<HHBBB", 2, 4, 0x81, 0, 0) + shared
+    frames = [
+        frame(gif_media.LEAVE, None, [1, 1, 1, 1]),
+        frame(gif_media.PREVIOUS, 0, [0, 2, 2, 0]),
+        frame(gif_media.BACKGROUND, 0, [0, 0, 3, 0]),
+        frame(gif_media.LEAVE, None, [1, 0, 0, 1], own),
+        frame(gif_media.LEAVE, None, [0, 1, 2, 3], left=1, width=1, height=4, interlace=0x40),
+    ]
+    data = head + b"".join(frames) + b";"
+    shown = [c[:, :, :3].tolist() for c, _ in gif_media.decode(data).canvases()]
+    red, green, blue, grey, white, none = [255, 0, 0], [0, 255, 0], [0, 0, 255], [9, 9, 9], [255] * 3, [0] * 3
+    assert shown[0] == [[red, red], [red, red], [none, none], [none, none]]
+    assert shown[1][:2] == [[red, green], [green, red]]
+    assert shown[2][:2] == [[red, red], [blue, red]]
+    assert shown[3][:2] == [[white, grey], [grey, white]]
+    # interlaced rows come in the order 0, 2, 1, 3
+    assert [row[1] for row in shown[4]] == [none, green, red, blue]
+    out = gif_media.decode_media(spark.createDataFrame([(1, bytearray(data)), (2, None)], "id long, media binary")).orderBy("id").collect()
+    assert [(f.start, f.delay) for f in out[0].frames] == [(5 * k, 5) for k in range(5)] and out[1].frames == []
+    assert out[0].frames[0].pixels == 4 and out[0].frames[0].histogram == [0] * 7 + [4] + ([4] + [0] * 7) * 2
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    """The base of personal data, by the plain patterns."""
+    out = []
+    for order, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            luhn = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits))) % 10 == 0
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False, "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), order, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_personal_data_against_plain_patterns(spark, docs):
+    weights = pii.train(docs)
+    rng = random.Random(7)
+    parts = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567", "300.1.1.1", "@", ".", "-", " ", "é", "漢", "12", "+", "x_y%z@q-r.s.t", "0.0.0.0", "5500000000000004", "555-123-4567"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["1.2.3.4 a@b.co " * 700, None, ""]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), weights).collect()}
+    for i, text in enumerate(made):
+        want = base_spans(text or "")
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), text
+        assert got[i].n_email == want.count("email:") and got[i].n_extra == len([x for x in got[i].spans.split(",") if x]) - len([x for x in want.split(",") if x])
+
+
+def test_the_span_classifier_decides(spark):
+    """A secret whose value the check refuses, among others like it, is judged by the weights alone."""
+    rows = [(1, "password=abcdefghijklmnop", "en", "q", "r"), (2, "call 555-123-4567 now", "en", "q", "r")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    yes = dict.fromkeys(["bias", *pii.LABELERS, *pii.FEATURES, *pii.KINDS], 1.0)
+    no = {**yes, "secret": -20.0}
+    assert [r.n_extra for r in pii.find_personal_data(frame, yes).orderBy("doc_id").collect()] == [1, 1]
+    assert [r.n_extra for r in pii.find_personal_data(frame, no).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_lines_with_clashing_columns(spark):
+    rows = [(1, "one two three four five six", 7, "g", "t", "d", "k"), (2, "one two three four five six", 8, "g", "t", "d", "k"), (None, None, 9, "g", "t", "d", "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, gone string, _text string, _doc string, _key string")
+    got = line_dedup.without_repeats(frame, "_lines", "_left").orderBy("n_lines").collect()
+    assert [(r.n_lines, r.gone, r._text, r._doc, r._key, r._lines, r._left) for r in got] == [(7, "g", "t", "d", "k", 1, 1), (8, "g", "t", "d", "k", 1, 0), (9, "g", "t", "d", "k", 0, 0)]
+
+
+def test_lines_against_brute_force(spark):
+    """Random lines of few words: the kept lines are those of all pairs with exact Jaccard of 0.75 or more."""
+    rng = random.Random(12)
+    words = ["council", "budget", "road", "park", "vote", "approved", "motion", "second", "hearing", "zoning"]
+    base = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(25)]
+    made = base + [" ".join(w if rng.random() > 0.03 else rng.choice(words) for w in rng.choice(base).split(" ")) for _ in range(120)]
+    made = sorted(set(made))
+    frame = spark.createDataFrame([(i, t, "en", "q", "r") for i, t in enumerate(made)], SCHEMA)
+    sets = [{t[m.start() : m.start() + 12] for m in re.finditer(r"\S+", t)} for t in made]
+    parent = list(range(len(made)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(made)):
+        for y in range(x + 1, len(made)):
+            if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                a, b = find(x), find(y)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.n_kept for r in line_dedup.without_repeats(frame).collect()}
+    assert got == {i: int(find(i) == i) for i in range(len(made))}
