@@ -160,13 +160,36 @@ def mat_strict_reparse(c: Civic) -> DataFrame:
     return consent.join(resolved, "meeting_id", "left_semi").select("item_id", F.when(F.col("significance") >= 5, "promoted").otherwise("deactivated").alias("state"))
 
 
-@query("mat_related_topic", "SELECT item_id, other FROM (SELECT a.item_id, b.item_id AS other, row_number() OVER (PARTITION BY a.item_id ORDER BY b.dollars DESC, b.item_id) AS rn FROM (SELECT * FROM item WHERE item_id % 97 = 0) a JOIN item b ON a.topic = b.topic AND a.sponsor = b.sponsor AND a.meeting_id <> b.meeting_id) WHERE rn <= 3")
+def related(items: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """Up to k items with the same key in other meetings, the largest first, for every item.
+
+    Whatever the meeting, these k are among the k largest items of the k + 1 meetings that have the largest, so at most
+    k * (k + 1) rows a key are kept, as one row; items are joined with that row alone.
+    """
+    rows = items.select(key, "meeting_id", "dollars", F.col("item_id").alias("other")).filter(F.col(key).isNotNull())
+    size = F.struct((-F.col("dollars")).alias("d"), "other")
+    of_meeting = Window.partitionBy(key, "meeting_id").orderBy(F.col("dollars").desc(), "other")
+    kept = rows.withColumn("_r", F.row_number().over(of_meeting)).filter(F.col("_r") <= k)
+    meetings = kept.filter("_r = 1").withColumn("_m", F.row_number().over(Window.partitionBy(key).orderBy(F.col("dollars").desc(), "other"))).filter(F.col("_m") <= k + 1)
+    best = kept.join(meetings.select(key, "meeting_id"), [key, "meeting_id"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[size[f].alias(f) for f in ("d", "other")], "meeting_id"))).alias("_best"))
+    asked = items.select("item_id", key, F.col("meeting_id").alias("_own")).join(best, key)
+    chosen = F.slice(F.filter("_best", lambda x: x["meeting_id"] != F.col("_own")), 1, k)
+    return asked.select("item_id", F.explode(F.transform(chosen, lambda x: x["other"])).alias("other"))
+
+
+def _related_sql(key: str) -> str:
+    return f"""SELECT item_id, other FROM (SELECT a.item_id, b.item_id AS other, row_number() OVER (PARTITION BY a.item_id ORDER BY b.dollars DESC, b.item_id) AS rn
+        FROM item a JOIN item b ON a.{key} = b.{key} AND a.meeting_id <> b.meeting_id) WHERE rn <= 3"""
+
+
+@query("mat_related_topic", _related_sql("topic"))
 def mat_related_topic(c: Civic) -> DataFrame:
-    """Up to three related items (topic and sponsor, another meeting) for seed items."""
-    seeds = c.item.filter("item_id % 97 = 0").select("item_id", "topic", "sponsor", F.col("meeting_id").alias("own"))
-    others = c.item.select(F.col("item_id").alias("other"), "topic", "sponsor", "meeting_id", "dollars")
-    pairs = seeds.join(others, ["topic", "sponsor"]).filter("own <> meeting_id")
-    return top_per_key(pairs, ["item_id"], [F.col("dollars").desc(), F.col("other")], 3).select("item_id", "other")
+    return related(c.item, "topic")
+
+
+@query("mat_related_sponsor", _related_sql("sponsor"))
+def mat_related_sponsor(c: Civic) -> DataFrame:
+    return related(c.item, "sponsor")
 
 
 @query("mrg_badges_refresh", "SELECT item_id, slug AS badge, 'kept' AS origin FROM badge WHERE kind = 'policy' UNION ALL SELECT item_id, 'sole_source', 'new' FROM item WHERE procurement = 'sole_source'")
@@ -286,13 +309,6 @@ def txt_item_number_in_text(c: Civic) -> DataFrame:
     return c.item.filter(F.col("title").rlike(r"Item \d+")).groupBy("meeting_id", number.alias("number")).agg(F.min("video_sec").alias("video_sec"))
 
 
-@query("txt_consent_enumeration", r"SELECT item_id, pos, word FROM (SELECT item_id, unnest(regexp_extract_all(title, '([a-z]+) Brand', 1)) AS word, generate_subscripts(regexp_extract_all(title, '([a-z]+) Brand', 1), 1) - 1 AS pos FROM item)")
-def txt_consent_enumeration(c: Civic) -> DataFrame:
-    """Enumerated pairs in order of their place."""
-    found = c.item.select("item_id", F.posexplode(F.regexp_extract_all("title", F.lit("([a-z]+) Brand"), F.lit(1))).alias("pos", "word"))
-    return found.select("item_id", F.col("pos").cast("long").alias("pos"), "word")
-
-
 @query("win_adjacent_slices", "SELECT item_id, video_sec, lead(video_sec) OVER (PARTITION BY meeting_id ORDER BY video_sec, item_id) AS ends FROM item")
 def win_adjacent_slices(c: Civic) -> DataFrame:
     return c.item.select("item_id", "video_sec", F.lead("video_sec").over(Window.partitionBy("meeting_id").orderBy("video_sec", "item_id")).alias("ends"))

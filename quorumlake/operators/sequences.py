@@ -200,26 +200,32 @@ def prior_contracts(c: Civic, least: float = 0.6) -> DataFrame:
     """Amendments with an earlier award in the same city whose counterparty is similar.
 
     A set-similarity join: two trigram sets of similarity t share a trigram among the first n - ceil(t n) + 1 of both in
-    a common order, so only these prefixes are exploded and joined; pairs are then verified in full. Distinct names
-    stand for their items.
+    a common order, here that of rising frequency, so only these prefixes are exploded and joined; sizes and places in
+    the order rule most pairs out, the others are verified in full. Distinct names stand for their items and cities.
     """
     rows = c.item_context().select("item_id", "city_id", "meeting_date", "action_type", F.lower(F.trim("counterparty")).alias("name"))
     awards = rows.filter("action_type = 'contract_award'").groupBy("city_id", "name").agg(F.min("meeting_date").alias("first"))
     amended = rows.filter("action_type = 'contract_amendment'").groupBy("city_id", "name").agg(F.max("meeting_date").alias("latest"))
 
-    def prefixed(names: DataFrame, role: str) -> DataFrame:
-        grams = F.array_sort(T.trigrams(F.col("name")))
-        n = F.size(grams)
-        prefix = F.slice(grams, F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))
-        return names.select("city_id", F.col("name").alias(role), F.explode(prefix).alias("gram"))
-
-    pairs = prefixed(amended, "a").join(prefixed(awards, "b"), ["city_id", "gram"]).select("city_id", "a", "b").distinct()
-    # each pair of names is verified once, whatever the number of its cities, on trigrams made once a name
-    grams = awards.select("name").union(amended.select("name")).distinct().select("name", T.trigrams(F.col("name")).alias("g"))
-    sets = pairs.select("a", "b").distinct().join(grams.select(F.col("name").alias("a"), F.col("g").alias("x")), "a").join(grams.select(F.col("name").alias("b"), F.col("g").alias("y")), "b")
+    # each name's trigrams once, the rarest first: a prefix of rare ones meets few others
+    names = awards.select("name").union(amended.select("name")).distinct()
+    each = names.select("name", F.explode(T.trigrams(F.col("name"))).alias("gram"))
+    counted = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
+    ordered = counted.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("g")).withColumn("size", F.size("g"))
+
+    def prefixed(role: str, sets: str) -> DataFrame:
+        prefix = F.slice("g", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int"))
+        return ordered.select(F.col("name").alias(role), F.col("size").alias(sets), F.posexplode(prefix).alias(f"at_{role}", "gram"))
+
+    met = prefixed("a", "n_a").join(prefixed("b", "n_b"), "gram")
+    # sets of very different sizes can't be similar, nor can those whose rests are too short from the shared gram on
+    bound = least / (1 + least) * (F.col("n_a") + F.col("n_b"))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
+    close = met.filter((F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (rest >= bound - 1e-9)).select("a", "b").distinct()
+    sets = close.join(ordered.select(F.col("name").alias("a"), F.col("g").alias("x")), "a").join(ordered.select(F.col("name").alias("b"), F.col("g").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     verified = sets.filter(shared.cast("double") / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
-    similar = pairs.join(verified, ["a", "b"])
+    similar = amended.select("city_id", F.col("name").alias("a")).join(verified, "a")
     earliest = similar.join(awards.withColumnRenamed("name", "b"), ["city_id", "b"]).groupBy("city_id", F.col("a").alias("name")).agg(F.min("first").alias("first"))
     return rows.filter("action_type = 'contract_amendment'").join(earliest, ["city_id", "name"]).filter("first < meeting_date").select("item_id").distinct()
 

@@ -28,3 +28,19 @@ def query(name: str, sql: str | None = None):
         return f
 
     return register
+
+
+#: Readers that are operators under another name.
+ALIASES: dict[str, str] = {}
+
+
+def alias(name: str, operator: str) -> None:
+    """Register an operator under a reader's name, once all are known."""
+    ALIASES[name] = operator
+
+
+def add_aliases() -> None:
+    for name, operator in ALIASES.items():
+        QUERIES[name] = QUERIES[operator]
+        if operator in ORACLES:
+            ORACLES[name] = ORACLES[operator]

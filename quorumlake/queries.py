@@ -1,6 +1,9 @@
 """Imports every module that registers queries."""
 
 from quorumlake.functions import queries  # noqa: F401
-from quorumlake.operators import aggregates, readers, search, sequences  # noqa: F401
-from quorumlake.sources import pages  # noqa: F401
+from quorumlake.operators import aggregates, changes, readers, search, sequences, surface  # noqa: F401
+from quorumlake.plans.registry import add_aliases
+from quorumlake.sources import minutes, pages  # noqa: F401
 from quorumlake.streaming import web  # noqa: F401
+
+add_aliases()

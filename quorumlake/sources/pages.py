@@ -57,13 +57,6 @@ def txt_consent_phrase(c: Civic) -> DataFrame:
     return c.table("documents").select("doc_id", F.exists(phrases, lambda p: F.contains(F.lower("text"), p)).alias("hit"))
 
 
-@query("txt_vote_members", "SELECT vote_id, member, position FROM (SELECT vote_id, unnest(string_split(string_agg(member_id::VARCHAR, ', '), ', ')) AS member, position FROM member_vote GROUP BY vote_id, position)")
-def txt_vote_members(c: Civic) -> DataFrame:
-    """Names listed under a position become rows."""
-    listed = c.member_vote.groupBy("vote_id", "position").agg(F.array_join(F.collect_list(F.col("member_id").cast("string")), ", ").alias("names"))
-    return listed.select("vote_id", F.explode(F.filter(F.split("names", ", "), lambda n: n.rlike(r"^\w+$"))).alias("member"), "position")
-
-
 @query("sink_feed_rows", "SELECT sha256('item|' || item_id) AS guid, title, CAST(meeting_date AS VARCHAR) AS published FROM ctx WHERE title ILIKE '%ring%'")
 def sink_feed_rows(c: Civic) -> DataFrame:
     """Feed rows with a stable id."""

@@ -38,6 +38,23 @@ def drain(frame: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(schema).parquet(result)
 
 
+def drain_latest(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode over what is there and return each key's last row, whichever batch it came with."""
+    spark = frame.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    name = f"{folder.rstrip('/')}/streams/st_{uuid.uuid4().hex}"
+    result, values = f"{name}/result", [c for c in frame.columns if c not in keys]
+
+    def store(batch: DataFrame, number: int) -> None:  # a batch that runs again writes the same folder again
+        batch.write.mode("overwrite").parquet(f"{result}/batch={number}")
+
+    writer = frame.writeStream.outputMode("update").option("checkpointLocation", f"{name}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(store).start().awaitTermination()
+    rows = spark.read.schema(frame.schema.add("batch", "long")).parquet(result)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, *[F.col("last")[v].alias(v) for v in values])
+
+
 def upsert_batches(frame: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """A stream whose micro-batches a caller merges into its tables."""
     return frame.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -93,3 +110,65 @@ def st_freshness_alert(c: Civic) -> DataFrame:
 
     last = drain(event_stream(c).groupBy("user_id").agg(F.max("ts").alias("last")))
     return last.select("user_id", age_state(F.datediff(F.lit("2024-01-31").cast("date"), F.col("last").cast("date"))).alias("state"))
+
+
+@query("st_upsert_sink", "SELECT user_id, count(*) AS events, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1")
+def st_upsert_sink(c: Civic) -> DataFrame:
+    """Each micro-batch is merged into a table of totals: written beside the one before, which the next batch reads.
+
+    A batch's number names its table, so a batch that is run again writes the same table again.
+    """
+    from quorumlake.operators.changes import shared_folder
+
+    base = shared_folder(c, "upsert_stream")
+    schema = "user_id long, events long, cents long"
+    batches: list[int] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        cents = F.round(F.col("value") * 100).cast("long")
+        rows = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.sum(cents).alias("cents"))
+        if batches and batches[-1] != number:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{base}/{batches[-1]}")).groupBy("user_id").agg(F.sum("events").alias("events"), F.sum("cents").alias("cents"))
+        rows.write.mode("overwrite").parquet(f"{base}/{number}")
+        if number not in batches:
+            batches.append(number)
+
+    upsert_batches(event_stream(c), merge, f"{base}/checkpoint").awaitTermination()
+    return c.spark.read.schema(schema).parquet(f"{base}/{batches[-1]}")
+
+
+@query("st_late_data_report", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (WHERE event_id % 100 = 0) AS behind FROM events GROUP BY 1")
+def st_late_data_report(c: Civic) -> DataFrame:
+    """Rows and, of these, the late ones by day: arrival is set beside event time before any watermark drops a row."""
+    stream = c.spark.readStream.schema(c.table("events").schema).parquet(f"{c.sf_dir}/events.parquet*")
+    arrived = F.col("ts").cast("timestamp") + F.when(F.col("event_id") % 100 == 0, F.expr("interval 2 days")).otherwise(F.expr("interval 1 minute"))
+    late = arrived > F.col("ts").cast("timestamp") + F.expr("interval 1 day")
+    counts = stream.groupBy(F.col("ts").cast("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("behind"))
+    return drain(counts)
+
+
+@query("st_status_machine", """SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'completed' WHEN count(*) FILTER (WHERE event_type = 'error') >= 3 THEN 'failed_permanent'
+    WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'retry' ELSE 'pending' END AS status, least(count(*) FILTER (WHERE event_type = 'error'), 3) AS attempts FROM events GROUP BY 1""")
+def st_status_machine(c: Civic) -> DataFrame:
+    """Status and attempts of each key as its events arrive: an error is a failed attempt, the third one final; a purchase
+    completes the work, whenever it comes. State is one row a key, kept by the engine between batches."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, attempts = state.get if state.exists else (False, 0)
+        for frame in frames:
+            kinds = frame["event_type"]
+            done = done or bool((kinds == "purchase").any())
+            attempts = min(3, attempts + int((kinds == "error").sum()))
+        state.update((done, attempts))
+        status = "completed" if done else "failed_permanent" if attempts >= 3 else "retry" if attempts else "pending"
+        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "attempts": [attempts]})
+
+    rows = event_stream(c).select("user_id", "event_type").groupBy("user_id")
+    schema = "user_id long, status string, attempts long"
+    machine = rows.applyInPandasWithState(advance, schema, "done boolean, attempts long", "update", GroupStateTimeout.NoTimeout)
+    return drain_latest(machine, ["user_id"])
