@@ -80,7 +80,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The components when edges(a, b) are added to those of labels(node, component): only components are united."""
-    between = relabel(relabel(edges.select("a", "b"), "a", _parents(labels)), "b", _parents(labels))
+    between = cut_lineage(relabel(relabel(edges.select("a", "b"), "a", _parents(labels)), "b", _parents(labels)))
+    if between.isEmpty():
+        return labels
     merged = connected_components(between)
     new = merged.select("node").join(labels.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component"))
     return cut_lineage(relabel(labels.unionByName(new), "component", _parents(merged)))
