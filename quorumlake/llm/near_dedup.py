@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_texts, block_pairs, cut_lineage, read_table
-from .components import SALTS, connected_components, joined_components
+from .components import SALTS, connected_components
 from .pieces import span_hashes
 
 WORDS = 5
@@ -213,23 +213,22 @@ def region_pairs(classes: DataFrame, labels: DataFrame, trees: int = TREES, bloc
     return each.groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
-def settled(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame, percent: int) -> DataFrame:
-    """The components (node, component) of labels and of the confirmed ones of pairs(a, b, share): the best pair of each
-    class first, then those that would still join two components. Components grow; their links are not united again."""
+def settled(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, percent: int) -> DataFrame:
+    """links and the confirmed ones of pairs(a, b, share): the best of each class, then those that still join components."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).join(ends, "rep", "left_semi")
-    # of rows with one doc_id always the same text
-    texts = cut_lineage(texts.groupBy("rep").agg(F.min("text").alias("text")))
+    texts = cut_lineage(texts.groupBy("rep").agg(F.min("text").alias("text")))  # of rows with one doc_id always the same text
     best = F.max_by(F.struct("a", "b"), F.struct("share", -F.col("a"), -F.col("b")))
     sides = pairs.select(F.explode(F.array("a", "b")).alias("_end"), "a", "b", "share")
-    first = cut_lineage(sides.groupBy("_end").agg(best.alias("_p")).select("_p.a", "_p.b").distinct())
+    first = sides.groupBy("_end").agg(best.alias("_p")).select("_p.a", "_p.b").distinct()
     sure = confirm(first, texts, percent)
-    labels = connected_components(sure) if labels is None else joined_components(labels, sure)
+    links = cut_lineage(sure if links is None else links.unionByName(sure))
+    labels = connected_components(links)
     left = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
     right = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
-    open_pairs = pairs.join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    open_pairs = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
     open_pairs = open_pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
-    return joined_components(labels, cut_lineage(confirm(open_pairs, texts, percent)))
+    return cut_lineage(links.unionByName(confirm(open_pairs, texts, percent)))
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -240,10 +239,11 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = cut_lineage(classes)
     signed = classes.select("rep", "signature")
     pairs = cut_lineage(candidates(signed))
-    labels = settled(pairs, None, docs, percent)
+    links = settled(pairs, None, docs, percent)
+    labels = connected_components(links)
     rest = cut_lineage(region_pairs(signed, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        labels = settled(rest, labels, docs, percent)
+        labels = connected_components(settled(rest, links, docs, percent))
     whole = classes.join(labels, classes["rep"] == labels["node"], "left")
     whole = whole.select("set_hash", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     spread = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("n_shingles", "_n")
