@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,12 +30,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all machines see.
 
-    The folder is the cluster's spark.checkpoint.dir; one of our own is used only in local mode (tests), where none is set.
+    It is the cluster's spark.checkpoint.dir; one of our own is used only in local mode (tests), where none is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -42,9 +42,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there. A checkpoint keeps the size that was estimated for
+    df, so loops take `written` instead."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write df as a table to the shared checkpoint folder and read it from there.
+
+    Unlike a checkpoint's, the table's size is that of its files. In a loop of joins the estimates of checkpoints are
+    multiplied in each round, to numbers whose digits alone fill the driver's memory.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, buckets: int) -> DataFrame:
     """Add a gapless rank from 0 within keys, without bringing a key's rows into one task.
 

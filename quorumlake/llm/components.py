@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 
 SALTS = 8
 
@@ -57,35 +57,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes are put in a pseudo-random order, so that a long chain of rising ids breaks into short ones. In each round
     every node takes its smallest neighbour for a parent, each parent gives way to its own, and the edges are contracted
     to the parents; loops and repeats go. Nodes only take smaller parents, so one is left of each component. Plans stay
-    small: edges and parents are written to the shared checkpoint folder in each round, labels in every third.
+    small: edges and parents are written to the shared checkpoint folder in each round, labels in every third, as tables,
+    so that the sizes known of them are true ones.
     """
-    edges = cut_lineage(_ordered(edges.select(scrambled(F.col("a")).alias("a"), scrambled(F.col("b")).alias("b"))))
+    edges = written(_ordered(edges.select(scrambled(F.col("a")).alias("a"), scrambled(F.col("b")).alias("b"))))
     labels = edges.select(F.col("b").alias("node"), F.col("a").alias("component")).limit(0)
     rounds = 0
     while not edges.isEmpty():
         smallest = edges.groupBy(F.col("b").alias("_node")).agg(F.min("a").alias("_parent"))
-        parents = cut_lineage(relabel(smallest, "_parent", smallest))
+        parents = written(relabel(smallest, "_parent", smallest))
         labels = relabel(labels, "component", parents).unionByName(parents.select(F.col("_node").alias("node"), F.col("_parent").alias("component")))
         rounds += 1
         if rounds % 3 == 0:
-            labels = cut_lineage(labels)
-        edges = cut_lineage(_ordered(relabel(relabel(edges, "a", parents), "b", parents)))
+            labels = written(labels)
+        edges = written(_ordered(relabel(relabel(edges, "a", parents), "b", parents)))
     # a node whose parent was not a root yet may come back in a later round; both its rows end at the same root
-    labels = cut_lineage(labels.groupBy("node").agg(F.min("component").alias("component")))
+    labels = written(labels.groupBy("node").agg(F.min("component").alias("component")))
     labels = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
     plain = labels.select(unscrambled(F.col("node")).alias("node"), "component")
     smallest = plain.groupBy(F.col("component").alias("_node")).agg(F.min("node").alias("_parent"))
-    return cut_lineage(relabel(plain, "component", smallest))
+    return written(relabel(plain, "component", smallest))
 
 
 def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The components when edges(a, b) are added to those of labels(node, component): only components are united."""
-    between = cut_lineage(relabel(relabel(edges.select("a", "b"), "a", _parents(labels)), "b", _parents(labels)))
+    between = written(relabel(relabel(edges.select("a", "b"), "a", _parents(labels)), "b", _parents(labels)))
     if between.isEmpty():
         return labels
     merged = connected_components(between)
     new = merged.select("node").join(labels.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return cut_lineage(relabel(labels.unionByName(new), "component", _parents(merged)))
+    return written(relabel(labels.unionByName(new), "component", _parents(merged)))
 
 
 def _parents(labels: DataFrame) -> DataFrame:
