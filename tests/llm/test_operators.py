@@ -324,6 +324,16 @@ def test_joined_components(spark):
     assert joined_components(labels, edges.limit(0)).count() == 6
 
 
+def test_estimates_of_components_do_not_grow(spark):
+    """Sizes that rounds of joins multiply would fill the driver with their digits."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    labels = connected_components(edges)
+    for step in range(2):
+        labels = joined_components(labels, spark.createDataFrame([(step, 100 + step)], "a long, b long"))
+    assert labels.count() == 43
+    assert len(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 12
+
+
 def bpe_library():
     import public_tokenizers
     import tiktoken
