@@ -8,8 +8,9 @@ clearly similar the region is dense, and one link suffices to keep it together;
 share MIN_PREFIX values are taken. Candidates whose signatures agree in at least FLOOR of their places are confirmed on
 the full sets: first the best candidate of each class, then, after a union-find, those that would still join two
 components; a candidate within one component can't change anything. At last all pairs of a region (a tree's rows with
-the same first MIN_PREFIX values) that still lie in different components are compared in blocks, without a window, and
-confirmed in the same way: none that shares a region and could join two components is left untested.
+the same first MIN_PREFIX values) that still lie in different components are compared in blocks, without a window:
+signatures first, then, of rows with a partner, the full sets in the same task. None that shares a region and could join
+two components is left untested, and no rows of pairs are made but those that join components.
 
 Words: runs of characters other than the space and U+0009 to U+000D, after lower-casing A-Z. A text with fewer words
 than five is one shingle; without words, or null, the set is empty and linked with nothing. A null doc_id is linked with
@@ -37,9 +38,12 @@ WINDOW = 8
 DENSE = 0.9
 #: More than four standard deviations below the threshold for PLACES values.
 FLOOR = 0.5
-#: Rows of a region that meet each other in one task, and in one step of it.
+#: Rows of a region whose signatures meet in one task; rows and shingles of a part of them whose full sets do, which
+#: bounds the memory of a task; members of sets that are counted in one step.
 BLOCK = 2048
-TILE = 256
+TILE = 1024
+TILE_SHINGLES = 1 << 20
+MEMBERS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,51 +184,151 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def region_pairs(classes: DataFrame, labels: DataFrame, trees: int = TREES, block: int = BLOCK) -> DataFrame:
-    """Pairs a < b of classes(rep, signature) in different components that share a region, with the share that agrees."""
+def _tiles(rows: np.ndarray, sizes: np.ndarray, tile: int) -> list[np.ndarray]:
+    """rows in parts of at most `tile` rows and TILE_SHINGLES shingles, or one row."""
+    parts, first, held = [], 0, 0
+    for i, n in enumerate(sizes[rows].tolist()):
+        if i > first and (i - first == tile or held + n > TILE_SHINGLES):
+            parts.append(rows[first:i])
+            first, held = i, 0
+        held += n
+    return [*parts, rows[first:]] if len(rows) else []
+
+
+def sifted(classes: DataFrame, labels: DataFrame, trees: int = TREES, block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """The classes(rep, n_shingles, signature) that share a region with one of another component whose signature agrees in
+    FLOOR of its places, once for each pair of tiles in which such a partner is: rows of tiles, never pairs of classes.
+
+    tree, prefix, _hi, _lo, _i, _j name the pair of tiles, _side (0 or 1) the row's tile; a tile paired with itself has
+    side 0 only.
+    """
     import pyarrow as pa
 
     step = PLACES // trees
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("rep", F.coalesce("component", "rep").alias("component"), "signature")
     turned = named.select("rep", "component", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.concat("signature", "signature").alias("_twice"))
     rows = turned.select("tree", F.expr(f"substring(_twice, tree * {step} + 1, {MIN_PREFIX})").alias("prefix"), "rep", "component")
-    keys = ["tree", "prefix"]
-    dealt = block_pairs(cut_lineage(rows), keys, "rep", block).join(classes.select("rep", "signature"), "rep")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
+    keys = ["tree", "prefix", "_hi", "_lo"]
+    dealt = block_pairs(cut_lineage(rows), keys[:2], "rep", block).join(classes.select("rep", "n_shingles", "signature"), "rep")
+    types = {"tree": pa.int32(), "prefix": pa.binary(), "_hi": pa.int32(), "_lo": pa.int32(), "_i": pa.int32(), "_j": pa.int32(), "_side": pa.int32(), "rep": pa.int64(), "component": pa.int64()}
 
-    def compare(table):
-        own, rep, component = (table.column(c).to_numpy() for c in ("_own", "rep", "component"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, PLACES)
+    def sift(table):
+        own, component, sizes = (table.column(c).to_numpy() for c in ("_own", "component", "n_shingles"))
+        places = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, PLACES).T.copy()
         hi, lo = table.column("_hi")[0].as_py(), table.column("_lo")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for i in range(0, len(left), TILE):
-            for j in range(0, len(right), TILE):
-                x, y = left[i : i + TILE], right[j : j + TILE]
-                share = (signature[x][:, None, :] == signature[y][None, :, :]).mean(2)
-                good = (share >= FLOOR) & (component[x][:, None] != component[y][None, :])
-                if hi == lo:
-                    good &= x[:, None] < y[None, :]
-                a, b = np.nonzero(good)
-                found.append((np.minimum(rep[x[a]], rep[y[b]]), np.maximum(rep[x[a]], rep[y[b]]), share[a, b]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], schema=schema)
-
-    each = dealt.groupBy(*keys, "_hi", "_lo").applyInArrow(compare, "a long, b long, share double")
-    return each.groupBy("a", "b").agg(F.max("share").alias("share"))
-
-
-def settled(pairs: DataFrame, labels: DataFrame | None, docs: DataFrame, percent: int) -> DataFrame:
-    """The components (node, component) of labels and of the confirmed ones of pairs(a, b, share): the best pair of each
-    class first, then those that would still join two components. Components grow; their links are not united again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        order = np.argsort(table.column("rep").to_numpy(), kind="stable")  # the same tiles again when a task is repeated
+        left, right = (_tiles(order[own[order] == x], sizes, tile) for x in (lo, hi))
+        found = [(np.zeros(0, np.int64),) * 4]
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                if hi == lo and i > j:
+                    continue
+                agree = np.zeros((len(x), len(y)), np.uint8)
+                for p in places:
+                    agree += p[x][:, None] == p[y][None, :]
+                good = (agree >= FLOOR * PLACES) & (component[x][:, None] != component[y][None, :])
+                if not good.any():
+                    continue
+                same = hi == lo and i == j
+                for side, at in ((0, x[good.any(1)]), (1, y[good.any(0)][: 0 if same else None])):
+                    found.append((at, *(np.full(len(at), k) for k in (i, j, side))))
+        at, i, j, side = (np.concatenate(c) for c in zip(*found, strict=True))
+        held = table.take(pa.array(at))
+        new = {"_i": pa.array(i, pa.int32()), "_j": pa.array(j, pa.int32()), "_side": pa.array(side, pa.int32())}
+        return pa.Table.from_arrays([new[c] if c in new else held.column(c).cast(t) for c, t in types.items()], schema=pa.schema(list(types.items())))
+
+    return dealt.groupBy(*keys).applyInArrow(sift, "tree int, prefix binary, _hi int, _lo int, _i int, _j int, _side int, rep long, component long")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of left and right, sets as sorted arrays, have in common."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    shared = np.zeros((len(left), len(right)), np.int64)
+    spots = []
+    for h, owner in sides:
+        at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+        in_both = both[at] == h if len(both) else np.zeros(len(h), bool)
+        at, owner = at[in_both], owner[in_both]
+        order = np.argsort(at, kind="stable")
+        spots.append((at[order], owner[order]))
+    for first in range(0, len(both), MEMBERS):
+        marks = []
+        for (at, owner), n in zip(spots, shared.shape, strict=True):
+            here = slice(*np.searchsorted(at, [first, first + MEMBERS]))
+            mark = np.zeros((n, MEMBERS), np.float32)
+            mark[owner[here], at[here] - first] = 1
+            marks.append(mark)
+        shared += (marks[0] @ marks[1].T).astype(np.int64)
+    return shared
+
+
+def spanning(ends: np.ndarray, pairs: list[tuple[int, int]]) -> list[int]:
+    """Places of those pairs of rows that join two components (ends names each row's), taken in turn."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(pairs):
+        a, b = root(int(ends[x])), root(int(ends[y]))
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return kept
+
+
+def texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """rep and text of the documents of ends(rep); of rows with one doc_id always the same text."""
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).join(ends, "rep", "left_semi")
-    # of rows with one doc_id always the same text
-    texts = cut_lineage(texts.groupBy("rep").agg(F.min("text").alias("text")))
+    return cut_lineage(texts.groupBy("rep").agg(F.min("text").alias("text")))
+
+
+def region_links(active: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the components of active (rows of `sifted`), confirmed on the full sets of texts(rep, text).
+
+    All pairs of two tiles are tested where the tiles meet. Of the links found there only as many go on as join
+    components that were apart, so that a large family gives no more rows than it has classes.
+    """
+    import pyarrow as pa
+
+    def sets_of(batches: Iterator) -> Iterator:
+        for reps, held in arrow_texts(batches):
+            h, counts = shingle_hashes(held)
+            sets = [np.unique(x).tobytes() for x in np.split(h, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "members"])
+
+    keys = ["tree", "prefix", "_hi", "_lo", "_i", "_j"]
+    sets = texts.select("rep", "text").mapInArrow(sets_of, "rep long, members binary")
+
+    def test(table):
+        side, rep, component = (table.column(c).to_numpy() for c in ("_side", "rep", "component"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(right)
+        right = left if alone else right
+        members = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+        sizes = np.array([len(x) for x in members])
+        shared = overlaps([members[k] for k in left], [members[k] for k in right])
+        good = (100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared)) & (component[left][:, None] != component[right][None, :])
+        x, y = (w[k] for w, k in zip((left, right), np.nonzero(good), strict=True))
+        kept = np.array(spanning(component, list(zip(x.tolist(), y.tolist(), strict=True))), np.int64)
+        return pa.table({"a": rep[x[kept]], "b": rep[y[kept]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return active.hint("merge").join(sets, "rep").groupBy(*keys).applyInArrow(test, "a long, b long")
+
+
+def settled(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The components (node, component) of the confirmed ones of pairs(a, b, share): the best pair of each class first,
+    then those that would still join two components. Components grow; their links are not united again."""
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     best = F.max_by(F.struct("a", "b"), F.struct("share", -F.col("a"), -F.col("b")))
     sides = pairs.select(F.explode(F.array("a", "b")).alias("_end"), "a", "b", "share")
     first = cut_lineage(sides.groupBy("_end").agg(best.alias("_p")).select("_p.a", "_p.b").distinct())
-    sure = confirm(first, texts, percent)
-    labels = connected_components(sure) if labels is None else joined_components(labels, sure)
+    labels = connected_components(confirm(first, texts, percent))
     left = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
     right = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
     open_pairs = pairs.join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
@@ -238,12 +342,9 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     useful = rows.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = useful.groupBy("set_hash", "n_shingles").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("rep"))
     classes = cut_lineage(classes)
-    signed = classes.select("rep", "signature")
-    pairs = cut_lineage(candidates(signed))
-    labels = settled(pairs, None, docs, percent)
-    rest = cut_lineage(region_pairs(signed, labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = settled(rest, labels, docs, percent)
+    labels = settled(cut_lineage(candidates(classes.select("rep", "signature"))), docs, percent)
+    active = cut_lineage(sifted(classes.select("rep", "n_shingles", "signature"), labels))
+    labels = joined_components(labels, region_links(active, texts_of(docs, active.select("rep").distinct()), percent))
     whole = classes.join(labels, classes["rep"] == labels["node"], "left")
     whole = whole.select("set_hash", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     spread = whole.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("n_shingles", "_n")

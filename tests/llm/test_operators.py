@@ -129,16 +129,49 @@ def test_near_duplicates(spark, empty):
 
 
 def test_regions_have_no_window(spark):
-    """Rows of a region meet all others of other components, however far apart and in whichever block."""
-    rng = np.random.default_rng(8)
-    head = rng.integers(0, 256, 40).astype(np.uint8).tobytes()
-    rows = [(i, bytearray(head + rng.integers(0, 256, 24).astype(np.uint8).tobytes())) for i in range(60)]
-    classes = spark.createDataFrame(rows, "rep long, signature binary")
+    """Rows of a region meet all others of other components, however far apart, in whichever block and tile, and links
+    that join components come out, no more of them than rows that met."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(1000)]
+    base = [rng.choice(words) for _ in range(60)]
+    texts = [" ".join(base[:40] + [rng.choice(words) if rng.random() < 0.35 and i % 3 else w for w in base[40:]]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    head = bytes(range(40))
+    tail = np.random.default_rng(8)
+    rows = [(i, 56, bytearray(head + tail.integers(0, 256, 24).astype(np.uint8).tobytes())) for i in range(60)]
+    classes = spark.createDataFrame(rows, "rep long, n_shingles long, signature binary")
     labels = spark.createDataFrame([(i, 0) for i in range(20)], "node long, component long")
-    want = {(i, j) for i in range(60) for j in range(max(i + 1, 20), 60)}
-    for block in (2048, 9):
-        assert {(r.a, r.b) for r in near_dedup.region_pairs(classes, labels, block=block).collect()} == want
-    assert len({(r.a, r.b) for r in near_dedup.candidates(classes).collect()} & want) < len(want)
+    sets = [{tuple(t.split(" ")[k : k + 5]) for k in range(56)} for t in texts]
+
+    def apart(i, j):
+        return max(i, j) >= 20
+
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if apart(i, j) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+
+    def parts(edges):
+        parent = {i: 0 if i < 20 else i for i in range(60)}
+        for i, j in edges:
+            old, new = parent[i], parent[j]
+            parent = {k: new if p == old else p for k, p in parent.items()}
+        return {frozenset(k for k in parent if parent[k] == p) for p in parent.values()}
+
+    assert 1 < len(parts(links)) < 41
+    for block, tile in ((2048, 1024), (9, 1024), (2048, 7), (20, 4)):
+        active = near_dedup.sifted(classes, labels, block=block, tile=tile).cache()
+        got = [(min(r.a, r.b), max(r.a, r.b)) for r in near_dedup.region_links(active, docs.withColumnRenamed("doc_id", "rep")).collect()]
+        assert set(got) <= links and parts(got) == parts(links)
+        assert len(got) < active.count()
+    whole = near_dedup.region_links(near_dedup.sifted(classes, labels, trees=1), docs.withColumnRenamed("doc_id", "rep"))
+    assert whole.count() < 60
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEMBERS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 40, 90, 1)]
+    got = near_dedup.overlaps(sets[:3], sets)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets[:3]]
+    assert near_dedup.overlaps(sets[:1], sets[:1]).tolist() == [[0]]
 
 
 def test_near_vectors(spark):
