@@ -230,7 +230,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                         row[f] += 1
         for lang, row in counts.items():
             at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(row[at])], ["lang", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(row[at])], ["lang", "feature", "n"])
 
     counted = labelled.select("text", "lang").mapInArrow(run, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     held = counted.collect()  # at most (BUCKETS + scripts) rows a language

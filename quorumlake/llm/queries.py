@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import exact_dedup
 from .byte_bpe import op9_byte_bpe
+from .exact_dedup import op12_exact_index
 from .gif_media import op10_gif_media
 from .language_id import op8_language_spans
 from .line_dedup import op6_fuzzy_lines
@@ -26,7 +28,8 @@ QUERIES = {
         op8_language_spans,
         op9_byte_bpe,
         op10_gif_media,
+        op12_exact_index,
     )
 }
-#: None of the ten can be written in SQL (tokenizers, hashes, iteration); tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others are not written in SQL (tokenizers, hashes, iteration); tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op12_exact_index": exact_dedup.SQL}

@@ -286,6 +286,15 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_personal_data(empty, weights).count() == 0
 
 
+def test_language_of_labelled_texts_without_letters(spark):
+    rows = [(i, "the quick brown fox and the lazy dog", "en", "q", "r") for i in range(8)] + [(9, "", "fr", "q", "r"), (10, " 12 \n", "de", "q", "r"), (12, "", None, "q", "r")]
+    for parts in (1, 11):
+        got = {r.doc_id: r.lang_pred for r in language_id.detect_languages(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()}
+        assert got == {i: "en" for i in range(8)} | {9: "und", 10: "und", 12: "und"}
+    alone = language_id.detect_languages(spark.createDataFrame(rows[8:], SCHEMA))
+    assert {r.lang_pred for r in alone.collect()} == {"und"}
+
+
 def test_language(spark, empty):
     rows = [(i, t, lang, "q", "r") for i, (t, lang) in enumerate([("the cat and the dog of the house", "en"), ("der hund und die katze ist nicht", "de")] * 40)]
     rows += [(1000, None, "en", "q", "r"), (1001, "12 34", "en", "q", "r")]

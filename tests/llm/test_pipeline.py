@@ -46,3 +46,8 @@ def test_empty_table(spark):
     docs = frame(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_labelled_texts_without_letters_go(spark):
+    docs = frame(spark, [(i, f"{LONG} {i}", "en", "a", 9) for i in range(8)] + [(9, "", "fr", "a", 0), (10, "12 34", "de", "a", 5)])
+    assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()) == list(range(8))
