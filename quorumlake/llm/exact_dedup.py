@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import read_table, shared_folder, written
 
 DEPTH = 16
-CAPACITY = 20_000
+CAPACITY = 2000
 MEMBERS = 4096
 MEMORY = 16_000_000
 _WHITE = re.compile("[\x20\x09-\x0d]+")
