@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from .common import read_table, tokenizer_path, written
 from .token_counts import _byte_letters
 
-BATCH = 4_000_000
-REMEMBER = 200_000
-#: The mark of a space in pieces of B (fixed value).
+BATCH = 2_000_000
+REMEMBER = 250_000
+#: The mark of a space in pieces of B, and the splitting pattern of A (fixed values).
 SPACE_MARK = "▁"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -97,24 +98,31 @@ def gustavson(a: CSR, b: CSR) -> CSR:
 
 
 class Tokenizers:
-    """A and B, with the bytes of every token."""
+    """A and B, with the bytes of every token. A's merges are those of its file, applied by `tiktoken` to each piece of
+    the splitting pattern."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
-        letters = {c: b for b, c in _byte_letters().items()}
-        self.bytes_a: dict[int, bytes] = {}
-        for token, i in self.a.get_vocab().items():
-            known = all(c in letters for c in token)
-            self.bytes_a[i] = bytes(letters[c] for c in token) if known else token.encode()
+
+        with open(path_a, encoding="utf-8") as f:
+            held = json.load(f)
+        special, letters = {t["content"]: t["id"] for t in held["added_tokens"]}, {c: b for b, c in _byte_letters().items()}
+        ranks = {bytes(letters[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
+        self.a = tiktoken.Encoding("alignment", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=path_b)
+        size_a = max(ranks.values()) + 1
+        self.bytes_a = [b""] * size_a
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in raw], np.int64) for raw in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id(SPACE_MARK)
         self.cuts = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
+        # an id with what follows it in a document's groups: of A within a group or at its end, of B within, at the end of
+        # a group, at the end of a chunk
+        self.shown = [f"{i}{x}" for x in ",|" for i in range(size_a)] + [f"{i}{x}" for x in (",", ";", "") for i in range(len(pieces))]
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a space and the text, each without its first space."""
@@ -125,7 +133,7 @@ class Tokenizers:
         return text.split(" ")
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch([f" {c}" for c in chunks], add_special_tokens=False)]
+        a = [self.a.encode_ordinary(f" {c}") for c in chunks]
         b = self.b.encode(chunks, num_threads=1) if chunks else []
         return a, [own if c else [self.space] for own, c in zip(b, chunks, strict=True)]
 
@@ -150,7 +158,7 @@ class Flat:
 
 class ChunkTable:
     """The chunks met so far. sums: for each chunk n_a, n_b, n_groups, n_links, n_group_links, sound (1 or 0), and the place of
-    its first link. links: token of A and of B within the chunk, shared bytes, and the pair of ids as one number."""
+    its first link. links: the pair of ids of each link as one number."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
@@ -158,7 +166,7 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.sums, self.links = Flat(7), Flat(4)
+        self.sums, self.links = Flat(7), Flat(1)
         self.groups: list[str] = []
 
     def add(self, chunks: list[str]) -> None:
@@ -166,44 +174,52 @@ class ChunkTable:
         for at in range(0, len(chunks), 20_000):
             self._add(chunks[at : at + 20_000])
 
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, of B, how many each chunk has of A, of B); none where the tokens' bytes are not the chunk's."""
+        own, raw = self.tokenizers, [f" {c}".encode("utf-8", "surrogatepass") for c in chunks]
+        sides, sound = [], np.ones(len(chunks), bool)
+        for ids, known, lengths in zip(own.encode(chunks), (own.bytes_a, own.bytes_b), (own.lengths_a, own.lengths_b), strict=True):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((x for row in ids for x in row), np.int64, int(counts.sum()))
+            sizes = np.bincount(np.repeat(np.arange(len(chunks)), counts), lengths[flat], len(chunks))
+            same = sizes == np.fromiter(map(len, raw), np.int64, len(raw))
+            if not same.all() or b"".join(map(known.__getitem__, flat.tolist())) != b"".join(raw):
+                same = np.array([b"".join(map(known.__getitem__, row)) == want for row, want in zip(ids, raw, strict=True)], bool)
+            sound &= same
+            sides.append((flat, counts))
+        if not sound.all():
+            sides = [(flat[np.repeat(sound, counts)], np.where(sound, counts, 0)) for flat, counts in sides]
+        return sides[0][0], sides[1][0], sides[0][1], sides[1][1]
+
     def _add(self, chunks: list[str]) -> None:
-        ids_a, ids_b = self.tokenizers.encode(chunks)
-        raw_a, raw_b = self.tokenizers.bytes_a, self.tokenizers.bytes_b
-        for i, chunk in enumerate(chunks):
-            want = f" {chunk}".encode("utf-8", "surrogatepass")
-            if b"".join(map(raw_a.__getitem__, ids_a[i])) != want or b"".join(map(raw_b.__getitem__, ids_b[i])) != want:
-                ids_a[i], ids_b[i] = [], []
-        counts_a, counts_b = (np.array([len(own) for own in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([x for own in ids for x in own], np.int64) for ids in (ids_a, ids_b))
-        bytes_a = token_bytes_matrix(np.array([len(raw_a[x]) for x in a.tolist()], np.int64))
-        bytes_b = token_bytes_matrix(np.array([len(raw_b[x]) for x in b.tolist()], np.int64))
+        own = self.tokenizers
+        a, b, counts_a, counts_b = self._ids(chunks)
+        bytes_a, bytes_b = token_bytes_matrix(own.lengths_a[a]), token_bytes_matrix(own.lengths_b[b])
         overlap = gustavson(bytes_a, transposed(bytes_b))
         in_a, in_b, groups = group_matrices(bytes_a, bytes_b)
         one_a, one_b = (token_groups_matrix(np.zeros(m.rows, np.int64), 1) for m in (in_a, in_b))
         per_group = gustavson(transposed(in_a), one_a).data * gustavson(transposed(in_b), one_b).data
         chunk_a = np.repeat(np.arange(len(chunks)), counts_a)
-        first_a, first_b = np.cumsum(counts_a) - counts_a, np.cumsum(counts_b) - counts_b
         link_a, link_b = overlap.row_numbers(), overlap.indices
-        link_chunk = chunk_a[link_a]
         group_chunk = np.zeros(groups, np.int64)
         group_chunk[in_a.indices] = chunk_a
-        n_links = np.bincount(link_chunk, minlength=len(chunks))
+        n_links = np.bincount(chunk_a[link_a], minlength=len(chunks))
         n_groups = np.bincount(group_chunk, minlength=len(chunks))
         n_group_links = np.bincount(group_chunk, per_group, len(chunks)).astype(np.int64)
         begins = self.links.n + np.cumsum(n_links) - n_links
         self.sums.add(np.stack([counts_a, counts_b, n_groups, n_links, n_group_links, (counts_a > 0).astype(np.int64), begins], 1))
-        self.links.add(np.stack([link_a - first_a[link_chunk], link_b - first_b[link_chunk], overlap.data, a[link_a] << 32 | b[link_b]], 1))
-        left, right = (self._joined(ids.tolist(), m, groups) for ids, m in ((a, in_a), (b, in_b)))
-        both = [f"{x}|{y}" for x, y in zip(left, right, strict=True)]
-        stops = np.cumsum(n_groups).tolist()
+        self.links.add((a[link_a] << 32 | b[link_b])[:, None])
+        # the groups as text: A's ids and B's ids of each group in turn, each with the sign that follows it
+        last_a, last_b = (np.diff(m.indices, append=-1) != 0 for m in (in_a, in_b))
+        ends_chunk = np.diff(np.repeat(np.arange(len(chunks)), counts_b), append=-1) != 0
+        size_a, size_b = len(own.bytes_a), len(own.bytes_b)
+        signs = np.concatenate([a + size_a * last_a, 2 * size_a + b + size_b * (last_b.astype(np.int64) + ends_chunk)])
+        order = np.argsort(np.concatenate([2 * in_a.indices, 2 * in_b.indices + 1]), kind="stable")
+        shown = list(map(own.shown.__getitem__, signs[order].tolist()))
+        stops = np.cumsum(counts_a + counts_b).tolist()
         for chunk, begin, stop in zip(chunks, [0, *stops[:-1]], stops, strict=True):
             self.known[chunk] = len(self.groups)
-            self.groups.append(";".join(both[begin:stop]))
-
-    @staticmethod
-    def _joined(ids: list[int], tokens: CSR, groups: int) -> list[str]:
-        stops = np.cumsum(np.bincount(tokens.indices, minlength=groups)).tolist()
-        return [",".join(map(str, ids[i:j])) for i, j in zip([0, *stops], stops, strict=False)]
+            self.groups.append("".join(shown[begin:stop]))
 
     def rows(self, parts: list[str]) -> np.ndarray:
         """The number of each chunk."""
@@ -245,12 +261,18 @@ _BATCH = "batch long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of small numbers as one byte string: their lengths, then their numbers, four bytes each."""
-    return b"".join([np.array([len(arrays), *map(len, arrays)], "<u4").tobytes(), *[x.astype("<u4").tobytes() for x in arrays]])
+    """Arrays of small numbers as one compressed byte string: their lengths, then their numbers, byte by byte of all."""
+    import zstandard
+
+    flat = np.concatenate([[len(arrays)], [len(x) for x in arrays], *arrays]).astype("<u4")
+    return zstandard.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpacked(held: bytes) -> list[np.ndarray]:
-    flat = np.frombuffer(held, "<u4")
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(held), np.uint8).reshape(4, -1)
+    flat = np.ascontiguousarray(planes.T).view("<u4")[:, 0]
     sizes = flat[1 : flat[0] + 1].astype(np.int64)
     ends = np.cumsum(sizes) + len(sizes) + 1
     return [flat[e - n : e].astype(np.int64) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
@@ -292,7 +314,7 @@ def aligned_batches(docs: DataFrame, path_a: str, path_b: str, limit: int = BATC
             by_doc = np.concatenate([[0], np.cumsum(np.bincount(cell_doc, minlength=len(texts)))])
             sums = [np.bincount(owner, table.sums.rows[chunks[rows], k], len(texts)).astype(np.int64) for k in range(len(_SUMS))]
             places, n_links = table.link_places(chunks)
-            pairs, link_pair = np.unique(table.links.rows[places, 3], return_inverse=True)
+            pairs, link_pair = np.unique(table.links.rows[places, 0], return_inverse=True)
             chunk_times = np.bincount(cell_chunk, times, len(chunks)).astype(np.int64)
             pair_links = np.bincount(link_pair, np.repeat(chunk_times, n_links), len(pairs)).astype(np.int64)
             values = [number, keys, *sums, hashes, _packed(by_doc, cell_chunk, times), _packed(np.concatenate([[0], np.cumsum(n_links)]), link_pair), pairs, pair_links]

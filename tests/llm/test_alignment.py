@@ -1,5 +1,6 @@
 """Token alignment against brute force over the libraries' tokens, byte by byte."""
 
+import functools
 import hashlib
 import random
 from collections import Counter
@@ -21,12 +22,21 @@ def texts(seed=1, n=80):
     return ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(n)]
 
 
+@functools.cache
+def library():
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(PATHS[0])
+    out.encode_special_tokens = True
+    return out
+
+
 def tokens(text):
     """(ids, bytes of each) for A and B, or None."""
     own = alignment.load(*PATHS)
     if not text:
         return None
-    a, b = own.a.encode(f" {text}", add_special_tokens=False).ids, own.b.encode(text)
+    a, b = library().encode(f" {text}", add_special_tokens=False).ids, own.b.encode(text)
     raw_a, raw_b = [own.bytes_a[x] for x in a], [own.bytes_b[x] for x in b]
     return (a, raw_a, b, raw_b) if b"".join(raw_a) == b"".join(raw_b) == f" {text}".encode() else None
 
