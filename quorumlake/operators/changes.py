@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.model import AS_OF, Civic
 from quorumlake.operators.aggregates import day
+from quorumlake.operators.versions import VersionedTable
 from quorumlake.plans.registry import query
-
-
-def shared_folder(c: Civic, name: str) -> str:
-    """A new folder that all machines share."""
-    folder = c.spark.sparkContext.getConf().get("spark.checkpoint.dir") or c.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+from quorumlake.plans.storage import new_folder
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], keep_old_if_null: tuple[str, ...] = ()) -> DataFrame:
@@ -47,11 +41,12 @@ def incoming_meetings(c: Civic) -> DataFrame:
 
 @query("sink_upsert", f"SELECT coalesce(m.meeting_id, n.meeting_id) AS meeting_id, CASE WHEN n.meeting_id IS NOT NULL THEN n.title ELSE m.title END AS title, coalesce(n.start_sec, m.start_sec) AS start_sec FROM meeting m FULL JOIN ({_INCOMING}) n ON n.meeting_id = m.meeting_id")
 def sink_upsert(c: Civic) -> DataFrame:
-    """The merged table, written to the shared folder and read back: plain Parquet is rewritten, not changed in place."""
-    merged = upsert(c.meeting.select("meeting_id", "title", "start_sec"), incoming_meetings(c), ["meeting_id"], ("start_sec",))
-    path = shared_folder(c, "upsert")
-    merged.write.parquet(path)
-    return c.spark.read.schema(merged.schema).parquet(path)
+    """A later scrape merged into a stored table as its next version: only touched partitions are rewritten."""
+    current = c.meeting.select("meeting_id", "title", "start_sec")
+    table = VersionedTable(c.spark, new_folder(c.spark, "upsert"), current.schema, F.pmod(F.hash("meeting_id"), F.lit(32)))
+    table.merge(current, 0, lambda held, new: new)
+    table.merge(incoming_meetings(c), 1, lambda held, new: upsert(held, new, ["meeting_id"], ("start_sec",)))
+    return table.read()
 
 
 @query("mrg_finalize", """SELECT item_id, CASE WHEN status = 'pending' THEN 'completed' ELSE status END AS status, CASE WHEN status = 'pending' THEN least(10, significance + 1) ELSE significance END AS significance,
@@ -131,7 +126,7 @@ def sink_audit_append(c: Civic) -> DataFrame:
     names = F.when(F.col("item_id") % 4 == 0, "accept_first").when(F.col("item_id") % 4 == 1, "accept_second").when(F.col("item_id") % 4 == 2, "edit").otherwise("prompt_again")
     queue = c.item.filter("significance <= 2").select("item_id", F.lit("queue").alias("actor"), names.alias("action"))
     review = c.badge.filter("badge_status = 'flagged'").select("item_id", F.lit("review").alias("actor"), F.col("slug").alias("action"))
-    path = shared_folder(c, "audit")
+    path = new_folder(c.spark, "audit")
     for change in (queue, review):
         change.write.mode("append").parquet(path)
     return c.spark.read.schema(queue.schema).parquet(path)
@@ -143,7 +138,7 @@ def rollup_refresh(c: Civic) -> DataFrame:
     month = F.date_format("generated_on", "yyyy-MM").alias("month")
     rows = c.item.select(month, "topic", "item_id")
     rolled = lambda frame: frame.groupBy("month", "topic").agg(F.count(F.lit(1)).alias("n"))
-    path = shared_folder(c, "rollup")
+    path = new_folder(c.spark, "rollup")
     late = rows.filter("item_id % 10 = 1 and month >= '1998-01'").select("month").distinct()
     old = rows.filter("not (item_id % 10 = 1 and month >= '1998-01')")
     rolled(old).repartition("month").write.partitionBy("month").parquet(path)

@@ -12,19 +12,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def with_civic_layer(sql: str) -> str:
-    """sql after the civic layer's common table expressions; a leading comma adds expressions of its own."""
-    head = "WITH " + ", ".join(f"{name} AS ({body})" for name, body in CIVIC_SQL.items())
+def with_civic_layer(sql: str, recursive: bool = False) -> str:
+    """sql after the civic layer's common table expressions; a leading comma adds expressions of its own, which may be
+    recursive."""
+    head = "WITH " + "RECURSIVE " * recursive + ", ".join(f"{name} AS ({body})" for name, body in CIVIC_SQL.items())
     return head + (sql if sql.lstrip().startswith(",") else " " + sql)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, recursive: bool = False):
     """Register a function of the civic layer as a query."""
 
     def register(f: Callable[[Civic], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Civic(spark, sf_dir))
         if sql:
-            ORACLES[name] = with_civic_layer(sql)
+            ORACLES[name] = with_civic_layer(sql, recursive)
         return f
 
     return register
