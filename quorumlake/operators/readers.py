@@ -104,13 +104,6 @@ def agg_routine_clusters(c: Civic) -> DataFrame:
     return count_by(routine, "topic").join(samples, "topic", "left")
 
 
-@query("agg_match_coverage", "SELECT CASE WHEN item_id % 3 = 0 THEN 'resolution' ELSE 'keyword' END AS method, count(DISTINCT meeting_id) AS meetings, round(count(DISTINCT meeting_id)::DOUBLE / (SELECT count(*) FROM vote), 6) AS share FROM item WHERE status = 'completed' GROUP BY 1")
-def agg_match_coverage(c: Civic) -> DataFrame:
-    total = c.vote.agg(F.count(F.lit(1)).alias("n"))
-    linked = c.item.filter("status = 'completed'").groupBy(F.when(F.col("item_id") % 3 == 0, "resolution").otherwise("keyword").alias("method")).agg(F.count_distinct("meeting_id").alias("meetings"))
-    return linked.select("method", "meetings", F.round(F.col("meetings").cast("double") / total.scalar(), 6).alias("share"))
-
-
 @query("mat_timestamp", "SELECT v.meeting_id, max(i.item_id) AS item_id, CASE WHEN v.t - max(i.video_sec) < 120 THEN 1.0 WHEN v.t - max(i.video_sec) < 600 THEN 0.8 WHEN v.t - max(i.video_sec) < 1800 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence FROM (SELECT meeting_id, CAST(1500 + meeting_id % 2000 AS BIGINT) AS t FROM meeting) v JOIN item i ON i.meeting_id = v.meeting_id AND i.video_sec = (SELECT max(video_sec) FROM item j WHERE j.meeting_id = v.meeting_id AND j.video_sec <= v.t) GROUP BY v.meeting_id, v.t")
 def mat_timestamp(c: Civic) -> DataFrame:
     """The nearest preceding item with a confidence by the gap."""
@@ -120,13 +113,6 @@ def mat_timestamp(c: Civic) -> DataFrame:
     return both.select("meeting_id", "item_id", T.vote_confidence(F.col("t") - F.col("video_sec"), F.lit(False)).alias("confidence"))
 
 
-@query("mat_consent_block", "SELECT v.vote_id, i.item_id, CASE WHEN i.item_id % 10 = 3 THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence FROM vote v JOIN item i ON i.meeting_id = v.meeting_id AND i.is_consent")
-def mat_consent_block(c: Civic) -> DataFrame:
-    """A consent vote with every consent item of its meeting: named ones (here item 3) surely, the others implied."""
-    named = F.col("item_number").rlike(r"^3(\D|$)")
-    return c.vote.select("vote_id", "meeting_id").join(c.item.filter("is_consent"), "meeting_id").select("vote_id", "item_id", F.when(named, 1.0).otherwise(0.8).alias("confidence"))
-
-
 @query("mat_member_names", "SELECT mv.vote_id, mv.member_id AS said, m.member_id FROM member_vote mv JOIN member m ON lower(m.member_name) = 'supplier#' || lpad(CAST(mv.member_id AS VARCHAR), 9, '0')")
 def mat_member_names(c: Civic) -> DataFrame:
     """Names resolve through their lower-case variants, the longest first."""
@@ -143,23 +129,6 @@ def mat_roster(c: Civic) -> DataFrame:
     return c.meeting.select("meeting_id").join(count_by(found, "meeting_id", name="n"), "meeting_id", "left").select("meeting_id", F.coalesce("n", F.lit(0)).alias("members"))
 
 
-@query("mat_cascade", "SELECT meeting_id, arg_min(method, ROW(tier, item_id)) AS method, arg_min(item_id, ROW(tier, item_id)) AS item_id FROM (SELECT meeting_id, item_id, 1 AS tier, 'number' AS method FROM item WHERE regexp_extract(item_number, '^([0-9]+)', 1) = CAST(meeting_id % 7 + 1 AS VARCHAR) UNION ALL SELECT meeting_id, item_id, 2, 'dollars' FROM item WHERE dollars >= 90000) GROUP BY 1")
-def mat_cascade(c: Civic) -> DataFrame:
-    """The first tier that hits; within it the smallest item."""
-    number = c.item.filter(F.regexp_extract("item_number", r"^(\d+)", 1) == (F.col("meeting_id") % 7 + 1).cast("string")).select("meeting_id", "item_id", F.lit(1).alias("tier"), F.lit("number").alias("method"))
-    money = c.item.filter("dollars >= 90000").select("meeting_id", "item_id", F.lit(2).alias("tier"), F.lit("dollars").alias("method"))
-    best = number.unionByName(money).groupBy("meeting_id").agg(F.min(F.struct("tier", "item_id", "method")).alias("b"))
-    return best.select("meeting_id", "b.method", "b.item_id")
-
-
-@query("mat_strict_reparse", "SELECT i.item_id, CASE WHEN i.significance >= 5 THEN 'promoted' ELSE 'deactivated' END AS state FROM item i WHERE i.is_consent AND EXISTS (SELECT 1 FROM item j WHERE j.meeting_id = i.meeting_id AND j.is_consent AND j.significance >= 5)")
-def mat_strict_reparse(c: Civic) -> DataFrame:
-    """Listed links are promoted, others of the meeting deactivated; meetings where nothing resolved are left alone."""
-    consent = c.item.filter("is_consent").select("item_id", "meeting_id", "significance")
-    resolved = consent.filter("significance >= 5").select("meeting_id").distinct()
-    return consent.join(resolved, "meeting_id", "left_semi").select("item_id", F.when(F.col("significance") >= 5, "promoted").otherwise("deactivated").alias("state"))
-
-
 def related(items: DataFrame, key: str, k: int = 3) -> DataFrame:
     """Up to k items with the same key in other meetings, the largest first, for every item.
 

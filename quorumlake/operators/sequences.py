@@ -172,30 +172,6 @@ def topk_per_key_recent(c: Civic) -> DataFrame:
 # ---- matching ----
 
 
-@query("mat_resolution", "SELECT m.meeting_id, min(i.item_id) AS item_id FROM meeting m JOIN item i ON i.meeting_id = m.meeting_id AND list_contains(regexp_extract_all(i.title || ' ' || coalesce(i.description, ''), '[0-9]+'), CAST(m.meeting_id % 26 AS VARCHAR)) GROUP BY 1")
-def mat_resolution(c: Civic) -> DataFrame:
-    """A number in the vote equals a whole number in an item of the same meeting: exploded tokens, one equi-join."""
-    tokens = c.item.select("meeting_id", "item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.concat("title", F.lit(" "), F.coalesce("description", F.lit(""))), F.lit(r"[0-9]+"), F.lit(0)))).alias("token"))
-    wanted = c.meeting.select("meeting_id", (F.col("meeting_id") % 26).cast("string").alias("token"))
-    return wanted.join(tokens, ["meeting_id", "token"]).groupBy("meeting_id").agg(F.min("item_id").alias("item_id"))
-
-
-@query("mat_item_number", "SELECT i.meeting_id, min(i.item_id) AS item_id FROM item i WHERE regexp_extract(i.item_number, '^([0-9]+)', 1) = CAST(i.meeting_id % 7 + 1 AS VARCHAR) GROUP BY 1")
-def mat_item_number(c: Civic) -> DataFrame:
-    votes = c.meeting.select("meeting_id", F.regexp_extract(F.concat(F.lit("on Item No. "), (F.col("meeting_id") % 7 + 1).cast("string")), r"Item No\. (\d+)", 1).alias("number"))
-    items = c.item.select("meeting_id", "item_id", F.regexp_extract("item_number", r"^(\d+)", 1).alias("number"))
-    return votes.join(items, ["meeting_id", "number"]).groupBy("meeting_id").agg(F.min("item_id").alias("item_id"))
-
-
-@query("mat_keyword", "SELECT v.item_id, arg_max(i.item_id, ROW(n, i.item_id)) AS best FROM (SELECT a.item_id, b.item_id AS other, count(*) AS n FROM (SELECT meeting_id, item_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z]{4,}'))) AS w FROM item) a JOIN (SELECT meeting_id, item_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z]{4,}'))) AS w FROM item) b ON a.meeting_id = b.meeting_id AND a.w = b.w AND a.item_id <> b.item_id GROUP BY ALL) v JOIN item i ON i.item_id = v.other GROUP BY 1")
-def mat_keyword(c: Civic) -> DataFrame:
-    """The item of the same meeting that shares most title words; of equals the one with the largest id."""
-    words = c.item.select("meeting_id", "item_id", F.explode(T.significant_words(F.col("title"), [])).alias("w"))
-    other = words.select("meeting_id", F.col("item_id").alias("other"), "w")
-    shared = words.join(other, ["meeting_id", "w"]).filter("item_id <> other").groupBy("item_id", "other").agg(F.count(F.lit(1)).alias("n"))
-    return shared.groupBy("item_id").agg(F.max_by("other", F.struct("n", "other")).alias("best"))
-
-
 def prior_contracts(c: Civic, least: float = 0.6) -> DataFrame:
     """Amendments with an earlier award in the same city whose counterparty is similar.
 

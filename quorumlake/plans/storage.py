@@ -6,8 +6,10 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -80,3 +82,16 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
                 else:
                     seen.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:20]
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table called name in the shared folder, derived by build() where it isn't there for these sources' files yet."""
+    path = f"{shared_root(spark)}/stored/{name}-{fingerprint(spark, sources)}"
+    files = Files(spark, path)
+    if not files.exists(f"{path}/ready"):
+        frame = build()
+        data = f"data-{uuid.uuid4().hex}"  # runs that build it at once don't write over each other
+        frame.write.parquet(f"{path}/{data}")
+        files.publish(f"{path}/ready", {"data": data, "schema": frame.schema.json()})
+    held = files.read(f"{path}/ready")
+    return spark.read.schema(StructType.fromJson(json.loads(held["schema"]))).parquet(f"{path}/{held['data']}")
