@@ -5,30 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions.text import strip_html
 from quorumlake.model import Civic
 from quorumlake.plans.registry import query
 
 
-@query("src_html_listing_rows")
-def src_html_listing_rows(c: Civic) -> DataFrame:
-    """List entries of each page in order: place, target and text."""
-    pages = c.table("pages")
-    rows = F.regexp_extract_all("html", F.lit(r"(?s)<li\b[^>]*>(.*?)</li>"), F.lit(1))
-    entries = pages.select("page_id", F.posexplode(rows).alias("pos", "row"))
-    return entries.select("page_id", "pos", F.regexp_extract("row", r'href="([^"]*)"', 1).alias("href"), strip_html(F.col("row")).alias("text"))
-
-
 @query("src_link_archive_rows", "SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM pages")
 def src_link_archive_rows(c: Civic) -> DataFrame:
     return c.table("pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#:]+)", 1).alias("host"), F.nullif(F.regexp_extract("url", r"/(\d+)", 1), F.lit("")).alias("number"))
 
 
-@query("src_index_points", "SELECT page_id, len(regexp_extract_all(html, '<h[1-6]')) AS points FROM pages")
-def src_index_points(c: Civic) -> DataFrame:
-    return c.table("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<h[1-6]"), F.lit(0))).cast("long").alias("points"))
-
-
 @query("src_json_events", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.start') AS BIGINT), TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events")
 def src_json_events(c: Civic) -> DataFrame:
     """A value under the first of several keys that holds one."""
@@ -36,21 +21,6 @@ def src_json_events(c: Civic) -> DataFrame:
     return c.table("events").select("event_id", F.coalesce(parsed["start"], parsed["k"]).alias("k"))
 
 
-@query("src_json_tree_flatten", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx, substr(text, 1, 300) AS excerpt FROM conversations")
-def src_json_tree_flatten(c: Civic) -> DataFrame:
-    """Nested turns flattened with a running index, texts cut to 300 characters for display."""
-    tree = c.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("nodes"))
-    flat = tree.select("conv_id", F.posexplode("nodes").alias("idx", "node"))
-    return flat.select("conv_id", "node.turn", F.col("idx").cast("long").alias("idx"), F.substring("node.text", 1, 300).alias("excerpt"))
-
-
-@query("txt_agenda_items", "SELECT doc_id, idx - 1 AS idx, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents) WHERE trim(line) <> ''")
-def txt_agenda_items(c: Civic) -> DataFrame:
-    """Texts cut at their markers (line ends here), in order."""
-    parts = c.table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
-    return parts.select("doc_id", F.col("idx").cast("long").alias("idx"), F.trim("line").alias("line")).filter("line <> ''")
-
-
 @query("txt_consent_phrase", "SELECT doc_id, contains(lower(text), 'all rights reserved') OR contains(lower(text), 'released under') AS hit FROM documents")
 def txt_consent_phrase(c: Civic) -> DataFrame:
     phrases = F.array(F.lit("all rights reserved"), F.lit("released under"))
