@@ -234,16 +234,26 @@ def test_lines_differ_anywhere(spark):
 
 
 def test_lines_of_a_large_bucket(spark):
-    """Every pair that shares a bucket is tested, also in several blocks and if the first line and the predecessor fail."""
-    rows = [(b, 1000 * b + i, 1000 * b, (1000 * b + i - 1) if i else None) for b, n in ((1, 40), (2, 3)) for i in range(n)]
-    shared = spark.createDataFrame(rows, "bucket long, h long, _low long, _last long")
+    """Every pair of a bucket in different components meets, in several blocks too; only those of similar sketches are rows."""
+    rows = [(b, 1000 * b + i, 1000 * b) for b, n in ((1, 40), (2, 3)) for i in range(n)]
+    shared = spark.createDataFrame(rows, "bucket long, h long, _low long")
     labels = spark.createDataFrame([(1000 + i, 1000) for i in range(30)] + [(2000 + i, 2000) for i in range(3)], "node long, component long")
+    sketches = lambda of: spark.createDataFrame([(h, [of(h)] * line_dedup.SIFT_FLOOR + [h] * (line_dedup.SIFT - line_dedup.SIFT_FLOOR)) for _, h, _ in rows], "h long, m array<int>")
     old, line_dedup.BLOCK = line_dedup.BLOCK, 7
     try:
-        got = [(r.a, r.b) for r in line_dedup.open_pairs(shared, labels).collect()]
+        every = [(r.a, r.b) for r in line_dedup.open_pairs(shared, labels, sketches(lambda h: 0)).collect()]
+        even = [(r.a, r.b) for r in line_dedup.open_pairs(shared, labels, sketches(lambda h: h % 2)).collect()]
     finally:
         line_dedup.BLOCK = old
-    assert sorted(got) == [(1000 + i, 1000 + j) for i in range(40) for j in range(max(i + 1, 30), 40)]
+    want = [(1000 + i, 1000 + j) for i in range(40) for j in range(max(i + 1, 30), 40)]
+    assert sorted(every) == want and sorted(even) == [(a, b) for a, b in want if (a - b) % 2 == 0]
+
+
+def test_many_lines_of_one_text_go(spark):
+    text = "\n".join(f"line {i // 2} of many {'abcdefgh'[i // 2 % 8] * 9} {i // 2 * 7919}" for i in range(20_000))
+    got = line_dedup.without_repeats(spark.createDataFrame([(1, text, "en", "q", "r")], SCHEMA)).first()
+    kept = got.text.split("\n")
+    assert got.n_lines == 20_000 and got.n_kept == len(kept) <= 10_000 and len(set(kept)) == len(kept)
 
 
 def test_lines_of_a_template(spark):
