@@ -20,13 +20,19 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        if not available(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-shared-")
         _own[context.applicationId] = folder
     return folder.rstrip("/")
 
 
+def available(spark: SparkSession) -> bool:
+    """Whether there is a shared folder: it is set, or the master is local."""
+    context = spark.sparkContext
+    return bool(context.getConf().get("spark.checkpoint.dir")) or context.master.startswith("local") and not context.master.startswith("local-cluster")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own under the shared one, not yet made."""
     return f"{shared_root(spark)}/{name}/{uuid.uuid4().hex}"
