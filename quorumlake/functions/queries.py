@@ -227,7 +227,10 @@ def fn_word_count(c: Civic) -> DataFrame:
     return c.table("documents").select("doc_id", words.alias("words"), F.ceil(words / 230.0).alias("minutes"))
 
 
-@query("fn_strip_html")
+_PLAIN_SQL = r"regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+
+
+@query("fn_strip_html", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(" + _PLAIN_SQL + r", '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages")
 def fn_strip_html(c: Civic) -> DataFrame:
     return c.table("pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 

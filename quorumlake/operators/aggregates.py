@@ -341,9 +341,9 @@ def agg_badge_volume_year(c: Civic) -> DataFrame:
     return c.badge.groupBy("city_id", F.col("slug").alias("badge")).agg(F.count_if(F.year("detected_on") == 1998).alias("in_year"), F.count_if(recent).alias("recent"))
 
 
-@query("agg_having", "SELECT sponsor, count(*) AS n FROM item WHERE status = 'failed_permanent' GROUP BY sponsor HAVING count(*) >= 30")
+@query("agg_having", "SELECT sponsor, count(*) AS n FROM item WHERE status = 'failed_permanent' GROUP BY sponsor HAVING count(*) >= 12")
 def agg_having(c: Civic) -> DataFrame:
-    return count_by(c.item.filter("status = 'failed_permanent'"), "sponsor").filter("n >= 30")
+    return count_by(c.item.filter("status = 'failed_permanent'"), "sponsor").filter("n >= 12")
 
 
 @query("agg_array_distinct_filter", "SELECT meeting_id, coalesce(string_agg(DISTINCT data_quality, ',' ORDER BY data_quality), '') AS reasons FROM item GROUP BY meeting_id")

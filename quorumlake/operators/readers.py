@@ -43,12 +43,47 @@ def cls_process_badges_on_write(c: Civic) -> DataFrame:
     return c.item.select("item_id", first.alias("badge")).filter("badge is not null")
 
 
-@query("cls_policy_badges", "SELECT item_id, CASE WHEN contains(lower(title), 'ring') THEN 'ring_watch' ELSE 'street_watch' END AS badge FROM item WHERE action_type <> 'zoning' AND (contains(lower(title), 'ring') OR contains(lower(coalesce(description, '')), 'economy street'))")
+#: Hints by badge: what rules an item out (action types, phrases), and what matches it, in this order: keywords (whole words, or
+#: a pattern with a label), action types, topics.
+POLICY_HINTS: dict[str, dict[str, list]] = {
+    "street_works": {"excluded_action_types": ["zoning"], "excluded_phrases": ["emergency settlement"], "keywords": ["economy street", ("small tools", r"small\s+(rod|gear)s?\b")]},
+    "abatements": {"excluded_phrases": ["widget"], "action_types": ["tax_abatement"], "topics": ["promo"]},
+    "anvils": {"excluded_action_types": ["settlement", "contract_award"], "keywords": ["anvil", "bolt"], "topics": ["standard"]},
+}
+
+
+def policy_badges(items: DataFrame, hints: dict[str, dict[str, list]]) -> DataFrame:
+    """item_id, badge, how and what: each badge whose hints match an item, by all its matching keywords, else by its action type,
+    else by its topic. All badges are judged in one pass."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    judged = []
+    for badge, h in hints.items():
+        action, topic = F.col("action_type"), F.col("topic")
+        excluded = action.isin(h.get("excluded_action_types", [])) | F.exists(strings(h.get("excluded_phrases", [])), lambda p: F.contains(text, F.lower(p)))
+        keywords = [(k, rf"\b\Q{k.lower()}\E\b") if isinstance(k, str) else k for k in h.get("keywords", [])]
+        found = F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(label)) for label, pattern in keywords]).cast("array<string>"))
+        row = lambda how, what, b=badge: F.struct(F.lit(b).alias("badge"), F.lit(how).alias("how"), what.alias("what"))
+        match = F.when(F.size(found) > 0, row("keywords", found)).when(action.isin(h.get("action_types", [])), row("action_type", F.array(action))).when(topic.isin(h.get("topics", [])), row("topic", F.array(topic)))
+        judged.append(F.when(~F.coalesce(excluded, F.lit(False)), match))
+    return items.select("item_id", F.explode(F.array_compact(F.array(*judged))).alias("b")).select("item_id", "b.badge", "b.how", "b.what")
+
+
+def _policy_sql(hints: dict[str, dict[str, list]]) -> str:
+    quoted = lambda values: "('" + "', '".join(values) + "')" if values else "(NULL)"
+    text, parts = "lower(concat_ws(' ', coalesce(title, ''), coalesce(description, '')))", []
+    for badge, h in hints.items():
+        words = [(k, rf"\b{k}\b") if isinstance(k, str) else k for k in h.get("keywords", [])]
+        found = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{label}' END" for label, p in words) + "]::VARCHAR[], lambda x: x IS NOT NULL)"
+        ruled_out = "".join(f" AND NOT contains(t, '{p}')" for p in h.get("excluded_phrases", [])) + (f" AND action_type NOT IN {quoted(h['excluded_action_types'])}" if h.get("excluded_action_types") else "")
+        parts.append(f"""SELECT item_id, '{badge}' AS badge, CASE WHEN len(found) > 0 THEN 'keywords' WHEN action_type IN {quoted(h.get('action_types'))} THEN 'action_type' WHEN topic IN {quoted(h.get('topics'))} THEN 'topic' END AS how,
+            CASE WHEN len(found) > 0 THEN found WHEN action_type IN {quoted(h.get('action_types'))} THEN [action_type] ELSE [topic] END AS what FROM (SELECT *, {found} AS found FROM (SELECT *, {text} AS t FROM item)) WHERE true{ruled_out}""")
+    return f"SELECT item_id, badge, how, array_to_string(what, '|') AS what FROM ({' UNION ALL '.join(parts)}) WHERE how IS NOT NULL"
+
+
+@query("cls_policy_badges", _policy_sql(POLICY_HINTS))
 def cls_policy_badges(c: Civic) -> DataFrame:
-    """Keyword hints after the excluded action types."""
-    text, body = F.lower("title"), F.lower(F.coalesce("description", F.lit("")))
-    badge = F.when(F.contains(text, F.lit("ring")), "ring_watch").when(F.contains(body, F.lit("economy street")), "street_watch")
-    return c.item.filter("action_type <> 'zoning'").select("item_id", badge.alias("badge")).filter("badge is not null")
+    return policy_badges(c.item, POLICY_HINTS).select("item_id", "badge", "how", F.array_join("what", "|").alias("what"))
 
 
 CONFLICTS = "list_filter([CASE WHEN dollars >= 50000 THEN 'dollars' END, CASE WHEN action_type IN ('settlement', 'zoning') THEN 'action' END, CASE WHEN procurement = 'sole_source' THEN 'procurement' END], lambda x: x IS NOT NULL)"
@@ -83,13 +118,6 @@ def agg_count_members_positions(c: Civic) -> DataFrame:
     return c.member_vote.groupBy("vote_id").agg(*[F.count_if(F.col("position") == p).alias(n) for p, n in (("yes", "yes"), ("nay", "no"), ("abstain", "abstain"))])
 
 
-@query("agg_unnest_triggers")
-def agg_unnest_triggers(c: Civic) -> DataFrame:
-    from quorumlake.operators.rules import score_floors
-
-    return count_by(score_floors(c.item).select(F.explode("fired").alias("f")).select("f.trigger", "f.field"), "trigger", "field")
-
-
 @query("agg_error_patterns", "SELECT CASE WHEN data_quality = 'empty' THEN 'no text' WHEN data_quality = 'no_text_layer' THEN 'scan' ELSE 'other' END AS pattern, count(*) AS n FROM item WHERE status = 'failed_permanent' GROUP BY 1")
 def agg_error_patterns(c: Civic) -> DataFrame:
     q = F.col("data_quality")

@@ -14,6 +14,7 @@ FLOORS = [
     ("yellow_sole_source", "dollars >= 50000 and procurement = 'sole_source'", 6),
     ("yellow_settlement", "dollars >= 50000 and action_type = 'settlement'", 6),
     ("any_settlement", "action_type = 'settlement'", 6),
+    ("zoning_large", "action_type = 'zoning' and (coalesce(parcels, 0) >= 5 or coalesce(acres, 0) >= 10)", 7),
     ("emergency_proc", "action_type = 'emergency_procurement'", 7),
     ("appt_executive", "action_type = 'appointment_executive'", 7),
     ("appt_board", "action_type = 'appointment_board'", 5),
@@ -31,6 +32,10 @@ SUBJECTS = [
     ("police_oversight", r"(?i)\b(citizen\s+review\s+board|use\s+of\s+force|police\s+misconduct|complaint\s+review|police\s+(accountab|oversight)|internal\s+affairs)\b", 8, 2),
     ("eminent_domain", r"(?i)\b(eminent\s+domain|condemnation\s+for\s+public\s+use|compulsory\s+acquisition|taking\s+by\s+the\s+city)\b", 8, 2),
 ]
+#: The subject that a suggested badge calls up as well as its pattern (fixed values).
+SUGGESTED = {"surveillance_alpr": "public_safety_tech_privacy"}
+#: Facts that a frame of items may lack: then nothing is known of them.
+FACTS = {"parcels": "int", "acres": "double", "suggested_badges": "array<string>"}
 
 
 def _audited(score: Column, field: str, rules: list[tuple[str, Column, int]], raises: bool) -> Column:
@@ -48,8 +53,33 @@ def _audited(score: Column, field: str, rules: list[tuple[str, Column, int]], ra
 
 def score_floors(items: DataFrame) -> DataFrame:
     """items with significance and consent_score after all rules, and `fired`, the audit list."""
+    known = items.withColumns({name: F.lit(None).cast(kind) for name, kind in FACTS.items() if name not in items.columns})
     text = F.concat_ws(" ", "title", "description")
-    floors = [(n, F.expr(rule), b) for n, rule, b in FLOORS] + [(f"{n}_significance", text.rlike(p), b) for n, p, b, _ in SUBJECTS]
-    ceilings = [(n, F.expr(rule), b) for n, rule, b in CEILINGS] + [(f"{n}_consent", F.col("is_consent") & text.rlike(p), b) for n, p, _, b in SUBJECTS]
-    done = items.withColumn("_s", _audited(F.col("significance"), "significance", floors, True)).withColumn("_c", _audited(F.col("consent_score"), "consent_placement", ceilings, False))
-    return done.withColumns({"significance": F.col("_s.score"), "consent_score": F.col("_c.score"), "fired": F.concat("_s.fired", "_c.fired")}).drop("_s", "_c")
+
+    def subject(name: str, pattern: str) -> Column:
+        held = text.rlike(pattern)
+        return held | F.coalesce(F.array_contains("suggested_badges", SUGGESTED[name]), F.lit(False)) if name in SUGGESTED else held
+
+    floors = [(n, F.expr(rule), b) for n, rule, b in FLOORS] + [(f"{n}_significance", subject(n, p), b) for n, p, b, _ in SUBJECTS]
+    ceilings = [(n, F.expr(rule), b) for n, rule, b in CEILINGS] + [(f"{n}_consent", F.col("is_consent") & subject(n, p), b) for n, p, _, b in SUBJECTS]
+    done = known.withColumn("_s", _audited(F.col("significance"), "significance", floors, True)).withColumn("_c", _audited(F.col("consent_score"), "consent_placement", ceilings, False))
+    scored = done.withColumns({"significance": F.col("_s.score"), "consent_score": F.col("_c.score"), "fired": F.concat("_s.fired", "_c.fired")})
+    return scored.select(*items.columns, "fired")
+
+
+def triggers_sql(source: str) -> str:
+    """Common table expressions `rule` and `trigger(item_id, trigger, field, pre, post)` by plain SQL over source, which has the
+    columns that the rules ask for: a rule fires where its bound is beyond those of all rules before it."""
+    text = "concat_ws(' ', title, description)"
+
+    def subject(name: str, pattern: str) -> str:
+        held = f"regexp_matches({text}, '{pattern}')"
+        return f"({held} OR list_contains(suggested_badges, '{SUGGESTED[name]}'))" if name in SUGGESTED else held
+
+    rows = [("significance", n, rule, b) for n, rule, b in FLOORS] + [("significance", f"{n}_significance", subject(n, p), b) for n, p, b, _ in SUBJECTS]
+    rows += [("consent_placement", n, rule, b) for n, rule, b in CEILINGS] + [("consent_placement", f"{n}_consent", f"is_consent AND {subject(n, p)}", b) for n, p, _, b in SUBJECTS]
+    parts = [f"SELECT item_id, {k} AS k, '{field}' AS field, '{name}' AS trigger, {bound} AS bound, {'significance' if field == 'significance' else 'consent_score'} AS start FROM {source} WHERE {rule}" for k, (field, name, rule, bound) in enumerate(rows)]
+    held = "rows between unbounded preceding and 1 preceding"
+    return f"""rule AS ({' UNION ALL '.join(parts)}), trigger AS (SELECT item_id, k, trigger, field, CAST(pre AS INTEGER) AS pre, bound AS post FROM (
+        SELECT *, CASE field WHEN 'significance' THEN greatest(start, coalesce(max(bound) OVER w, start)) ELSE least(start, coalesce(min(bound) OVER w, start)) END AS pre FROM rule
+        WINDOW w AS (PARTITION BY item_id, field ORDER BY k {held})) WHERE CASE field WHEN 'significance' THEN bound > pre ELSE bound < pre END)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import text as T
 from quorumlake.model import Civic
 from quorumlake.operators.aggregates import GATE_SQL, as_double, count_by, gated
+from quorumlake.operators.rules import score_floors, triggers_sql
 from quorumlake.plans.registry import query
 
 
@@ -179,9 +180,9 @@ def prior_contracts(c: Civic, least: float = 0.6) -> DataFrame:
     a common order, here that of rising frequency, so only these prefixes are exploded and joined; sizes and places in
     the order rule most pairs out, the others are verified in full. Distinct names stand for their items and cities.
     """
-    rows = c.item_context().select("item_id", "city_id", "meeting_date", "action_type", F.lower(F.trim("counterparty")).alias("name"))
-    awards = rows.filter("action_type = 'contract_award'").groupBy("city_id", "name").agg(F.min("meeting_date").alias("first"))
-    amended = rows.filter("action_type = 'contract_amendment'").groupBy("city_id", "name").agg(F.max("meeting_date").alias("latest"))
+    rows = c.item_context().select("item_id", "city_id", "meeting_date", "action_type", "dollars", F.lower(F.trim("counterparty")).alias("name"))
+    awards = rows.filter("action_type = 'contract_award' and dollars > 0 and name <> ''").groupBy("city_id", "name").agg(F.min("meeting_date").alias("first"))
+    amended = rows.filter("action_type = 'contract_amendment' and name <> ''").groupBy("city_id", "name").agg(F.max("meeting_date").alias("latest"))
 
     # each name's trigrams once, the rarest first: a prefix of rare ones meets few others
     names = awards.select("name").union(amended.select("name")).distinct()
@@ -209,8 +210,8 @@ def prior_contracts(c: Civic, least: float = 0.6) -> DataFrame:
 _G = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(trim({0})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-@query("mat_prior_contract", f"""SELECT DISTINCT a.item_id FROM (SELECT item_id, city_id, meeting_date, {_G.format('counterparty')} AS g FROM ctx WHERE action_type = 'contract_amendment') a
-    JOIN (SELECT city_id, min(meeting_date) AS first, {_G.format('counterparty')} AS g FROM ctx WHERE action_type = 'contract_award' GROUP BY city_id, counterparty) b ON a.city_id = b.city_id AND b.first < a.meeting_date
+@query("mat_prior_contract", f"""SELECT DISTINCT a.item_id FROM (SELECT item_id, city_id, meeting_date, {_G.format('counterparty')} AS g FROM ctx WHERE action_type = 'contract_amendment' AND trim(counterparty) <> '') a
+    JOIN (SELECT city_id, min(meeting_date) AS first, {_G.format('counterparty')} AS g FROM ctx WHERE action_type = 'contract_award' AND dollars > 0 AND trim(counterparty) <> '' GROUP BY city_id, counterparty) b ON a.city_id = b.city_id AND b.first < a.meeting_date
     WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.6""")
 def mat_prior_contract(c: Civic) -> DataFrame:
     return prior_contracts(c)
@@ -295,22 +296,33 @@ def cls_llm_only_flag(c: Civic) -> DataFrame:
     return c.badge.select("item_id", "slug", F.when(hit, "flagged").otherwise(F.col("badge_status")).alias("badge_status"))
 
 
-@query("cls_score_floors", """SELECT item_id, greatest(significance, CASE WHEN dollars >= 50000 AND procurement = 'sole_source' THEN 6 ELSE 0 END, CASE WHEN dollars >= 50000 AND action_type = 'settlement' THEN 6 ELSE 0 END, CASE WHEN action_type = 'settlement' THEN 6 ELSE 0 END,
-    CASE WHEN action_type = 'emergency_procurement' THEN 7 ELSE 0 END, CASE WHEN action_type = 'appointment_board' THEN 5 ELSE 0 END) AS significance,
-    least(consent_score, CASE WHEN procurement = 'sole_source' AND is_consent THEN 2 ELSE 99 END, CASE WHEN action_type = 'settlement' AND is_consent THEN 1 ELSE 99 END) AS consent_score FROM item""")
+_FACTS_SQL = f""", facts AS (SELECT *, CAST(consent_score AS INTEGER) AS parcels, significance * 1.5 AS acres, CASE WHEN topic = 'promo' AND priority = 'high' THEN ['public_safety_tech_privacy'] END AS suggested_badges FROM item),
+    {triggers_sql('facts')}"""
+
+
+def scored_items(c: Civic) -> DataFrame:
+    """Items with the facts that scoring asks for, derived from the civic layer, after all rules."""
+    suggested = F.when((F.col("topic") == "promo") & (F.col("priority") == "high"), F.array(F.lit("public_safety_tech_privacy")))
+    facts = {"parcels": F.col("consent_score").cast("int"), "acres": F.col("significance") * 1.5, "suggested_badges": suggested}
+    return score_floors(c.item.withColumns(facts))
+
+
+@query("cls_score_floors", f"""{_FACTS_SQL} SELECT i.item_id, greatest(significance, coalesce(max(post) FILTER (WHERE field = 'significance'), significance)) AS significance,
+    least(consent_score, coalesce(min(post) FILTER (WHERE field = 'consent_placement'), consent_score)) AS consent_score FROM item i LEFT JOIN trigger t ON t.item_id = i.item_id GROUP BY i.item_id, significance, consent_score""")
 def cls_score_floors(c: Civic) -> DataFrame:
     """Floors only raise significance, ceilings only lower consent placement."""
-    from quorumlake.operators.rules import score_floors
-
-    return score_floors(c.item).select("item_id", "significance", "consent_score")
+    return scored_items(c).select("item_id", "significance", "consent_score")
 
 
-@query("cls_score_triggers")
+@query("cls_score_triggers", f"{_FACTS_SQL} SELECT item_id, trigger, field, pre, post FROM trigger")
 def cls_score_triggers(c: Civic) -> DataFrame:
-    """The triggers that changed a score, in order, with the score before and after."""
-    from quorumlake.operators.rules import score_floors
+    """The triggers that changed a score, with the score before and after."""
+    return scored_items(c).select("item_id", F.explode("fired").alias("f")).select("item_id", "f.*")
+
 
-    return score_floors(c.item).select("item_id", F.explode("fired").alias("f")).select("item_id", "f.*")
+@query("agg_unnest_triggers", f"{_FACTS_SQL} SELECT trigger, field, count(*) AS n FROM trigger GROUP BY ALL")
+def agg_unnest_triggers(c: Civic) -> DataFrame:
+    return count_by(scored_items(c).select(F.explode("fired").alias("f")).select("f.trigger", "f.field"), "trigger", "field")
 
 
 @query("cls_badge_decision", "SELECT item_id, CASE WHEN l AND d THEN 1.0 WHEN d THEN 0.8 WHEN l THEN 0.4 END::DOUBLE AS confidence, CASE WHEN l AND d THEN 'both' WHEN d THEN 'deterministic' ELSE 'llm' END AS source FROM (SELECT item_id, item_id % 2 = 0 AS l, dollars >= 50000 AS d FROM item) WHERE l OR d")

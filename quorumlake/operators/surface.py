@@ -263,16 +263,20 @@ def q_ai_panel(c: Civic) -> DataFrame:
     return pending.unionByName(cost).unionByName(runs)
 
 
+#: The number that an event's properties hold: a search's results, a click's place on the page.
+_PROPERTY, _PROPERTY_SQL = "try_cast(get_json_object(props, '$.k') as bigint)", "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
 def _web_report(name: str, kind: str, condition: str, key: str) -> None:
-    @query(name, f"SELECT {key} AS name, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM web WHERE event_type = '{kind}' AND {condition} GROUP BY 1")
+    @query(name, f"SELECT {key} AS name, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM (SELECT *, {_PROPERTY_SQL} AS k FROM web) WHERE event_type = '{kind}' AND {condition} GROUP BY 1")
     def report(c: Civic) -> DataFrame:
-        rows = c.web.filter((F.col("event_type") == kind) & F.expr(condition))
+        rows = c.web.withColumn("k", F.expr(_PROPERTY)).filter((F.col("event_type") == kind) & F.expr(condition))
         return rows.groupBy(F.expr(key).alias("name")).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("session_id").alias("sessions"))
 
 
-_web_report("q_zero_result_searches", "error", "value < 50", "url_path")
+_web_report("q_zero_result_searches", "signup", "k = 0", "url_path")  # signups stand for searches
 _web_report("q_outbound_sources", "click", "referrer IS NOT NULL", "referrer")
-_web_report("q_banner_clicks", "click", "value >= 50", "url_path")
+_web_report("q_banner_clicks", "click", "k >= 90", "url_path")
 
 
 @query("q_meeting_context", """SELECT meeting_id, item_id, CASE WHEN n = 1 THEN 'distinct' ELSE 'routine' END AS role FROM (SELECT meeting_id, item_id, count(*) OVER (PARTITION BY meeting_id, topic, action_type) AS n FROM ctx WHERE significance > 2)""")

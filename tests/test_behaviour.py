@@ -64,3 +64,25 @@ def test_streams_keep_rows_off_the_driver(spark, tmp_path):
     assert rows.inputFiles() and sums.inputFiles()
     assert sorted(r.id for r in rows.collect()) == list(range(100))
     assert sorted(tuple(r) for r in sums.collect()) == [(0, 50), (1, 50)]
+
+
+def test_large_rezonings_and_suggested_badges(spark):
+    rows = [(1, 5, None, None), (2, 4, 9.9, None), (3, None, 10.0, None), (4, None, None, ["public_safety_tech_privacy"]), (5, None, None, ["other"])]
+    schema = "item_id long, parcels int, acres double, suggested_badges array<string>"
+    items = spark.createDataFrame(rows, schema).selectExpr("*", "'t' as title", "null as description", "1.0 as dollars", "'zoning' as action_type", "'bid' as procurement", "true as is_consent", "3 as significance", "8 as consent_score")
+    got = {r.item_id: (r.significance, r.consent_score, [f.trigger for f in r.fired]) for r in score_floors(items).collect()}
+    large, tech = (7, 8, ["zoning_large"]), (7, 2, ["surveillance_alpr_significance", "surveillance_alpr_consent"])
+    assert got == {1: large, 2: (3, 8, []), 3: large, 4: tech, 5: (3, 8, [])}
+
+
+def test_policy_hints(spark):
+    from quorumlake.operators.readers import policy_badges
+
+    hints = {
+        "a": {"excluded_action_types": ["zoning"], "excluded_phrases": ["Mock"], "keywords": ["C++ (new)", "Road", ("label", r"st\w+t")], "action_types": ["award"], "topics": ["parks"]},
+        "b": {"topics": ["parks"]},
+    }
+    rows = [(1, "The road", "a street", "x", "y"), (2, "road", None, "zoning", "y"), (3, "a mock road", None, "x", "y"), (4, "broad", None, "award", "parks"), (5, None, None, None, "parks"), (6, "none", "", "x", None), (7, "road", "", None, None)]
+    items = spark.createDataFrame(rows, "item_id long, title string, description string, action_type string, topic string")
+    got = sorted((r.item_id, r.badge, r.how, r.what) for r in policy_badges(items, hints).collect())
+    assert got == [(1, "a", "keywords", ["Road", "label"]), (4, "a", "action_type", ["award"]), (4, "b", "topic", ["parks"]), (5, "a", "topic", ["parks"]), (5, "b", "topic", ["parks"]), (7, "a", "keywords", ["Road"])]
