@@ -60,48 +60,67 @@ LABELERS = ("shape", "check", "gazetteer", "context", "edge")
 #: What the classifier sees of a span itself; bits that follow the votes.
 FEATURES = ("long", "digits", "mixed")
 ROUNDS = 30
-#: Matches that are placed by one running sum.
-BLOCK = 256
+#: Matches that are gathered in one array before it is laid beside the others; characters before a match that a labeler sees.
+BLOCK, NEAR = 256, 24
 #: Kind, votes and feature bits of a candidate.
 Cell = tuple[str, tuple[int, ...]]
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """array<struct<start, end, match>> of the matches of a kind: places come from the gaps between them."""
-    pattern = PATTERNS[kind]
-    some = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    none = F.expr("cast(array() as array<struct<start: int, end: int, match: string>>)")
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(items: Column, kind: str, start: Column, step) -> Column:
+    """The rows that step makes of items, in order: step(at, item) gives the next state and an array of rows (of type kind). Rows are
+    gathered by blocks of BLOCK, so that long arrays are not copied with every item."""
+
+    def empty(of: str) -> Column:
+        return F.expr(f"cast(array() as {of})")
 
-    def add(held: Column, pair: Column) -> Column:
-        start = held["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        more = F.concat(held["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))))
-        return F.when(pair["match"].isNull(), held).otherwise(F.struct(end.alias("at"), more.alias("found")))
+    def within(held: Column, item: Column) -> Column:
+        at, rows = step(held["at"], item)
+        return F.struct(at.alias("at"), F.concat(held["rows"], rows).alias("rows"))
 
-    def placed(some: Column) -> Column:
-        return F.aggregate(some, F.struct(F.lit(0).alias("at"), none.alias("found")), add)
+    def block(held: Column, k: Column, bound: Column) -> Column:
+        done = F.aggregate(F.slice(bound, k * BLOCK + 1, F.lit(BLOCK)), F.struct(held["at"].alias("at"), empty(f"array<{kind}>").alias("rows")), within)
+        return _let(done, lambda own: F.struct(own["at"].alias("at"), F.concat(held["parts"], F.array(own["rows"])).alias("parts")))
 
-    def in_blocks(all_pairs: Column) -> Column:
-        """Blocks are placed each from 0, then moved by the sums of the blocks before: no sum over all matches at once."""
-        numbers = F.sequence(F.lit(0), F.ceil(F.size(all_pairs) / BLOCK).cast("int") - 1)
-        blocks = F.transform(numbers, lambda k: placed(F.slice(all_pairs, k * BLOCK + 1, F.lit(BLOCK))))
+    def folded(bound: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(bound) / BLOCK).cast("int") - 1)
+        first = F.struct(start.alias("at"), empty(f"array<array<{kind}>>").alias("parts"))
+        rows = F.aggregate(numbers, first, lambda held, k: block(held, k, bound), lambda held: F.flatten(held["parts"]))
+        return F.when(F.size(bound) > 0, rows).otherwise(empty(f"array<{kind}>"))
 
-        def moved(held: Column) -> Column:
-            offsets = F.transform(held, lambda block: block["at"])
-            starts = F.aggregate(offsets, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+    return _let(items, folded)
 
-            def move(block: Column, by: Column) -> Column:
-                return F.transform(block["found"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match")))
 
-            return F.flatten(F.zip_with(held, F.slice(starts, F.lit(1), F.size(held)), move))
+_SPAN = "struct<start: int, end: int, match: string, before: string, after: string>"
+
+
+def _spans(text: Column, kind: str) -> Column:
+    """The matches of a kind with their places and neighbours, all from the gaps between them, so that no text is walked through again
+    for a match: before holds up to NEAR characters (from the match before, at most), after the character that follows."""
+    pattern = PATTERNS[kind]
+    some = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
 
-        return F.element_at(F.transform(F.array(blocks), moved), 1)
+    def with_neighbours(ps: Column) -> Column:
+        def row(p: Column, i: Column) -> Column:
+            last, following = F.get(ps, i - 1), F.get(ps, i + 1)
+            before = F.right(F.concat(F.right(F.coalesce(last["gap"], F.lit("")), F.lit(NEAR)), F.coalesce(last["match"], F.lit("")), p["gap"]), F.lit(NEAR))
+            after = F.left(F.concat(F.left(F.coalesce(following["gap"], F.lit("")), F.lit(1)), F.coalesce(following["match"], F.lit(""))), F.lit(1))
+            return F.struct(F.length(p["gap"]).alias("gap"), p["match"].alias("match"), before.alias("before"), after.alias("after"))
 
-    def found(all_pairs: Column) -> Column:
-        return F.when(F.size(all_pairs) <= BLOCK, placed(all_pairs)["found"]).otherwise(in_blocks(all_pairs))
+        return F.filter(F.transform(ps, row), lambda p: p["match"].isNotNull())
 
-    return F.when(some & text.rlike(pattern), F.element_at(F.transform(F.array(pairs), found), 1)).otherwise(none)
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        end = at + p["gap"] + F.length(p["match"])
+        return end, F.array(F.struct((at + p["gap"]).alias("start"), end.alias("end"), p["match"].alias("match"), p["before"].alias("before"), p["after"].alias("after")))
+
+    found = _let(_let(pairs, with_neighbours), lambda ps: _folded(ps, _SPAN, F.lit(0), step))
+    return F.when(some & text.rlike(pattern), found).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -133,11 +152,10 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(text: Column, kind: str, span: Column) -> Column:
+def _votes(kind: str, span: Column) -> Column:
     """The labelers' votes on a span and its feature bits, 1 or 0 each."""
-    match = span["match"]
-    before = F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24)))
-    around = F.concat(F.substring(text, span["start"], F.when(span["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(1)))
+    match, before = span["match"], span["before"]
+    around = F.concat(F.right(before, F.lit(1)), F.lit(" "), span["after"])
     shape = F.lit(True) if kind in BASE else match.rlike(r"[\"']$") if kind == "secret" else match.rlike(r"^\(|-[0-9]{3}-")
     length = F.length(match) <= 254 if kind == "email" else F.lit(True)
     context = (match if kind == "secret" else before).rlike(CONTEXT[kind])
@@ -153,7 +171,7 @@ def candidates(text: Column) -> Column:
 
     def row_of(order: int, kind: str):
         def row(s: Column) -> Column:
-            return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), _valid(kind, s["match"]).alias("valid"), _votes(text, kind, s).alias("votes"))
+            return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), _valid(kind, s["match"]).alias("valid"), _votes(kind, s).alias("votes"))
 
         return row
 
@@ -214,8 +232,6 @@ def train(docs: DataFrame) -> dict[str, float]:
 
 def accepted(found: Column, weights: dict[str, float]) -> Column:
     """Base spans, and the looser candidates that the classifier accepts and that overlap none, in order."""
-    base = F.filter(found, lambda s: s["valid"] & (s["order"] < len(BASE)))
-
     def score(s: Column) -> Column:
         total = F.lit(weights["bias"])
         for j, name in enumerate(LABELERS + FEATURES):
@@ -224,11 +240,27 @@ def accepted(found: Column, weights: dict[str, float]) -> Column:
             total = total + F.when(s["kind"] == kind, weights[kind]).otherwise(0.0)
         return total
 
-    def with_base(kept: Column) -> Column:
-        more = F.filter(found, lambda s: (s["order"] >= len(BASE)) & (score(s) > 0) & ~F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.concat(kept, more)
+    # sorted by place; of a loose one it is enough to know where the next base span begins and where the kept ones so far end
+    usable = F.filter(found, lambda s: (s["valid"] & (s["order"] < len(BASE))) | ((s["order"] >= len(BASE)) & (score(s) > 0)))
+    placed = F.array_sort(F.transform(usable, lambda s: F.struct(*[s[x].alias(x) for x in ("start", "order", "end", "kind")])))
+    is_base = lambda s: s["order"] < len(BASE)
+
+    def look_ahead(following: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(is_base(s), s["start"]).otherwise(following), F.array(F.struct(s.alias("s"), following.alias("next")))
+
+    def keep(end: Column, x: Column) -> tuple[Column, Column]:
+        s = x["s"]
+        kept = is_base(s) | ((end <= s["start"]) & (x["next"] >= s["end"]))
+        return F.when(kept, F.greatest(end, s["end"])).otherwise(end), F.filter(F.array(s), lambda _: kept)
+
+    row = "struct<start: int, order: int, end: int, kind: string>"
+
+    def sifted(all_spans: Column) -> Column:
+        ahead = _folded(F.reverse(all_spans), f"struct<s: {row}, next: int>", F.lit(2147483647), look_ahead)
+        return _let(F.reverse(ahead), lambda spans: _folded(spans, row, F.lit(0), keep))
 
-    return F.array_sort(F.element_at(F.transform(F.array(base), with_base), 1))
+    loose = lambda spans: F.exists(spans, lambda s: ~is_base(s))
+    return _let(placed, lambda spans: F.when(loose(spans), sifted(spans)).otherwise(spans))
 
 
 def _joined(spans: Column) -> Column:
@@ -246,18 +278,32 @@ def find_personal_data(docs: DataFrame, weights: dict[str, float] | None = None)
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span's characters replaced by its kind in angle brackets; of overlapping spans the first."""
-
-    def cut(held: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        gap = F.substring(text, held["at"] + 1, s["start"] - held["at"])
-        joined = F.struct(s["end"].alias("at"), F.concat(held["out"], gap, mark).alias("out"))
-        inside = F.struct(F.greatest(held["at"], s["end"]).alias("at"), held["out"].alias("out"))
-        return F.when(s["start"] >= held["at"], joined).otherwise(inside)
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, cut, lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with each span's characters replaced by its kind in angle brackets; of overlapping spans the first. Spans go by
+    blocks: a block's own stretch of the text is cut out once, and its spans are cut from that."""
+
+    def of_block(held: Column, own: Column) -> Column:
+        base = held["at"]
+        last = F.greatest(base, F.array_max(F.transform(own, lambda s: s["end"])))
+        stretch = F.substring(text, base + 1, last - base)
+
+        def in_stretch(piece: Column) -> Column:
+            def cut(inner: Column, s: Column) -> Column:
+                gap = F.substring(piece, inner["at"] - base + 1, s["start"] - inner["at"])
+                mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+                joined = F.struct(s["end"].alias("at"), F.concat(inner["out"], gap, mark).alias("out"))
+                return F.when(s["start"] >= inner["at"], joined).otherwise(F.struct(F.greatest(inner["at"], s["end"]).alias("at"), inner["out"].alias("out")))
+
+            return F.aggregate(own, F.struct(base.alias("at"), F.lit("").alias("out")), cut)
+
+        done = _let(stretch, in_stretch)
+        return _let(done, lambda x: F.struct(x["at"].alias("at"), F.concat(held["parts"], F.array(x["out"])).alias("parts")))
+
+    def all_blocks(ps: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(ps) / BLOCK).cast("int") - 1)
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+        return F.aggregate(numbers, start, lambda held, k: of_block(held, F.slice(ps, k * BLOCK + 1, F.lit(BLOCK))), lambda held: F.concat(F.array_join(held["parts"], ""), F.substring(text, held["at"] + 1, F.length(text))))
+
+    return F.when(F.size(spans) > 0, _let(spans, all_blocks)).otherwise(text)
 
 
 def redact(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -296,6 +296,30 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_personal_data(empty, weights).count() == 0
 
 
+def test_looser_spans_overlap_no_other(spark):
+    yes = dict.fromkeys(["bias", *pii.LABELERS, *pii.FEATURES, *pii.KINDS], 1.0)
+    texts = ["secret=555-123-4567", "call 555-123-4567 or a@b.co", "secret=abcdefgh12345678 555-123-4567"]
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), yes).orderBy("doc_id").collect()
+    for r in got:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",")]
+        assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert got[0].spans == "secret:0:19" and got[1].n_email == 1 and got[1].n_extra == 1
+
+
+def test_very_many_spans_of_one_text(spark):
+    import time
+
+    yes = dict.fromkeys(["bias", *pii.LABELERS, *pii.FEATURES, *pii.KINDS], 1.0)
+    text = " ".join(f"u{i}@x.co 555-123-{i % 10000:04d}" for i in range(8000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    got = pii.find_personal_data(frame, yes).first()
+    clean = pii.redact(frame, yes).first().text
+    assert time.time() - begin < 90
+    assert got.n_email == 8000 and got.n_extra == 8000
+    assert clean == " ".join(["<EMAIL> <LOCAL>"] * 8000)
+
+
 def test_language_of_labelled_texts_without_letters(spark):
     rows = [(i, "the quick brown fox and the lazy dog", "en", "q", "r") for i in range(8)] + [(9, "", "fr", "q", "r"), (10, " 12 \n", "de", "q", "r"), (12, "", None, "q", "r")]
     for parts in (1, 11):
