@@ -234,19 +234,20 @@ def test_lines_differ_anywhere(spark):
 
 
 def test_lines_of_a_large_bucket(spark):
-    """Every pair of a bucket in different components meets, in several blocks too; only those of similar sketches are rows."""
+    """Every pair of a bucket in different components meets, in several blocks too; only similar ones are rows."""
     rows = [(b, 1000 * b + i, 1000 * b) for b, n in ((1, 40), (2, 3)) for i in range(n)]
     shared = spark.createDataFrame(rows, "bucket long, h long, _low long")
     labels = spark.createDataFrame([(1000 + i, 1000) for i in range(30)] + [(2000 + i, 2000) for i in range(3)], "node long, component long")
-    sketches = lambda of: spark.createDataFrame([(h, [of(h)] * line_dedup.SIFT_FLOOR + [h] * (line_dedup.SIFT - line_dedup.SIFT_FLOOR)) for _, h, _ in rows], "h long, m array<int>")
+    sets = lambda of: spark.createDataFrame([(h, [100 * of(h) + k for k in range(6)] + [-h]) for _, h, _ in rows], "h long, s array<long>")
     old, line_dedup.BLOCK = line_dedup.BLOCK, 7
     try:
-        every = [(r.a, r.b) for r in line_dedup.open_pairs(shared, labels, sketches(lambda h: 0)).collect()]
-        even = [(r.a, r.b) for r in line_dedup.open_pairs(shared, labels, sketches(lambda h: h % 2)).collect()]
+        every = [(r.a, r.b) for r in line_dedup.open_links(shared, labels, sets(lambda h: 0)).collect()]
+        even = [(r.a, r.b) for r in line_dedup.open_links(shared, labels, sets(lambda h: h % 2)).collect()]
+        none = line_dedup.open_links(shared, labels, sets(lambda h: 0), 76).count()
     finally:
         line_dedup.BLOCK = old
     want = [(1000 + i, 1000 + j) for i in range(40) for j in range(max(i + 1, 30), 40)]
-    assert sorted(every) == want and sorted(even) == [(a, b) for a, b in want if (a - b) % 2 == 0]
+    assert sorted(every) == want and sorted(even) == [(a, b) for a, b in want if (a - b) % 2 == 0] and none == 0
 
 
 def test_many_lines_of_one_text_go(spark):
