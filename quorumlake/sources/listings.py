@@ -149,3 +149,43 @@ def txt_agenda_items(c: Civic) -> DataFrame:
     text = F.concat(head, F.regexp_extract("item_number", "^([0-9]+)", 1), F.lit("."), broken, F.col("topic"), F.lit("  works\nfor "), F.col("counterparty"), said, F.lit("\n"))
     texts = c.item.groupBy("meeting_id").agg(F.concat(F.lit("CITY COUNCIL\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", text.alias("t")))), lambda x: x["t"]), "")).alias("text"))
     return agenda_entries(texts)
+
+
+def archived_meetings(pages: DataFrame) -> DataFrame:
+    """source, external_id, title, meeting_date, agenda and minutes of archive pages(url, html): links to PDF files whose names begin with
+    MMDDYY, grouped by date and by the body that the page's address names. The last link of a kind counts; a name with
+    `special` makes the meeting a special one. Links without a date are left out."""
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0))
+    rows = pages.select("url", F.posexplode(anchors).alias("place", "a"))
+    href = unescaped(attribute(F.regexp_extract("a", r"(?s)^<[^>]*>", 0), "href"))
+    named = rows.select("url", "place", href.alias("href"), F.upper(F.trim(unescaped(F.regexp_replace("a", r"(?s)<[^>]*>", "")))).alias("said")).filter(F.lower("href").contains(".pdf"))
+    name = F.coalesce(F.try_url_decode(F.regexp_extract("href", r"([^/]*)$", 1)), F.regexp_extract("href", r"([^/]*)$", 1))
+    digits = F.regexp_replace(F.regexp_extract("name", r"^(\d{2}\s*\d{2}\s*\d{2})", 1), r"\s", "")
+    date = F.expr("try_to_timestamp(digits, 'MMddyy')").cast("date")
+    body = F.initcap(F.regexp_replace(F.regexp_extract("url", r"([^/?#]*)/?$", 1), "-", " "))
+    dated = named.withColumn("name", name).withColumn("digits", digits).withColumn("date", date).withColumn("body", body).filter("date is not null")
+    day = F.when(F.year("date") > 2068, F.add_months("date", -1200)).otherwise(F.col("date"))
+    last = lambda word: F.max_by(F.when(F.contains("said", F.lit(word)), F.col("href")), F.when(F.contains("said", F.lit(word)), F.col("place")))
+    grouped = dated.groupBy("url", "body", day.alias("meeting_date")).agg(F.bool_or(F.contains(F.lower("name"), F.lit("special"))).alias("special"), last("AGENDA").alias("agenda"), last("INUTE").alias("minutes"))
+    key = F.concat_ws("-", F.date_format("meeting_date", "yyyy-MM-dd"), "body")
+    return grouped.select(F.col("url").alias("source"), key.alias("external_id"), F.when(F.col("special"), F.concat(F.lit("Special Called "), "body")).otherwise(F.col("body")).alias("title"), "meeting_date", "agenda", "minutes")
+
+
+def archive_pages(c: Civic) -> DataFrame:
+    """A page a city, body and year, with links to agendas and to the minutes of adopted meetings."""
+    body = F.regexp_replace(F.lower(F.regexp_replace("title", r" (\(|- ).*$", "")), " ", "-")
+    name = F.concat(F.date_format("meeting_date", "MM'%20'ddyy"), F.when(F.col("title").startswith("Special"), "%20Special").otherwise(""), F.lit("%20"), F.col("meeting_id").cast("string"))
+    agenda = F.concat(F.lit('<li><a class=doc href="/docs/a&amp;b/'), name, F.lit('.PDF"><b>Agenda</b></a>'))
+    minutes = F.when(F.col("adopted_date").isNotNull(), F.concat(F.lit("<A HREF='/docs/"), name, F.lit(".pdf'>Draft minutes </A><a href='/notes.pdf'>notes</a><a href='/x.html'>Agenda</a>"))).otherwise("")
+    rows = c.meeting.join(F.broadcast(c.city.select("city_id", "slug")), "city_id")  # a row a nation
+    rows = rows.select(F.concat(F.lit("https://www."), F.regexp_replace("slug", " ", "-"), F.lit(".example/archive/"), F.year("meeting_date").cast("string"), F.lit("/"), body).alias("url"), F.struct("meeting_id", F.concat(agenda, minutes).alias("html")).alias("r"))
+    return rows.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["html"]), "\n").alias("html"))
+
+
+@query("src_link_archive_rows", """SELECT external_id, title, strftime(meeting_date, '%Y-%m-%d') AS meeting_date, agenda, minutes FROM (
+    SELECT strftime(meeting_date, '%Y-%m-%d') || '-' || body AS external_id, CASE WHEN bool_or(special) THEN 'Special Called ' ELSE '' END || body AS title, meeting_date, arg_max('/docs/a&b/' || name || '.PDF', meeting_id) AS agenda,
+        arg_max('/docs/' || name || '.pdf', meeting_id) FILTER (WHERE adopted_date IS NOT NULL) AS minutes FROM (
+        SELECT *, regexp_replace(title, ' (\\(|- ).*$', '') AS body, starts_with(title, 'Special') AS special, strftime(meeting_date, '%m') || '%20' || strftime(meeting_date, '%d%y') || CASE WHEN title LIKE 'Special%' THEN '%20Special' ELSE '' END || '%20' || meeting_id AS name FROM meeting)
+    GROUP BY city_id, meeting_date, body)""")
+def src_link_archive_rows(c: Civic) -> DataFrame:
+    return archived_meetings(archive_pages(c)).select("external_id", "title", F.date_format("meeting_date", "yyyy-MM-dd").alias("meeting_date"), "agenda", "minutes")

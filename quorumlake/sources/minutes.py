@@ -279,6 +279,12 @@ def vote_kind() -> Column:
     return F.when(is_consent_text(F.concat_ws(" ", "raw_text", "context")), "consent_block").otherwise("substantive")
 
 
+@query("txt_consent_phrase", f"{MINUTES_SQL} SELECT meeting_id, {_PHRASES_SQL.format('text')} AS hit FROM minutes")
+def txt_consent_phrase(c: Civic) -> DataFrame:
+    """Whether the minutes hold a canonical phrase of the consent agenda."""
+    return minutes(c).select("meeting_id", is_consent_text(F.col("text")).alias("hit"))
+
+
 @query("txt_consent_enumeration", f"{MINUTES_SQL} SELECT meeting_id, unnest(regexp_extract_all(text, 'RESOLUTION NO\\. ([A-Z0-9-]+) ([^\\n]+)', 1)) AS number, unnest(regexp_extract_all(text, 'RESOLUTION NO\\. ([A-Z0-9-]+) ([^\\n]+)', 2)) AS description FROM minutes")
 def txt_consent_enumeration(c: Civic) -> DataFrame:
     """Pairs of a resolution's number and text."""

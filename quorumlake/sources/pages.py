@@ -9,11 +9,6 @@ from quorumlake.model import Civic
 from quorumlake.plans.registry import query
 
 
-@query("src_link_archive_rows", "SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM pages")
-def src_link_archive_rows(c: Civic) -> DataFrame:
-    return c.table("pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#:]+)", 1).alias("host"), F.nullif(F.regexp_extract("url", r"/(\d+)", 1), F.lit("")).alias("number"))
-
-
 @query("src_json_events", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.start') AS BIGINT), TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events")
 def src_json_events(c: Civic) -> DataFrame:
     """A value under the first of several keys that holds one."""
@@ -21,12 +16,6 @@ def src_json_events(c: Civic) -> DataFrame:
     return c.table("events").select("event_id", F.coalesce(parsed["start"], parsed["k"]).alias("k"))
 
 
-@query("txt_consent_phrase", "SELECT doc_id, contains(lower(text), 'all rights reserved') OR contains(lower(text), 'released under') AS hit FROM documents")
-def txt_consent_phrase(c: Civic) -> DataFrame:
-    phrases = F.array(F.lit("all rights reserved"), F.lit("released under"))
-    return c.table("documents").select("doc_id", F.exists(phrases, lambda p: F.contains(F.lower("text"), p)).alias("hit"))
-
-
 @query("sink_feed_rows", "SELECT sha256('item|' || item_id) AS guid, title, CAST(meeting_date AS VARCHAR) AS published FROM ctx WHERE title ILIKE '%ring%'")
 def sink_feed_rows(c: Civic) -> DataFrame:
     """Feed rows with a stable id."""
