@@ -109,17 +109,6 @@ def mrg_backfill_links(c: Civic) -> DataFrame:
     return legacy.join(linked, "vote_id", "left_anti").select("vote_id", "item_id", F.lit(0.5).alias("confidence"))
 
 
-@query("mrg_manual_badges", """SELECT item_id, 'high_dollar' AS badge, CASE WHEN add AND NOT has THEN 'added' WHEN NOT add AND has THEN 'removed' ELSE 'no_change' END AS outcome
-    FROM (SELECT i.item_id, i.item_id % 2 = 0 AS add, b.item_id IS NOT NULL AS has FROM item i LEFT JOIN (SELECT item_id FROM badge WHERE slug = 'high_dollar') b ON b.item_id = i.item_id WHERE i.item_id % 3 = 0)""")
-def mrg_manual_badges(c: Civic) -> DataFrame:
-    """Manual additions and removals; only real changes would leave an audit row."""
-    actions = c.item.filter("item_id % 3 = 0").select("item_id", (F.col("item_id") % 2 == 0).alias("add"))
-    held = c.badge.filter("slug = 'high_dollar'").select("item_id", F.lit(True).alias("has"))
-    has = F.coalesce("has", F.lit(False))
-    outcome = F.when(F.col("add") & ~has, "added").when(~F.col("add") & has, "removed").otherwise("no_change")
-    return actions.join(held, "item_id", "left").select("item_id", F.lit("high_dollar").alias("badge"), outcome.alias("outcome"))
-
-
 @query("sink_audit_append", f"SELECT item_id, 'queue' AS actor, action FROM ({_ACTIONS_SQL}) UNION ALL SELECT item_id, 'review', slug FROM badge WHERE badge_status = 'flagged'")
 def sink_audit_append(c: Civic) -> DataFrame:
     """Audit rows of two change sets, appended one after the other to a table in the shared folder and read back."""

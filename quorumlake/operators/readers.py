@@ -197,17 +197,6 @@ def mrg_badges_refresh(c: Civic) -> DataFrame:
     return kept.unionByName(new.join(kept, ["item_id", "badge"], "left_anti"))
 
 
-@query("mrg_badge_review", "SELECT item_id, slug AS badge, CASE WHEN badge_status = 'flagged' THEN CASE WHEN item_id % 2 = 0 THEN 'applied' ELSE 'rejected' END ELSE 'already_triaged' END AS outcome FROM badge")
-def mrg_badge_review(c: Civic) -> DataFrame:
-    decided = F.when(F.col("item_id") % 2 == 0, "applied").otherwise("rejected")
-    return c.badge.select("item_id", F.col("slug").alias("badge"), F.when(F.col("badge_status") == "flagged", decided).otherwise("already_triaged").alias("outcome"))
-
-
-@query("mrg_votes", "SELECT vote_id FROM vote v WHERE NOT EXISTS (SELECT 1 FROM meeting m WHERE m.meeting_id = v.meeting_id AND m.is_hidden)")
-def mrg_votes(c: Civic) -> DataFrame:
-    return c.vote.join(c.meeting.filter("is_hidden").select("meeting_id"), "meeting_id", "left_anti").select("vote_id")
-
-
 @query("mrg_ocr_votes_idempotent", "SELECT DISTINCT meeting_id, video_sec FROM item")
 def mrg_ocr_votes_idempotent(c: Civic) -> DataFrame:
     return c.item.select("meeting_id", "video_sec").dropDuplicates(["meeting_id", "video_sec"])

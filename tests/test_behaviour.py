@@ -86,3 +86,26 @@ def test_policy_hints(spark):
     items = spark.createDataFrame(rows, "item_id long, title string, description string, action_type string, topic string")
     got = sorted((r.item_id, r.badge, r.how, r.what) for r in policy_badges(items, hints).collect())
     assert got == [(1, "a", "keywords", ["Road", "label"]), (4, "a", "action_type", ["award"]), (4, "b", "topic", ["parks"]), (5, "a", "topic", ["parks"]), (5, "b", "topic", ["parks"]), (7, "a", "keywords", ["Road"])]
+
+
+def test_manual_badges_and_reviews(spark):
+    from quorumlake.operators import badge_actions as B
+
+    badges = spark.createDataFrame([(1, "a", "llm", "flagged", Decimal("0.50")), (2, "a", "llm", "applied", Decimal("0.60"))], "item_id long, badge string, source string, status string, confidence decimal(3,2)")
+    actions = spark.createDataFrame([(1, "a", True, "x"), (2, "a", False, "x"), (3, "a", True, "x"), (3, "zzz", True, "x"), (4, "a", False, "x")], "item_id long, badge string, add boolean, actor string")
+    after, audit = B.manual_badges(badges, actions, ["a"])
+    assert sorted((r.item_id, r.source, str(r.confidence)) for r in after.collect()) == [(1, "llm", "0.50"), (3, "manual", "0.95")]
+    assert sorted((r.item_id, r.action) for r in audit.collect()) == [(2, "removed"), (3, "added")]
+    again, none = B.manual_badges(after, actions, ["a"])
+    assert none.count() == 0 and sorted(again.collect()) == sorted(after.collect())
+    decisions = spark.createDataFrame([(1, "a", "rejected"), (2, "a", "rejected"), (9, "a", "applied")], "item_id long, badge string, decision string")
+    got = sorted((r.item_id, r.outcome, r.status) for r in B.review(badges, decisions).collect())
+    assert got == [(1, "ok", "rejected"), (2, "already_triaged", "applied"), (9, "missing", None)]
+
+
+def test_votes_of_a_meeting_come_once(spark):
+    from quorumlake.operators.badge_actions import new_votes
+
+    votes = spark.createDataFrame([(1, 0, ["A"], ["B"], []), (2, 0, ["C"], [], ["D"])], "meeting_id long, block int, ayes array<string>, nays array<string>, abstentions array<string>")
+    scanned = spark.createDataFrame([(1,), (1,)], "meeting_id long")
+    assert sorted(map(tuple, new_votes(votes, scanned).collect())) == [(2, 0, "C", "yea"), (2, 0, "D", "abstain")]
