@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import language_id, line_dedup, near_dedup, packing, pii
-from quorumlake.llm.common import cut_lineage, unused
+from quorumlake.llm.common import cut_lineage, shared_folder, unused
 
 #: No SQL form: tokenizers, signatures and trained models.
 ORACLE_SQL = None
@@ -64,10 +64,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; results between stages lie in the shared checkpoint folder, or the warehouse."""
+    """All stages over documents; results between stages lie in the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{folder.rstrip('/')}/corpus_pipeline/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
