@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.functions.text import once
 from quorumlake.model import AS_OF, Civic
 from quorumlake.plans.registry import query
 from quorumlake.sources.minutes import placed
@@ -15,7 +16,6 @@ MARKER = r"(?i)((?:CONSENT(?:\([a-z]+\))?\s+)?)ITEM\s+(\d+)\."
 PAGE_HEAD = r"(?m)^[ \t]*Agenda\s*[–—\-]\s*\w+\s+\d+,\s*\d{4}\s+\d+[ \t]*$"
 TITLE_END = r"(?i)\s*\((?:Submitted|Recommended)\s+by\b"
 SPONSOR = r"(?i)\(Submitted\s+by\s+([^)]+?)\)"
-_ROW = "struct<table: string, kind: string, cells: array<string>, links: array<string>>"
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -24,55 +24,48 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(quoted), F.regexp_extract(tag, quoted, 1)).when(tag.rlike(bare), F.regexp_extract(tag, bare, 1))
 
 
-def table_rows(html: Column) -> Column:
-    """array<struct<table, kind, cells, links>>: the rows of a page's tables in order, with their table's id, their class, the text of
-    each cell and the targets of their links. Tags may be of either case; a row or cell that is not closed ends where the next one
-    begins; what is in no row is left out."""
+def _parts(tokens: Column, names: str) -> Column:
+    """tokens cut before each tag, open or closing, of these names; what stands before the first is left out."""
+    marks = F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike(rf"(?i)^</?\s*(?:{names})(?![A-Za-z0-9])"), i)), lambda i: i.isNotNull())
+
+    def cut(held: Column) -> Column:
+        ends = F.concat(F.slice(held["marks"], F.lit(2), F.size(held["marks"])), F.array(F.size(held["tokens"])))
+        return F.transform(F.arrays_zip(held["marks"].alias("first"), ends.alias("stop")), lambda x: F.slice(held["tokens"], x["first"] + 1, x["stop"] - x["first"]))
+
+    return once(F.struct(tokens.alias("tokens"), marks.alias("marks")), cut)
+
+
+def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """table, kind, cells, links: the rows of the tables on pages, with their table's id, their class, the text of each
+    cell and the targets of their links. Tags may be of either case; a row or cell that is not closed ends where the next one
+    begins; what is in no row is left out. Pages are cut into tables, these into rows and these into cells, so that a page of many
+    rows is no list that grows with every tag."""
     tokens = F.filter(F.regexp_extract_all(html, F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), F.lit(0)), lambda t: ~t.startswith("<!--"))
-    none = "cast(null as string)"
-    state = F.expr(f"struct({none} as table, cast(null as {_ROW}) as row, {none} as cell, cast(array() as array<{_ROW}>) as rows)")
-    make = lambda table, row, cell, rows: F.struct(table.alias("table"), row.alias("row"), cell.alias("cell"), rows.alias("rows"))
-    nothing = F.lit(None).cast("string")
-
-    def row_of(table: Column, kind: Column, cells: Column, links: Column) -> Column:
-        return F.struct(table.alias("table"), kind.alias("kind"), cells.alias("cells"), links.alias("links"))
-
-    def with_cell(s: Column) -> Column:
-        """The row with the open cell added."""
-        text = F.trim(unescaped(F.regexp_replace(s["cell"], r"\s+", " ")))
-        return F.when(s["row"].isNotNull(), row_of(s["row"]["table"], s["row"]["kind"], F.when(s["cell"].isNull(), s["row"]["cells"]).otherwise(F.concat(s["row"]["cells"], F.array(text))), s["row"]["links"]))
-
-    def closed(s: Column) -> Column:
-        """The rows with the open row added."""
-        row = with_cell(s)
-        return F.when(F.coalesce(F.size(row["cells"]) > 0, F.lit(False)), F.concat(s["rows"], F.array(row))).otherwise(s["rows"])
-
-    def step(s: Column, t: Column) -> Column:
-        name = F.lower(F.regexp_extract(t, r"^</?\s*([A-Za-z0-9]+)", 1))
-        end, no_row = t.startswith("</"), F.lit(None).cast(_ROW)
-        linked = F.when(s["row"].isNotNull(), row_of(s["row"]["table"], s["row"]["kind"], s["row"]["cells"], F.concat(s["row"]["links"], F.array(unescaped(attribute(t, "href"))))))
-        return (
-            F.when(~t.startswith("<"), make(s["table"], s["row"], F.concat(s["cell"], t), s["rows"]))
-            .when(name == "table", make(F.when(~end, F.coalesce(attribute(t, "id"), F.lit(""))), no_row, nothing, closed(s)))
-            .when(name == "tr", make(s["table"], F.when(~end & s["table"].isNotNull(), row_of(s["table"], attribute(t, "class"), F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<string>)"))), nothing, closed(s)))
-            .when(name.isin("td", "th"), make(s["table"], with_cell(s), F.when(~end & s["row"].isNotNull(), F.lit("")), s["rows"]))
-            .when((name == "a") & ~end & attribute(t, "href").isNotNull(), make(s["table"], linked, s["cell"], s["rows"]))
-            .otherwise(s)
-        )
-
-    return F.aggregate(F.coalesce(tokens, F.array()), state, step, closed)
+    opened = lambda part: ~F.get(part, F.lit(0)).startswith("</")
+    tables = pages.select(tokens.alias("t")).select(F.explode(_parts(F.col("t"), "table")).alias("t")).filter(opened("t"))
+    own = F.coalesce(attribute(F.get("t", F.lit(0)), "id"), F.lit(""))
+    rows = tables.select(own.alias("table"), F.explode(_parts(F.col("t"), "tr")).alias("r")).filter(opened("r"))
+
+    def text(cell: Column) -> Column:
+        said = F.array_join(F.filter(F.slice(cell, F.lit(2), F.size(cell)), lambda t: ~t.startswith("<")), "")
+        return F.trim(unescaped(F.regexp_replace(said, r"\s+", " ")))
+
+    cells = F.transform(F.filter(_parts(F.col("r"), "td|th"), opened), text)
+    anchors = F.filter("r", lambda t: t.rlike(r"(?i)^<\s*a(?![A-Za-z0-9])"))
+    links = F.filter(F.transform(anchors, lambda t: unescaped(attribute(t, "href"))), lambda x: x.isNotNull())
+    return rows.select("table", attribute(F.get("r", F.lit(0)), "class").alias("kind"), cells.alias("cells"), links.alias("links")).filter(F.size("cells") > 0)
 
 
 def listed_meetings(pages: DataFrame) -> DataFrame:
     """source, external_id, title, meeting_date and link of the meetings on listing pages(html): the union of the table of what
     is to come, keyed by event, and that of what was recorded (else a page's last table), keyed by clip. Rows that are neither even
     nor odd, or lack a key or a date, are left out."""
-    rows = pages.select(F.explode(table_rows(F.col("html"))).alias("r")).filter("r.kind in ('even', 'odd')")
+    rows = table_rows(pages).select(F.struct("*").alias("r")).filter("r.kind in ('even', 'odd')")
     link = F.get(F.filter("r.links", lambda x: x.rlike("(event|clip)_id=")), F.lit(0))
     event, clip = (F.nullif(F.regexp_extract(link, rf"{k}_id=(\d+)", 1), F.lit("")) for k in ("event", "clip"))
     source = F.when(F.col("r.table") == "upcoming", "upcoming").otherwise("archive")
     key = F.when(F.col("r.table") == "upcoming", F.concat(F.lit("event-"), event)).otherwise(clip)
-    date = F.coalesce(*[F.expr(f"try_to_timestamp(r.cells[1], '{f}')").cast("date") for f in ("MMMM d, yyyy", "MM/dd/yy")])
+    date = F.coalesce(*[F.expr(f"try_to_timestamp(get(r.cells, 1), '{f}')").cast("date") for f in ("MMMM d, yyyy", "MM/dd/yy")])
     date = F.when(F.year(date) > 2068, F.add_months(date, -1200)).otherwise(date)  # years of two digits from 69 on are of the last century
     return rows.select(source.alias("source"), key.alias("external_id"), F.get("r.cells", F.lit(0)).alias("title"), date.alias("meeting_date"), link.alias("link")).filter("external_id is not null and meeting_date is not null")
 

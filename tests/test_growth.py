@@ -25,3 +25,12 @@ def test_texts_are_joined_once_an_item(spark):
     asked = frame.select(T.topics(F.col("title"), F.col("description")).alias("all"), T.topic(F.col("title"), F.col("description")).alias("one"), T.priority(F.col("title")).alias("p"))
     assert [tuple(r) for r in asked.collect()] == [(["zoning", "public_safety", "parks_culture"], "zoning", "normal"), ([], None, "normal"), ([], None, "normal")]
     assert plan(asked).count("lower(title") <= 1 and plan(asked).count("lower(coalesce(title") == 2
+def test_listing_rows_are_no_growing_list(spark):
+    row = '<tr class=odd><td>M{0}<TD>05/07/24<td><a href="V?clip_id={0}&amp;x">A</a>'
+    html = "<tr class=even><td>out</tr><table id='archive'><thead><tr class=header><th>x</th></tr>" + "".join(row.format(i) for i in range(3000)) + "<table><td>no</td></table><tr class=odd><td>out</td></tr>"
+    pages = spark.createDataFrame([(html,), (None,), ("",), ("<table id=a><tr class=even><td> a <b>b</b></td>no<th>c&lt;</table>",)], "html string")
+    rows = listings.table_rows(pages)
+    got = rows.collect()
+    assert [tuple(r) for r in got[:2]] == [("archive", "header", ["x"], []), ("archive", "odd", ["M0", "05/07/24", "A"], ["V?clip_id=0&x"])]
+    assert len(got) == 3002 and tuple(got[-1]) == ("a", "even", ["a b", "c<"], [])
+    assert " aggregate(" not in plan(rows)
