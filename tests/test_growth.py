@@ -34,3 +34,12 @@ def test_listing_rows_are_no_growing_list(spark):
     assert [tuple(r) for r in got[:2]] == [("archive", "header", ["x"], []), ("archive", "odd", ["M0", "05/07/24", "A"], ["V?clip_id=0&x"])]
     assert len(got) == 3002 and tuple(got[-1]) == ("a", "even", ["a b", "c<"], [])
     assert " aggregate(" not in plan(rows)
+
+
+def test_roster_pairs_no_meeting_with_members(spark):
+    d = lambda n: datetime.date(2024, 1, n)
+    meetings = spark.createDataFrame([(1, d(1)), (1, d(5)), (1, d(5)), (1, d(9)), (2, d(5)), (None, d(5))], "city_id long, meeting_date date")
+    members = spark.createDataFrame([(1, d(5), d(9)), (1, d(2), None), (1, d(6), d(6)), (1, d(8), d(3)), (1, None, d(9)), (1, None, None), (None, d(1), None)], "city_id long, term_start date, term_end date")
+    got = {(r.city_id, r.meeting_date): r.members or 0 for r in roster(meetings, members).collect()}
+    assert got == {(1, d(1)): 0, (1, d(5)): 2, (1, d(9)): 1, (2, d(5)): 0, (None, d(5)): 0}
+    assert "Join" not in plan(roster(meetings, members))
