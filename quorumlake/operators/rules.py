@@ -56,12 +56,13 @@ def score_floors(items: DataFrame) -> DataFrame:
     known = items.withColumns({name: F.lit(None).cast(kind) for name, kind in FACTS.items() if name not in items.columns})
     text = F.concat_ws(" ", "title", "description")
 
-    def subject(name: str, pattern: str) -> Column:
+    def found(name: str, pattern: str) -> Column:
         held = text.rlike(pattern)
         return held | F.coalesce(F.array_contains("suggested_badges", SUGGESTED[name]), F.lit(False)) if name in SUGGESTED else held
 
-    floors = [(n, F.expr(rule), b) for n, rule, b in FLOORS] + [(f"{n}_significance", subject(n, p), b) for n, p, b, _ in SUBJECTS]
-    ceilings = [(n, F.expr(rule), b) for n, rule, b in CEILINGS] + [(f"{n}_consent", F.col("is_consent") & subject(n, p), b) for n, p, _, b in SUBJECTS]
+    known = known.withColumns({f"_{n}": found(n, p) for n, p, _, _ in SUBJECTS})  # both scores ask for them
+    floors = [(n, F.expr(rule), b) for n, rule, b in FLOORS] + [(f"{n}_significance", F.col(f"_{n}"), b) for n, _, b, _ in SUBJECTS]
+    ceilings = [(n, F.expr(rule), b) for n, rule, b in CEILINGS] + [(f"{n}_consent", F.col("is_consent") & F.col(f"_{n}"), b) for n, _, _, b in SUBJECTS]
     done = known.withColumn("_s", _audited(F.col("significance"), "significance", floors, True)).withColumn("_c", _audited(F.col("consent_score"), "consent_placement", ceilings, False))
     scored = done.withColumns({"significance": F.col("_s.score"), "consent_score": F.col("_c.score"), "fired": F.concat("_s.fired", "_c.fired")})
     return scored.select(*items.columns, "fired")

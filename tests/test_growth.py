@@ -43,3 +43,9 @@ def test_roster_pairs_no_meeting_with_members(spark):
     got = {(r.city_id, r.meeting_date): r.members or 0 for r in roster(meetings, members).collect()}
     assert got == {(1, d(1)): 0, (1, d(5)): 2, (1, d(9)): 1, (2, d(5)): 0, (None, d(5)): 0}
     assert "Join" not in plan(roster(meetings, members))
+
+
+def test_rules_run_once_an_item(spark):
+    for name in ("agg_unnest_triggers", "cls_score_triggers"):
+        text = plan(civic(spark, name))
+        assert text.count("citizen") == 1 and text.count("red_plus_10m") == 1
