@@ -104,7 +104,7 @@ def sort_badges(c: Civic) -> DataFrame:
 def q_apply_gate(c: Civic) -> DataFrame:
     """Badges on items at or above their city's threshold; a score that is null counts as 0."""
     config = F.broadcast(badge_config(c).select("city_id", F.col("badge").alias("slug"), "threshold"))  # bounded: cities x templates
-    rows = c.badge.join(c.item.select("item_id", "significance"), "item_id").join(config, ["city_id", "slug"])
+    rows = c.badge_rows.select("item_id", "city_id", "slug", "significance").join(config, ["city_id", "slug"])
     return rows.filter(F.coalesce("significance", F.lit(0)) >= F.coalesce("threshold", F.lit(0))).select("item_id", F.col("slug").alias("badge"))
 
 

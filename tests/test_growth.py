@@ -49,3 +49,8 @@ def test_rules_run_once_an_item(spark):
     for name in ("agg_unnest_triggers", "cls_score_triggers"):
         text = plan(civic(spark, name))
         assert text.count("citizen") == 1 and text.count("red_plus_10m") == 1
+
+
+def test_gate_reads_items_once(spark):
+    assert plan(civic(spark, "q_apply_gate")).count("procurement") > 0 and plan(civic(spark, "q_apply_gate")).count("Join Inner") <= 5
+    assert plan(civic(spark, "q_apply_gate")).count("Relation [item_id") <= 1
