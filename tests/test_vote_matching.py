@@ -126,3 +126,22 @@ def test_enumerated_items(spark):
     rows = [(1, "a", "Grant", "Grant 77-1", True), (2, "b", "Paving harbor streets", "", True), (3, "c", "Paving harbor streets soon", "", False), (4, "d", "two words", "", True)]
     items = spark.createDataFrame([(i, 1, n, t, h, c) for i, n, t, h, c in rows], "item_id long, meeting_id long, item_number string, title string, hay string, is_consent boolean")
     assert sorted(r.item_id for r in V.enumerated_items(texts, items).collect()) == [1, 2]
+
+
+def test_matching_shuffles_no_text_twice(spark):
+    """Numbers meet their meeting's items as one row: neither words nor texts are copied, and no tier is joined with hits."""
+    votes = spark.createDataFrame([(1, 0, "12-5", "x", "", ["Reed"], "substantive"), (1, 1, "-7", "Item 3", "", ["Reed"], "substantive"), (1, 2, "A-12", "y", "", ["Reed"], "substantive")], "meeting_id long, block int, resolution string, raw_text string, context string, surnames array<string>, kind string")
+    items = spark.createDataFrame([(1, 10, "3", "t", "No. 12-5 and 112-5"), (1, 11, "4", "t", "No. 112-5 or 12-55"), (1, 12, "5", "t", "A-12, b-7")], "meeting_id long, item_id long, item_number string, title string, hay string")
+    assert sorted((r.block, r.item_id) for r in V.by_resolution(votes, items).collect()) == [(0, 10), (1, 12), (2, 12)]
+    plan = V.by_resolution(votes, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\w+" not in plan and plan.count("Join") == 1
+    whole = V.cascade(votes, items)
+    assert sorted((r.block, r.item_id, r.method) for r in whole.collect()) == [(0, 10, "resolution_number"), (1, 12, "resolution_number"), (2, 12, "resolution_number")]
+    assert "LeftAnti" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parsed_votes_need_no_join(spark):
+    texts = spark.createDataFrame([(1, ["Alba"], CONSENT)], "meeting_id long, surnames array<string>, text string")
+    rows = M.vote_blocks(texts, "surnames")
+    assert [r.surnames for r in rows.collect()] == [["Alba"]]
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
