@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quorumlake.functions import text as T
+from quorumlake.operators import text_index
 from quorumlake.operators.readers import roster
 from quorumlake.sources import listings
 
@@ -54,3 +55,11 @@ def test_rules_run_once_an_item(spark):
 def test_gate_reads_items_once(spark):
     assert plan(civic(spark, "q_apply_gate")).count("procurement") > 0 and plan(civic(spark, "q_apply_gate")).count("Join Inner") <= 5
     assert plan(civic(spark, "q_apply_gate")).count("Relation [item_id") <= 1
+
+
+def test_postings_shuffle_nothing(spark):
+    docs = spark.createDataFrame([(1, "b a b", "a c"), (2, None, "b"), (3, "", None)], "id long, t string, d string")
+    rows = text_index.postings(docs, "id", {"t": 1.0, "d": 0.4})
+    far = text_index.FIELD
+    assert sorted((r.id, r.term, r.tf, r.places) for r in rows.collect()) == [(1, "a", 1.4, [1, far]), (1, "b", 2.0, [0, 2]), (1, "c", 0.4, [far + 1]), (2, "b", 0.4, [far])]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
