@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quorumlake.functions import text as T
-from quorumlake.operators import text_index
+from quorumlake.operators import text_index, vote_matching
 from quorumlake.operators.readers import roster
-from quorumlake.sources import listings
+from quorumlake.sources import listings, minutes
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +63,28 @@ def test_postings_shuffle_nothing(spark):
     far = text_index.FIELD
     assert sorted((r.id, r.term, r.tf, r.places) for r in rows.collect()) == [(1, "a", 1.4, [1, far]), (1, "b", 2.0, [0, 2]), (1, "c", 0.4, [far + 1]), (2, "b", 0.4, [far])]
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_consent_votes_are_not_shuffled(spark):
+    votes = [(1, 0, "consent_block", "Item  no. 3A, item 12\nitem\titem 7", "paving streets downtown"), (1, 1, "consent_block", " ", ""), (2, 0, "consent_block", "items 3, item 33. no item", None), (3, 0, "substantive", "item 3", "")]
+    items = [(10, 1, "3a", "x"), (11, 1, "1", "x"), (12, 1, "12", "x"), (13, 1, "7", "x"), (14, 1, "", "Downtown paving"), (15, 1, None, "Downtown"), (20, 2, "3", "x"), (21, 2, "33.", "x"), (22, 2, "33", "x"), (30, 3, "3", "x")]
+    v = spark.createDataFrame(votes, "meeting_id long, block int, kind string, raw_text string, context string")
+    i = spark.createDataFrame([(*r, True) for r in items] + [(40, 1, "12", "x", False)], "item_id long, meeting_id long, item_number string, title string, is_consent boolean")
+    links = vote_matching.consent_links(v, i)
+    assert {r.item_id: r.association == "consent_named" for r in links.collect()} == {10: True, 11: False, 12: True, 13: True, 14: True, 15: False, 20: False, 21: False, 22: True}
+    assert "RLIKE(said" not in plan(links)
+
+
+def test_item_numbers_are_found_once_a_vote(spark):
+    votes = spark.createDataFrame([(1, 0, "Item No. 4, #5", ""), (1, 1, "of #5", None), (1, 2, "", "ITEM 4"), (1, 3, None, None)], "meeting_id long, block int, raw_text string, context string")
+    items = spark.createDataFrame([(9, 1, "4"), (8, 1, "4"), (7, 1, "5"), (6, 2, "4")], "item_id long, meeting_id long, item_number string")
+    hits = vote_matching.by_item_number(votes, items)
+    assert {(r.block, r.item_id) for r in hits.collect()} == {(0, 8), (1, 7), (2, 8)}
+    assert plan(hits).count("Item|ITEM") == 1
+
+
+def test_matches_are_placed_in_one_reading(spark):
+    frame = spark.createDataFrame([("ab1 b1 cb1b22",), ("",), (None,)], "text string")
+    placed = frame.select(minutes.placed(F.col("text"), r"(?i)(B)(\d)", 2).alias("m"))
+    assert [[tuple(m) for m in r.m or []] for r in placed.collect()] == [[(1, 3, "b", "1"), (4, 6, "b", "1"), (8, 10, "b", "1"), (10, 12, "b", "2")], [], []]
+    assert "split(" not in plan(placed)
