@@ -121,9 +121,13 @@ def agenda_entries(texts: DataFrame) -> DataFrame:
     """meeting_id, place, item_number, title, body, sponsor and is_consent of the items of texts(meeting_id, text): a marker to the
     next one, without page heads, white space squeezed; the title ends where it is said who submitted or recommended it."""
     marks = placed(F.col("text"), MARKER, 2)
-    ends = F.concat(F.transform(F.slice(F.col("m"), 2, F.size("m")), lambda x: x["begin"]), F.array(F.length("text")))
-    cut = texts.select("meeting_id", "text", marks.alias("m")).filter(F.size("m") > 0)
-    rows = cut.select("meeting_id", "text", F.posexplode(F.arrays_zip("m", ends.alias("stop"))).alias("place", "x"))
+
+    def cut(m: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(m, F.lit(2), F.size(m)), lambda x: x["begin"]), F.array(F.length("text")))
+        return F.arrays_zip(m.alias("m"), F.slice(ends, F.lit(1), F.size(m)).alias("stop"))
+
+    # no test stands between the marks and their rows: it would be made on marks found once more
+    rows = texts.select("meeting_id", "text", F.posexplode(once(marks, cut)).alias("place", "x"))
     raw = F.expr("substring(text, x.m.end + 1, x.stop - x.m.end)")
     body = F.trim(F.regexp_replace(F.regexp_replace(raw, PAGE_HEAD, ""), r"\s+", " "))
     done = rows.select("meeting_id", F.col("place").cast("long").alias("place"), F.col("x.m.g2").alias("item_number"), body.alias("body"), F.contains(F.lower("x.m.g1"), F.lit("consent")).alias("is_consent"))

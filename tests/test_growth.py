@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quorumlake.functions import text as T
 from quorumlake.operators import text_index, vote_matching
-from quorumlake.operators.readers import roster
+from quorumlake.operators.readers import related, roster
 from quorumlake.sources import listings, minutes
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +88,22 @@ def test_matches_are_placed_in_one_reading(spark):
     placed = frame.select(minutes.placed(F.col("text"), r"(?i)(B)(\d)", 2).alias("m"))
     assert [[tuple(m) for m in r.m or []] for r in placed.collect()] == [[(1, 3, "b", "1"), (4, 6, "b", "1"), (8, 10, "b", "1"), (10, 12, "b", "2")], [], []]
     assert "split(" not in plan(placed)
+
+
+def test_agenda_marks_are_found_once(spark):
+    texts = spark.createDataFrame([(1, "x ITEM 1. a CONSENT ITEM 2. b (Submitted by C D) ITEM 3."), (2, "none"), (3, None)], "meeting_id long, text string")
+    rows = listings.agenda_entries(texts)
+    assert [(r.place, r.item_number, r.title, r.sponsor, r.is_consent) for r in rows.orderBy("place").collect()] == [(0, "1", "a", None, False), (1, "2", "b", "C D", True), (2, "3", "", None, False)]
+    assert plan(rows).count("regexp_extract_all(") == 1
+
+
+def test_related_ranks_only_high_meetings(spark):
+    rows = [(i, i // 2 % 40, "few" if i % 9 == 0 else "a" if i % 3 else "b", i * 7919 % 23 or None) for i in range(400)] + [(900, 1, "one", 5), (901, 1, "one", 6), (902, 2, None, 9)]
+    items = spark.createDataFrame(rows, "item_id long, meeting_id long, topic string, dollars long")
+    want = set()
+    for i, m, t, _ in rows:
+        others = sorted((r for r in rows if t is not None and r[2] == t and r[1] != m), key=lambda r: (-(r[3] or -1), r[0]))
+        want |= {(i, r[0]) for r in others[:3]}
+    frame = related(items, "topic")
+    assert {tuple(r) for r in frame.collect()} == want
+    assert "_floor" in plan(frame) and "strategy=broadcast" in plan(frame)
