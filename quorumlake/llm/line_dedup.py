@@ -7,8 +7,8 @@ class from the first step on, so a line that a third of all documents hold is su
 minima over exploded shingles, in compiled code; BANDS bands of ROWS_A_BAND values give candidate pairs: in each bucket
 a line is first paired with the bucket's first line and its predecessor. Jaccard similarity is verified
 exactly on the full sets, then a distributed union-find joins the links. Then all other pairs of a bucket that lie in
-different components meet too, in tiles of two blocks, where their sketches are compared (sets of long lines are too large to
-travel with every row); those that pass are verified, so that
+different components meet too, in tiles of two blocks, where first their sketches and then the hashes of their sets are compared
+(a set of more than SET_LIMIT shingles doesn't travel with every row); those that pass are verified, so that
 no pair of a shared bucket that could still join two components is left untested. Of each component the first line (smallest
 doc_id, then place) stays; all other occurrences go. Lines without a word stay as they are.
 
@@ -19,6 +19,8 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,10 @@ BROADCAST_BYTES = 8 << 20
 #: Minima of the sketches by which candidates are sifted before their lines are fetched, and how many must agree: a pair
 #: at the threshold falls short by more than four standard deviations with probability 0.00003.
 SIFT, SIFT_FLOOR = 60, 31
+#: Of each minimum four bits travel, so many minima in a long; equal minima agree in them, so none is lost.
+PACKED = 15
+#: A larger set stays where it is: its pairs are sifted by their sketches alone, and verified.
+SET_LIMIT = 600
 #: Ranges of scripts that are written without spaces: Thai to Lao, Myanmar, Khmer, kana, Han and further ideographs (fixed values).
 _UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 _UNSPACED_SHINGLES = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^\s{_UNSPACED}]{{1,{SHINGLE - 1}}}+(?![^\s{_UNSPACED}])\s*+|\s++|.)"
@@ -71,6 +77,10 @@ def classes(rows: DataFrame) -> DataFrame:
 def signatures(rows: DataFrame, places: range = range(BANDS * ROWS_A_BAND)) -> DataFrame:
     """h and the minima m0, m1, ... of each distinct line; only integers, so that the sums stay in a hash table."""
     each = rows.select("h", F.explode(_cut_up(F.col("line"))).alias("s")).select("h", F.hash("s").alias("x"))
+    return _minima(each, places)
+
+
+def _minima(each: DataFrame, places: range) -> DataFrame:
     return each.groupBy("h").agg(*[F.min(F.hash(F.lit(k), "x")).alias(f"m{k}") for k in places])
 
 
@@ -89,39 +99,67 @@ def candidates(shared: DataFrame) -> DataFrame:
     return near.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
+def _packed(whole: DataFrame) -> DataFrame:
+    """h, four bits of each minimum of whole(h, m) as longs p, and the set's size n and hashes s: null where whole has none, or
+    too many."""
+    bits = [F.shiftleft(F.get("m", k).bitwiseAND(F.lit(15)).cast("long"), 4 * (k % PACKED)) for k in range(SIFT)]
+    longs = [functools.reduce(Column.bitwiseOR, bits[k : k + PACKED]) for k in range(0, SIFT, PACKED)]
+    if "s" not in whole.columns:
+        whole = whole.select("h", "m", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("s"))
+    return whole.select("h", F.array(*longs).alias("p"), "n", F.when(F.col("n") <= SET_LIMIT, F.col("s")).alias("s"))
+
+
 def _agree(x: str, y: str) -> Column:
     """Whether so many minima of two sketches agree that their lines have to be compared."""
-    return sum((F.get(x, k) == F.get(y, k)).cast("int") for k in range(SIFT)) >= SIFT_FLOOR
+
+    def differing(k: int) -> Column:
+        t = F.get(x, k).bitwiseXOR(F.get(y, k))
+        some = functools.reduce(Column.bitwiseOR, [t, *[F.shiftright(t, i) for i in (1, 2, 3)]])
+        return F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum(differing(k) for k in range(-(-SIFT // PACKED))) <= SIFT - SIFT_FLOOR
+
+
+def _may_link(x: str, y: str, n: str, m: str, percent: int) -> Column:
+    """Whether two sets may be similar enough: n and m are their sizes, x and y their hashes, of which no two in a set are equal, so
+    that at least as many are shared as members are. Unknown sets may be."""
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return F.coalesce(sizes & ((100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.col(n) + F.col(m))), F.lit(True))
 
 
-def open_pairs(shared: DataFrame, labels: DataFrame, whole: DataFrame) -> DataFrame:
+def open_pairs(shared: DataFrame, labels: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs a < b of line hashes that share a bucket, lie in different components and pass the sieve of the sketches of
-    whole(h, m). The sketches travel with the rows of a tile, and the sieve is a condition of the tile's join, so the pairs of a
-    bucket are tested where they meet and only those that pass are rows."""
+    whole(h, m), and that of its sets (n, s) where it has them. Both travel with the rows of a tile, and the sieve is a condition of
+    the tile's join, so the pairs of a bucket are tested where they meet and only those that pass are rows: with sets, the links."""
     rows = shared.select("bucket", "h").join(labels, F.col("h") == labels["node"], "left").select("bucket", "h", F.coalesce("component", "h").alias("component"))
-    dealt = written(block_pairs(written(rows), ["bucket"], "h", BLOCK).hint("merge").join(whole.select("h", "m"), "h"))
+    dealt = written(block_pairs(written(rows), ["bucket"], "h", BLOCK).hint("merge").join(_packed(whole), "h"))
     keys = ["bucket", "_hi", "_lo"]
-    left = dealt.filter("_own = _lo").select(*keys, F.col("h").alias("_x"), F.col("component").alias("_cx"), F.col("m").alias("_mx"))
-    right = dealt.filter("_own = _hi").select(*[F.col(k).alias(f"r{k}") for k in keys], F.col("h").alias("_y"), F.col("component").alias("_cy"), F.col("m").alias("_my"))
+    left = dealt.filter("_own = _lo").select(*keys, F.col("h").alias("_x"), F.col("component").alias("_cx"), *[F.col(c).alias(f"_{c}x") for c in ("p", "n", "s")])
+    right = dealt.filter("_own = _hi").select(*[F.col(k).alias(f"r{k}") for k in keys], F.col("h").alias("_y"), F.col("component").alias("_cy"), *[F.col(c).alias(f"_{c}y") for c in ("p", "n", "s")])
     same = [F.col(k) == F.col(f"r{k}") for k in keys]
-    met = left.join(right, [*same, F.col("_cx") != F.col("_cy"), (F.col("_hi") != F.col("_lo")) | (F.col("_x") < F.col("_y")), _agree("_mx", "_my")])
+    sieve = [_agree("_px", "_py"), _may_link("_sx", "_sy", "_nx", "_ny", percent)]
+    met = left.join(right, [*same, F.col("_cx") != F.col("_cy"), (F.col("_hi") != F.col("_lo")) | (F.col("_x") < F.col("_y")), *sieve])
     return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
 
 
 def sketched(shared: DataFrame, rows: DataFrame) -> DataFrame:
-    """h, line and sketch m of each distinct line that shares a bucket."""
+    """h, line, sketch m, set size n and hashes s of the set of each distinct line that shares a bucket; s is null if two are equal."""
     ends = cut_lineage(shared.select("h").distinct())
     small = ends.count() * 16 <= BROADCAST_BYTES
-    whole = cut_lineage(rows.join(F.broadcast(ends) if small else ends, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    whole = rows.join(F.broadcast(ends) if small else ends, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    cut = whole.select("h", "line", shingles(F.col("line")).alias("t"))
+    sets = cut_lineage(cut.select("h", "line", F.size("t").alias("n"), F.array_distinct(F.transform("t", lambda s: F.hash(s))).alias("s")))
     places = range(BANDS * ROWS_A_BAND, BANDS * ROWS_A_BAND + SIFT)
-    sketch = signatures(whole, places).select("h", F.array(*[f"m{k}" for k in places]).alias("m"))
-    return cut_lineage(whole.join(sketch, "h"))
+    sketch = _minima(sets.select("h", F.explode("s").alias("x")), places).select("h", F.array(*[f"m{k}" for k in places]).alias("m"))
+    return cut_lineage(sets.join(sketch, "h").select("h", "line", "m", "n", F.when(F.size("s") == F.col("n"), F.col("s")).alias("s")))
 
 
-def sifted(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs whose sketches in whole(h, m) let them through."""
-    left, right = whole.select(F.col("h").alias("a"), F.col("m").alias("x")), whole.select(F.col("h").alias("b"), F.col("m").alias("y"))
-    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").filter(_agree("x", "y")).select("a", "b")
+def sifted(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sketches, and sets where they are known, in whole(h, m, n, s) let them through."""
+    small = _packed(whole)
+    left, right = (small.select(F.col("h").alias(end), *[F.col(c).alias(f"_{c}{end}") for c in ("p", "n", "s")]) for end in "ab")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
+    return both.filter(_agree("_pa", "_pb") & _may_link("_sa", "_sb", "_na", "_nb", percent)).select("a", "b")
 
 
 def links(close: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:

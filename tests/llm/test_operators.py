@@ -249,6 +249,18 @@ def test_lines_of_a_large_bucket(spark):
     assert sorted(every) == want and sorted(even) == [(a, b) for a, b in want if (a - b) % 2 == 0]
 
 
+def test_lines_of_similar_sketches_are_no_rows(spark):
+    """Sketches let all pairs of a bucket through; only pairs whose sets are similar enough, or not known, leave its tile."""
+    held = {1: list(range(0, 8)), 2: list(range(1, 9)), 3: list(range(4, 12)), 4: None, 5: list(range(0, 5)), 6: list(range(0, 1000))}
+    whole = spark.createDataFrame([(h, [7] * line_dedup.SIFT, 8 if s is None else len(s), s) for h, s in held.items()], "h long, m array<int>, n int, s array<int>")
+    shared = spark.createDataFrame([(9, h, 1) for h in held], "bucket long, h long, _low long")
+    labels = spark.createDataFrame([], "node long, component long")
+    pairs = spark.createDataFrame([(a, b) for a in held for b in held if a < b], "a long, b long")
+    # a set of 5 or 1000 members can't be similar enough to one of 8, whatever they are
+    for got in (line_dedup.open_pairs(shared, labels, whole), line_dedup.sifted(pairs, whole)):
+        assert {(r.a, r.b) for r in got.collect()} == {(1, 2), (1, 4), (2, 4), (3, 4)}
+
+
 def test_many_lines_of_one_text_go(spark):
     text = "\n".join(f"line {i // 2} of many {'abcdefgh'[i // 2 % 8] * 9} {i // 2 * 7919}" for i in range(20_000))
     got = line_dedup.without_repeats(spark.createDataFrame([(1, text, "en", "q", "r")], SCHEMA)).first()
