@@ -6,7 +6,8 @@ a step in which `array_min` picks the lowest rank among the neighbouring pairs,
 only the two pairs beside it are ranked anew. The rank map is a literal: the pairs' table, whose rows (one for each left
 token) are displaced so that they don't overlap, as two literal arrays; a look-up is two array reads. A last pass puts
 the folded ids in the places of the word numbers, and decodes the ids by concatenating the tokens' bytes. Texts stay out
-of the fold and of the last pass. All three run in one stage without a shuffle, and a batch bounds the memory.
+of the fold and of the last pass. A word that is a token itself is that token, as in the library, even where no merges lead
+to it; it comes to the fold as its id. All three run in one stage without a shuffle, and a batch bounds the memory.
 
 A word longer than STRIDE + OVERLAP bytes is folded in windows of that size that begin STRIDE bytes apart. Two
 neighbouring windows are joined at a token that both hold at the same place: every pair of neighbouring tokens then
@@ -36,6 +37,8 @@ BATCH = 1_000_000
 #: Words that a partition remembers; then it begins anew.
 REMEMBER = 400_000
 NONE = 1 << 16
+#: Added to an id that stands for a word; what comes to the fold is a smallint.
+TOKEN = 1 << 15
 
 
 @functools.cache
@@ -155,7 +158,7 @@ def _windows(table: Column, windows: Column) -> Column:
 
 def fold_merges(words: Column, table: Column) -> Column:
     """In the low 16 bits the token ids of each of `words`, an array of byte arrays that end with 256: the word, or its
-    windows; table: struct(first, displacement, cells, lengths)."""
+    windows; or, alone in its array, the id of a word that is a token, less TOKEN; table: struct(first, displacement, cells, lengths)."""
 
     def whole(windows: Column) -> Column:
         """The word without windows: what each has before the next, and all of the last."""
@@ -163,7 +166,9 @@ def fold_merges(words: Column, table: Column) -> Column:
         return F.flatten(F.transform(windows, lambda w, k: F.when(k < last, F.slice(w, F.lit(1), F.lit(STRIDE))).otherwise(w)))
 
     def fold(windows: Column) -> Column:
-        return F.when(F.size(windows) == 1, _fold(table, F.get(windows, 0))).otherwise(F.coalesce(_windows(table, windows), _fold(table, whole(windows))))
+        first = F.get(windows, 0)
+        token = F.when(F.size(first) == 1, F.array(F.get(first, 0).cast("long") + TOKEN))
+        return token.when(F.size(windows) == 1, _fold(table, first)).otherwise(F.coalesce(_windows(table, windows), _fold(table, whole(windows))))
 
     return F.transform(words, fold)
 
@@ -238,16 +243,16 @@ class WordNumbers:
         return numbers[back], at[new]
 
 
-def distinct_words(docs: DataFrame, limit: int = BATCH) -> DataFrame:
+def distinct_words(docs: DataFrame, path: str, limit: int = BATCH) -> DataFrame:
     """Batches of documents: their ids; how many words each has; the words' numbers, four bytes each; the
     words that are new to the partition, in the order of their numbers, each as its windows, byte arrays that end with
-    256; and whether numbering began anew before them."""
+    256, or as the id (less TOKEN) of the token that it is by the ranks at path; and whether numbering began anew before them."""
     import pyarrow as pa
 
     names = ["keys", "counts", "numbers", "words", "anew"]
 
     def run(batches: Iterator) -> Iterator:
-        table = WordNumbers()
+        table, ranks = WordNumbers(), load_ranks(path)
         for keys, texts in _batches(batches, limit):
             anew = len(table.known) > REMEMBER
             if anew:
@@ -258,9 +263,12 @@ def distinct_words(docs: DataFrame, limit: int = BATCH) -> DataFrame:
                 numbers.append(own)
                 counts += np.bincount(whose, minlength=len(texts))
                 raw += [joined.text[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begins[fresh].tolist(), ends[fresh].tolist(), strict=True)]
-            parts_of, raw = windows_of(raw)
-            ends = np.cumsum([len(w) for w in raw]).astype(np.int64)
-            flat = np.insert(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16), ends, 256)
+            tokens = [ranks[w] for w in raw if w in ranks]
+            parts_of, raw = windows_of([b"" if w in ranks else w for w in raw])
+            sizes = np.array([len(w) for w in raw], np.int64)
+            ends, last = np.cumsum(sizes), np.full(len(raw), 256, np.int16)
+            last[sizes == 0] = np.array(tokens, np.int64) - TOKEN
+            flat = np.insert(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16), ends, last)
             offsets = np.concatenate([[0], ends + np.arange(1, len(raw) + 1)]).astype(np.int32)
             parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(parts_of)]).astype(np.int32)), parts)
@@ -297,7 +305,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = Fals
     literals = [("first", first, "long"), ("displacement", displacement, "int"), ("cells", cells, "long"), ("lengths", sizes, "int")]
     arrays = [_literal(values, kind).alias(name) for name, values, kind in literals]
     folded = _let(F.struct(*arrays), lambda held: fold_merges(F.col("words"), held))
-    coded = distinct_words(docs).select("keys", "counts", "numbers", folded.alias("ids"), "anew")
+    coded = distinct_words(docs, path).select("keys", "counts", "numbers", folded.alias("ids"), "anew")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator) -> Iterator:

@@ -438,6 +438,22 @@ def test_words_of_any_length_are_folded(spark):
     assert all(got[i] == bpe_library().encode_ordinary(t) for i, t in enumerate(made))
 
 
+def test_a_word_that_is_a_token(spark, tmp_path):
+    """A word that is a token is that token, as in the library, even if no merges lead to it; alone it is, not within a word."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    tokens = [bytes([k]) for k in range(256)] + [b"xyz", b"ab", b" xyz"]
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(token) + b" %d\n" % k for k, token in enumerate(tokens)))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={token: k for k, token in enumerate(tokens)}, special_tokens={})
+    made = ["xyz", "xyz xyz ab abxyz", "a", "xyz" * 200, "", None]
+    got = {r.doc_id: r.ids for r in byte_bpe.encode_texts(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), str(path), keep_ids=True).collect()}
+    assert got[0] == [256] and all(got[i] == library.encode_ordinary(t or "") for i, t in enumerate(made))
+
+
 def test_texts_past_the_slices(spark):
     """Token counts, packing ids and BPE of texts of more than a million characters, cut at white space that only some classes hold."""
     from tokenizers import Tokenizer
