@@ -15,6 +15,14 @@ _NAMES, _NUMBERS, _CHILDREN = ("agendaObjectItemName", "name", "itemName"), ("ag
 _KEYS = [*_NAMES, *_NUMBERS, *_CHILDREN, "description", "isSection", "id", "itemId"]
 
 
+def _listed(nodes: str) -> str:
+    """SQL of the fields of each node of a JSON array, from one parse; where that fails, as when a node is no object, each node is
+    parsed on its own."""
+    node = ", ".join(f"{k} string" for k in _KEYS)
+    whole = f"CASE WHEN {nodes} RLIKE '^[ \\\\t\\\\r\\\\n]*[\\\\[]' THEN from_json({nodes}, 'array<struct<{node}>>') END"
+    return f"coalesce({whole}, transform(from_json({nodes}, 'array<string>'), node -> from_json(node, '{node}')))"
+
+
 def flatten_items(documents: DataFrame) -> DataFrame:
     """meeting_id, idx, external_id, number, title, description of documents(meeting_id, tree), tree being a JSON array of nodes.
 
@@ -27,22 +35,20 @@ def flatten_items(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     view = f"trees_{uuid.uuid4().hex}"
     documents.select("meeting_id", "tree").createOrReplaceTempView(view)
-    children = "coalesce(get_json_object(node, '$.childItems'), get_json_object(node, '$.children'))"
     for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
         spark.conf.set(limit, "-1")
     nodes = spark.sql(f"""
-        WITH RECURSIVE nodes(meeting_id, place, node) AS (
-            SELECT meeting_id, array(pos), node FROM {view} LATERAL VIEW posexplode(from_json(tree, 'array<string>')) t AS pos, node
+        WITH RECURSIVE nodes(meeting_id, place, f) AS (
+            SELECT meeting_id, array(pos), node FROM {view} LATERAL VIEW posexplode({_listed("tree")}) t AS pos, node
             UNION ALL
-            SELECT meeting_id, concat(place, array(pos)), child FROM nodes LATERAL VIEW posexplode(from_json({children}, 'array<string>')) t AS pos, child
+            SELECT meeting_id, concat(place, array(pos)), child FROM nodes LATERAL VIEW posexplode({_listed("coalesce(f.childItems, f.children)")}) t AS pos, child
         ) SELECT * FROM nodes""")
     first = lambda keys: F.coalesce(*[F.nullif(f"f.{k}", F.lit("")) for k in keys], F.lit(""))
-    parsed = nodes.select("meeting_id", "place", F.from_json("node", ", ".join(f"{k} string" for k in _KEYS)).alias("f"))
     clean = lambda x: F.trim(unescaped(F.regexp_replace(x, "<[^>]+>", "")))
     kids = F.coalesce(*[F.nullif(f"f.{k}", F.lit("[]")) for k in _CHILDREN]).isNotNull()
     header = (F.col("f.isSection") == "true") | (F.nullif("f.agendaObjectItemNumber", F.lit("")).isNull() & kids)
     number, text = first(_NUMBERS), clean(F.coalesce("f.description", F.lit("")))
-    rows = parsed.select(
+    rows = nodes.select(
         "meeting_id", "place", F.nullif(number, F.lit("")).alias("number"), F.trim(F.concat_ws(" ", number, clean(first(_NAMES)))).alias("title"),
         F.nullif(F.substring(text, 1, SHOWN), F.lit("")).alias("description"), F.coalesce("f.id", "f.itemId").alias("own"), F.coalesce(header, F.lit(False)).alias("header"),
     ).filter("not header and title <> ''")

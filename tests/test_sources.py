@@ -24,6 +24,14 @@ def test_a_tree_of_any_depth(spark):
     assert got == [(1, 0, "1-0", "1", "1 One", None), (1, 1, "1-1", "2", "2 Two", None), (1, 2, "1-2", None, "Two A", None), (1, 3, "9", "9", "9 Deep & down", "x" * 300), (1, 4, "1-4", "7", "7", None)]
 
 
+def test_a_level_of_a_tree_is_parsed_once(spark):
+    """Nodes that are no objects don't take their neighbours with them; no level reads JSON that was read with the one above."""
+    trees_of = {1: '["x", {"name": "a"}, null, 3, [{"name": "in a list"}]]', 2: '[{"name": "b", "itemNumber": 1, "childItems": [{"name": "c"}, 7]}, "y"]', 3: '{"name": "no list"}', 4: ' \n[{"itemNumber": "9", "childItems": "[{\\"name\\": \\"d\\"}]", "children": {"name": "e"}}]'}
+    flat = trees.flatten_items(spark.createDataFrame(list(trees_of.items()), "meeting_id long, tree string"))
+    assert [(r.meeting_id, r.idx, r.title) for r in flat.orderBy("meeting_id", "idx").collect()] == [(1, 0, "a"), (2, 0, "c"), (4, 0, "d")]
+    assert "get_json_object" not in flat._jdf.queryExecution().analyzed().toString()
+
+
 def test_tables_of_sloppy_pages(spark):
     html = """<table ID=upcoming><tr class="odd"><td>A <b>b</b>
       c<td>June 1, 2020<td><a href="x?event_id=5&amp;y">l</a><tr class=even><td>no date<td>soon<td><a href="?event_id=6">l</a></table>
