@@ -3,8 +3,8 @@
 A first pass groups documents into bounded batches, numbers the words that a partition meets and lists each batch's new
 ones as byte arrays. Spark then folds the ranked merges over every distinct word, of whatever length: `aggregate` repeats
 a step in which `array_min` picks the lowest rank among the neighbouring pairs, `concat` of slices merges that pair, and
-only the two pairs beside it are ranked anew. The rank map is a literal: the pairs' table, whose rows (one for each left
-token) are displaced so that they don't overlap, as two literal arrays; a look-up is two array reads. A last pass puts
+only the two pairs beside it are ranked anew. The rank map is the pairs' table, whose rows (one for each left
+token) are displaced so that they don't overlap, as two arrays of a broadcast row; a look-up is two array reads. A last pass puts
 the folded ids in the places of the word numbers, and decodes the ids by concatenating the tokens' bytes. Texts stay out
 of the fold and of the last pass. A word that is a token itself is that token, as in the library, even where no merges lead
 to it; it comes to the fold as its id. All three run in one stage without a shuffle, and a batch bounds the memory.
@@ -29,8 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, tokenizer_path
-from .pieces import Joined, slices, span_hashes
-from .token_counts import boundaries
+from .pieces import LETTER, OTHER, QUOTE, SPACE, Joined, slices, span_hashes
 
 STRIDE, OVERLAP = 240, 120
 BATCH = 1_000_000
@@ -88,9 +87,17 @@ def rank_table(path: str) -> tuple[list[int], list[int], list[int]]:
     return first, displacement.tolist(), cells[: max(end, int(displacement.max()) + size)].tolist()
 
 
-def _literal(values: list[int], kind: str) -> Column:
-    """A literal array: its text is parsed once, by constant folding."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def merge_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row: first, displacement, cells and lengths of the ranks at path. It is broadcast to the batches; as literals its million
+    numbers would be objects that each task takes apart anew."""
+    import pyarrow as pa
+
+    first, displacement, cells = rank_table(path)
+    lengths = [0] * len(displacement)
+    for token, rank in load_ranks(path).items():
+        lengths[rank] = len(token)
+    columns = {"first": (first, pa.int64()), "displacement": (displacement, pa.int32()), "cells": (cells, pa.int64()), "lengths": (lengths, pa.int32())}
+    return spark.createDataFrame(pa.table({name: pa.array([values], pa.list_(kind)) for name, (values, kind) in columns.items()}))
 
 
 def _let(value: Column, use) -> Column:
@@ -105,7 +112,7 @@ def _fold(table: Column, word: Column) -> Column:
     def paired(a: Column, b: Column) -> Column:
         """The state of token a before token b: a rank of NONE or more where the pair doesn't merge."""
         cell = F.get(table["cells"], F.get(table["displacement"], a.cast("int")) + b.cast("int"))
-        return (cell - F.shiftleft(a, 32)).bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(a)
+        return cell.bitwiseXOR(F.shiftleft(a, 32)).bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(a)
 
     def merge(states: Column, p: Column) -> Column:
         """The states with number p (from 1) and its right neighbour merged."""
@@ -113,7 +120,7 @@ def _fold(table: Column, word: Column) -> Column:
         own = F.coalesce(paired(merged, token(F.get(states, p + 1))), merged.bitwiseOR(F.lit(NONE << 16)))
         rest = F.slice(states, p + 2, F.size(states))
         before = paired(token(F.get(states, p - 2)), merged)
-        return F.when(p == 1, F.concat(F.array(own), rest)).otherwise(F.concat(F.slice(states, F.lit(1), p - 2), F.array(before, own), rest))
+        return F.flatten(F.when(p == 1, F.array(F.array(own), rest)).otherwise(F.array(F.slice(states, F.lit(1), p - 2), F.array(before, own), rest)))
 
     def step(states: Column, _: Column) -> Column:
         def at(p: Column) -> Column:
@@ -198,12 +205,41 @@ def _batches(batches: Iterator, limit: int) -> Iterator[tuple[list, list[str]]]:
         yield keys, texts
 
 
+def word_begins(joined: Joined) -> np.ndarray:
+    """Where the words of the splitting pattern begin. Each place is decided by itself, its neighbours and the contractions: a space
+    joins the word after it, the last of several white characters stands alone, and so does what follows a contraction."""
+    kinds, n = joined.kinds, len(joined.points)
+    if not n:
+        return np.zeros(0, np.int64)
+    white = kinds >= SPACE
+    group = np.where(kinds == QUOTE, OTHER, kinds)
+    group[white] = SPACE
+    start = np.ones(n, bool)
+    start[1:] = group[1:] != group[:-1]
+    start[1:] &= kinds[:-1] != SPACE
+    # of white characters the first and, before a word, the last
+    last = white & ~joined.last
+    last[:-1] &= ~white[1:]
+    start[1:] |= white[1:] & ~white[:-1]
+    start |= last | joined.first
+    # a contraction begins a word, unless a space or another sign is before its apostrophe
+    short = joined.contractions()
+    at = np.flatnonzero(short)
+    before = np.where(joined.first[at], LETTER, kinds[at - 1])
+    at = at[(before != OTHER) & (before != QUOTE) & (before != SPACE)]
+    start[at + 1] = False
+    start[at[short[at] == 2] + 2] = False
+    after = at + 1 + short[at]
+    start[after[after < n]] = True
+    return np.flatnonzero(start)
+
+
 def _spans(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[Joined, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """In parts of bounded size: joined texts; begin, end, hash and text of each word."""
 
     def spans() -> tuple:
         joined = Joined(parts)
-        begins = boundaries(joined)
+        begins = word_begins(joined)
         ends = np.concatenate([begins[1:], [len(joined.points)]]) if len(begins) else begins
         whose = np.asarray(owner, np.int64)[np.searchsorted(joined.ends, begins, "right")]
         return joined, begins, ends, span_hashes(joined.points, begins, ends), whose
@@ -298,14 +334,10 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep_ids: bool = Fals
     import pyarrow as pa
 
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
-    first, displacement, cells = rank_table(path)
-    sizes = [0] * len(displacement)
-    for token, rank in load_ranks(path).items():
-        sizes[rank] = len(token)
-    literals = [("first", first, "long"), ("displacement", displacement, "int"), ("cells", cells, "long"), ("lengths", sizes, "int")]
-    arrays = [_literal(values, kind).alias(name) for name, values, kind in literals]
-    folded = _let(F.struct(*arrays), lambda held: fold_merges(F.col("words"), held))
-    coded = distinct_words(docs, path).select("keys", "counts", "numbers", folded.alias("ids"), "anew")
+    table = merge_table(docs.sparkSession, path)
+    held = F.struct(*[F.col(c).alias(c) for c in table.columns])
+    batches = distinct_words(docs, path).crossJoin(F.broadcast(table))
+    coded = batches.select("keys", "counts", "numbers", _let(held, lambda held: fold_merges(F.col("words"), held)).alias("ids"), "anew")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches: Iterator) -> Iterator:

@@ -454,6 +454,30 @@ def test_a_word_that_is_a_token(spark, tmp_path):
     assert got[0] == [256] and all(got[i] == library.encode_ordinary(t or "") for i, t in enumerate(made))
 
 
+def test_words_begin_where_the_pattern_says():
+    import public_tokenizers
+    import regex
+
+    from quorumlake.llm.pieces import Joined
+
+    rng = random.Random(8)
+    signs = ["'", "'s", "'re", "'ll", "'S", "s", "re", "a", "é", "漢", "1", "٣", " ", "  ", "\n", "\t", "\u3000", "!", "-", "_", "\u0301", "\U0001f600"]
+    for _ in range(400):
+        parts = [p for p in ("".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(5)) if p]
+        joined, want, at = Joined(parts), [], 0
+        for part in parts:
+            want += [at + m.start() for m in regex.finditer(public_tokenizers.PATTERN, part)]
+            at += len(part)
+        assert byte_bpe.word_begins(joined).tolist() == want, parts
+
+
+def test_the_rank_table_is_no_literal(spark):
+    """The plan that goes to each task doesn't hold the rank table's numbers."""
+    plan = byte_bpe.encode_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution()
+    assert "BroadcastNestedLoopJoin" in plan.executedPlan().toString() and "Exchange hashpartitioning" not in plan.executedPlan().toString()
+    assert len(plan.optimizedPlan().toString()) < 100_000
+
+
 def test_texts_past_the_slices(spark):
     """Token counts, packing ids and BPE of texts of more than a million characters, cut at white space that only some classes hold."""
     from tokenizers import Tokenizer
