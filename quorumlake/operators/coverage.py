@@ -156,15 +156,16 @@ def q_coverage_for_subject(c: Civic) -> DataFrame:
 
 
 def with_labels(c: Civic, links: DataFrame) -> DataFrame:
-    """links with the title or name of their subject, null where there is none: one join a kind of subject."""
-    items, meetings = c.item.select(F.col("item_id").alias("subject_id"), F.col("title").alias("label")), c.meeting.select(F.col("meeting_id").alias("subject_id"), F.col("title").alias("label"))
-    members = c.member.select(F.col("member_id").alias("subject_id"), F.col("member_name").alias("label"))
-    parts = [links.filter(F.col("subject_type") == kind).join(names, "subject_id", "left") for kind, names in (("agenda_item", items), ("meeting", meetings), ("council_member", members))]
-    badges = links.filter("subject_type = 'badge'").withColumn("label", F.initcap(F.regexp_replace("subject_slug", "_", " ")))
-    out = badges
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    """links with the title or name of their subject, null where there is none: one join of all kinds. Subjects grow with the
+    tables, so they meet their links in a shuffle and are never sent to the driver whole; badges have no number and are dealt
+    by their address."""
+    sources = [("agenda_item", c.item, "item_id", "title"), ("meeting", c.meeting, "meeting_id", "title"), ("council_member", c.member, "member_id", "member_name")]
+    parts = [rows.select(F.lit(kind).alias("kind"), F.col(key).alias("number"), F.col(label).alias("name")) for kind, rows, key, label in sources]
+    names = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    number = F.coalesce("subject_id", F.xxhash64(*ENTRY))
+    found = links.join(names.hint("merge"), (F.col("subject_type") == F.col("kind")) & (number == F.col("number")), "left")
+    badge = F.initcap(F.regexp_replace("subject_slug", "_", " "))
+    return found.select(*LINK, F.when(F.col("subject_type") == "badge", badge).otherwise(F.col("name")).alias("label"))
 
 
 _LABEL_SQL = """CASE subject_type WHEN 'agenda_item' THEN (SELECT title FROM item WHERE item_id = subject_id) WHEN 'meeting' THEN (SELECT title FROM meeting WHERE meeting_id = subject_id)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quorumlake.functions import text as T
-from quorumlake.operators import text_index, vote_matching
+from quorumlake.operators import coverage, text_index, vote_matching
 from quorumlake.operators.readers import related, roster
 from quorumlake.sources import listings, minutes
 
@@ -107,3 +107,14 @@ def test_related_ranks_only_high_meetings(spark):
     frame = related(items, "topic")
     assert {tuple(r) for r in frame.collect()} == want
     assert "_floor" in plan(frame) and "strategy=broadcast" in plan(frame)
+
+
+def test_labels_of_subjects_are_shuffled_never_broadcast(spark):
+    c = type("C", (), {})()
+    c.item = spark.createDataFrame([(7, "A"), (7, "A again"), (8, None)], "item_id long, title string")
+    c.meeting = spark.createDataFrame([(7, "M")], "meeting_id long, title string")
+    c.member = spark.createDataFrame([(7, "N")], "member_id long, member_name string")
+    rows = [("o", f"u{n}", kind, number, slug) for n, (kind, number, slug) in enumerate([("agenda_item", 7, None), ("agenda_item", 9, None), ("agenda_item", 8, None), ("meeting", 7, None), ("council_member", 7, None), ("badge", None, "high_dollar")])]
+    found = coverage.with_labels(c, spark.createDataFrame(rows, "outlet string, url string, subject_type string, subject_id long, subject_slug string"))
+    assert sorted((r.url, r.label or "") for r in found.collect()) == [("u0", "A"), ("u0", "A again"), ("u1", ""), ("u2", ""), ("u3", "M"), ("u4", "N"), ("u5", "High Dollar")]
+    assert plan(found).count("Join") == 1 and "strategy=merge" in plan(found)
