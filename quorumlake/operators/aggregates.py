@@ -202,9 +202,23 @@ TERM_SQL = "t.term_start <= m.meeting_date AND m.meeting_date < coalesce(t.term_
 
 @query("join_range_term", f"SELECT m.meeting_id, t.member_id FROM meeting m JOIN member t ON t.city_id = m.city_id AND {TERM_SQL}")
 def join_range_term(c: Civic) -> DataFrame:
-    """Members whose half-open term holds the meeting's day: an equi-join on the city with the range left over."""
+    """Members whose half-open term holds the meeting's day."""
+    return in_office(c.meeting, c.member)
+
+
+#: Parts of a city's meetings, by their day: members are copied to each.
+TERM_PARTS = 32
+
+
+def in_office(meetings: DataFrame, members: DataFrame) -> DataFrame:
+    """meeting_id, member_id: an equi-join on the city with the range left over. Meetings of a city and a day stand together, and
+    a city's are dealt over many tasks, so that no task has a whole city and equal runs of members compress where they are written."""
+    part = lambda day: F.pmod(F.xxhash64(day), F.lit(TERM_PARTS))
+    held = meetings.select("meeting_id", "city_id", "meeting_date", part("meeting_date").alias("part"))
+    dealt = held.repartition("city_id", "part").sortWithinPartitions("city_id", "part", "meeting_date")
+    copied = members.select("member_id", "city_id", "term_start", "term_end", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TERM_PARTS - 1).cast("long"))).alias("part"))
     valid = (F.col("term_start") <= F.col("meeting_date")) & (F.col("term_end").isNull() | (F.col("meeting_date") < F.col("term_end")))
-    return c.meeting.select("meeting_id", "city_id", "meeting_date").join(c.member, "city_id").filter(valid).select("meeting_id", "member_id")
+    return dealt.join(copied.hint("merge"), ["city_id", "part"]).filter(valid).select("meeting_id", "member_id")
 
 
 @query("join_interval_overlap", "SELECT member_id, CAST(greatest(term_start, DATE '1997-01-01') AS VARCHAR) AS begins, CAST(least(coalesce(term_end, DATE '1999-01-01'), DATE '1999-01-01') AS VARCHAR) AS ends FROM member WHERE term_start < DATE '1999-01-01' AND coalesce(term_end, DATE '1999-01-01') > DATE '1997-01-01'")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quorumlake.functions import text as T
-from quorumlake.operators import coverage, text_index, vote_matching
+from quorumlake.operators import aggregates, coverage, text_index, vote_matching
 from quorumlake.operators.readers import related, roster
 from quorumlake.sources import listings, minutes
 
@@ -118,3 +118,13 @@ def test_labels_of_subjects_are_shuffled_never_broadcast(spark):
     found = coverage.with_labels(c, spark.createDataFrame(rows, "outlet string, url string, subject_type string, subject_id long, subject_slug string"))
     assert sorted((r.url, r.label or "") for r in found.collect()) == [("u0", "A"), ("u0", "A again"), ("u1", ""), ("u2", ""), ("u3", "M"), ("u4", "N"), ("u5", "High Dollar")]
     assert plan(found).count("Join") == 1 and "strategy=merge" in plan(found)
+
+
+def test_terms_deal_a_city_over_parts(spark):
+    d = lambda n: datetime.date(2024, 1, n)
+    meetings = [(i, i % 3 or None, d(1 + i % 9) if i % 11 else None) for i in range(60)] + [(7, 1, d(2))]
+    members = [(i, i % 4 or None, d(1 + i % 7), d(1 + i % 12) if i % 3 else None) for i in range(40)] + [(99, 1, None, None), (4, 1, d(1), None), (4, 1, d(1), None)]
+    got = aggregates.in_office(spark.createDataFrame(meetings, "meeting_id long, city_id long, meeting_date date"), spark.createDataFrame(members, "member_id long, city_id long, term_start date, term_end date"))
+    want = sorted((i, m) for i, c, day in meetings for m, t, a, b in members if c is not None and c == t and day and a and a <= day and (b is None or day < b))
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
+    assert "(city_id" in plan(got) and "part#" in plan(got) and "strategy=merge" in plan(got)
