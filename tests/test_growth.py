@@ -128,3 +128,10 @@ def test_terms_deal_a_city_over_parts(spark):
     want = sorted((i, m) for i, c, day in meetings for m, t, a, b in members if c is not None and c == t and day and a and a <= day and (b is None or day < b))
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
     assert "(city_id" in plan(got) and "part#" in plan(got) and "strategy=merge" in plan(got)
+
+
+def test_names_of_a_block_are_found_once(spark):
+    texts = spark.createDataFrame([(1, "the Ordinance No. 12 was read, Upon the roll being called:\nAyes: Alba\nNays: None\n"), (2, "Ayes: none\nNays: 7\n")], "meeting_id long, text string")
+    rows = minutes.vote_blocks(texts)
+    assert [(r.meeting_id, r.ayes, r.nays, r.abstentions, r.resolution) for r in rows.collect()] == [(1, ["Alba"], [], [], "12")]
+    assert plan(rows).count("(?<![^,") == 3
