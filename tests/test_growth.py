@@ -130,6 +130,14 @@ def test_terms_deal_a_city_over_parts(spark):
     assert "(city_id" in plan(got) and "part#" in plan(got) and "strategy=merge" in plan(got)
 
 
+def test_words_of_texts_are_found_once(spark):
+    votes = spark.createDataFrame([(1, 0, "paving of harbor streets tonight", ""), (1, 1, "two words", "")], "meeting_id long, block int, raw_text string, context string")
+    items = spark.createDataFrame([(7, 1, "Paving harbor streets"), (8, 1, "of the"), (9, 1, None)], "item_id long, meeting_id long, title string")
+    hits = vote_matching.by_words(votes, items)
+    assert [tuple(r) for r in hits.collect()] == [(1, 0, 7, 0.75)]
+    assert plan(hits).count("[a-z]{4,}") == 2
+
+
 def test_names_of_a_block_are_found_once(spark):
     texts = spark.createDataFrame([(1, "the Ordinance No. 12 was read, Upon the roll being called:\nAyes: Alba\nNays: None\n"), (2, "Ayes: none\nNays: 7\n")], "meeting_id long, text string")
     rows = minutes.vote_blocks(texts)
