@@ -138,6 +138,14 @@ def test_words_of_texts_are_found_once(spark):
     assert plan(hits).count("[a-z]{4,}") == 2
 
 
+def test_consent_items_are_judged_once(spark):
+    votes = spark.createDataFrame([(1, 0, "consent_block", "Item 3 and paving harbor streets", ""), (1, 1, "consent_block", "", " ")], "meeting_id long, block int, kind string, raw_text string, context string")
+    items = spark.createDataFrame([(7, 1, "3", "x", True), (8, 1, "4", "Harbor paving", True), (9, 1, "5", "Parks", True)], "item_id long, meeting_id long, item_number string, title string, is_consent boolean")
+    links = vote_matching.consent_links(votes, items)
+    assert sorted(tuple(r) for r in links.collect()) == [(1, 0, 7, "consent_named", 1.0), (1, 0, 8, "consent_named", 1.0), (1, 0, 9, "consent_implicit", 0.8)]
+    assert plan(links).count("array_intersect") == 1 and plan(links).count("concat_ws") == 1
+
+
 def test_names_of_a_block_are_found_once(spark):
     texts = spark.createDataFrame([(1, "the Ordinance No. 12 was read, Upon the roll being called:\nAyes: Alba\nNays: None\n"), (2, "Ayes: none\nNays: 7\n")], "meeting_id long, text string")
     rows = minutes.vote_blocks(texts)
