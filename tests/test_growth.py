@@ -146,6 +146,15 @@ def test_consent_items_are_judged_once(spark):
     assert plan(links).count("array_intersect") == 1 and plan(links).count("concat_ws") == 1
 
 
+def test_lists_of_minutes_are_read_once(spark):
+    texts = spark.createDataFrame([(1, "RESOLUTION NO. 7 grant\nordinance 5 paving harbor streets soon\nResolution 9 harbor streets paving"), (2, None)], "meeting_id long, text string")
+    rows = [(1, "Grant", "No. 7", True), (2, "Paving harbor streets", "", True), (3, "Paving harbor streets too", "and 5", True), (4, "Paving harbor streets", "", False), (5, "paving harbor streets now", "17", True)]
+    items = spark.createDataFrame([(i, 1, t, h, c) for i, t, h, c in rows], "item_id long, meeting_id long, title string, hay string, is_consent boolean")
+    found = vote_matching.enumerated_items(texts, items)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (1, 2), (1, 3)]
+    assert plan(found).count("Join") == 1 and plan(found).count("regexp_extract_all(text") == 1
+
+
 def test_names_of_a_block_are_found_once(spark):
     texts = spark.createDataFrame([(1, "the Ordinance No. 12 was read, Upon the roll being called:\nAyes: Alba\nNays: None\n"), (2, "Ayes: none\nNays: 7\n")], "meeting_id long, text string")
     rows = minutes.vote_blocks(texts)
