@@ -160,3 +160,11 @@ def test_names_of_a_block_are_found_once(spark):
     rows = minutes.vote_blocks(texts)
     assert [(r.meeting_id, r.ayes, r.nays, r.abstentions, r.resolution) for r in rows.collect()] == [(1, ["Alba"], [], [], "12")]
     assert plan(rows).count("(?<![^,") == 3
+
+
+def test_amounts_are_found_once_a_text_not_once_a_name(spark):
+    votes = spark.createDataFrame([(1, 0, "Shield Works and Harbor Group for $5.00", "", ["Reed"])], "meeting_id long, block int, raw_text string, context string, surnames array<string>")
+    items = spark.createDataFrame([(7, 1, "Shield Works of Harbor Group, $5.00"), (8, 1, "Harbor Group $5.00"), (9, 1, "Shield Works and Harbor Group")], "item_id long, meeting_id long, hay string")
+    hits = vote_matching.by_facts(votes, items)
+    assert [tuple(r) for r in hits.collect()] == [(1, 0, 7, 0.9)]
+    assert plan(hits).index("explode(names") < plan(hits).index("million")
